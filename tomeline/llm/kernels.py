@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text that one kernel call works on; temporaries take about 40 bytes for each of them.
 CHUNK_BYTES = 1 << 21
+#: Rows of one kernel call, for columns of very short texts.
+CHUNK_ROWS = 4096
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -24,6 +26,9 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of letters and digits, every byte of a character beyond ASCII included.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,12 +68,12 @@ class Words:
 
     __slots__ = ("end", "first", "hash", "start")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, alphabet: np.ndarray = _IS_WORD):
         size = len(data)
         if lower:
             data = _LOWER[data]
         word = np.zeros(size + 1, dtype=bool)
-        np.take(_IS_WORD, data, out=word[:size])
+        np.take(alphabet, data, out=word[:size])
         opens = word[:-1].copy()
         opens[1:] &= ~word[: size - 1] if size > 1 else opens[1:]
         cuts = bounds[(bounds > 0) & (bounds < size)]
@@ -134,7 +139,7 @@ def chunks(text: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + chunk_bytes, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + CHUNK_ROWS)
         yield i, j, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 

@@ -37,6 +37,8 @@ class Scratch:
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
+        # Shuffle files go once the driver's garbage collector has seen that nothing refers to them.
+        self.spark._jvm.java.lang.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
