@@ -3,7 +3,8 @@
 1. One Arrow pass over the texts takes MinHash samples of each document's set of word shingles,
    band keys over those samples, and an odd sketch (Mitzenmacher, Pagh, Pham 2014): a bitmap in
    which every sample flips one bit, so that the population count of the XOR of two bitmaps
-   estimates how many samples differ.
+   estimates how many samples differ. A second bitmap is the odd sketch of the whole set; its count
+   never exceeds the number of shingles in which two sets differ, so it rules pairs out for certain.
 2. Documents with equal sets share a class, named by its smallest doc_id; only classes go on.
 3. Classes that share a band key meet in blocks of bounded size. Two passes over the blocks give the
    candidates: first the closest earlier class of each class, by the sketches; then, once those
@@ -27,6 +28,9 @@ from .components import connected_components
 from .scratch import Scratch
 
 SKETCH_BITS = 512
+#: Bits of the second bitmap, in which every shingle of the set flips one.
+PARITY_BITS = 1024
+WORDS = SKETCH_BITS // 64
 #: Classes of a shared band key that one block holds from each side.
 BLOCK = 256
 #: Highest chance that two documents exactly at the threshold share no band.
@@ -93,6 +97,14 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Odd sketches (documents x bytes) of whole sets: two of them never differ in more bits than the sets do in members."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (K.mix(values) >> np.uint64(32)).astype(np.int64) & (PARITY_BITS - 1)
+    bits = np.bincount(doc * PARITY_BITS + bit, minlength=len(sizes) * PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(len(sizes), PARITY_BITS), axis=1)
+
+
 def _signer(plan: Plan):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,11 +113,11 @@ def _signer(plan: Plan):
                 full = np.flatnonzero(sizes)
                 ends = np.cumsum(sizes)
                 keys = np.zeros((len(full), plan.bands), dtype=np.int32)
-                sketch, sums = np.zeros((len(full), SKETCH_BITS // 8), np.uint8), np.zeros((2, j - i), np.uint64)
+                sketch, sums = np.zeros((len(full), (SKETCH_BITS + PARITY_BITS) // 8), np.uint8), np.zeros((2, j - i), np.uint64)
                 if len(full):
                     starts = (ends - sizes)[full]
                     samples = _samples(values, starts, plan.samples)
-                    sketch = odd_sketch(samples)
+                    sketch = np.concatenate([odd_sketch(samples), parity(values, sizes[full])], axis=1)
                     for b in range(plan.bands):
                         key = np.full(len(full), b, dtype=np.uint64)
                         for r in range(plan.rows):
@@ -147,16 +159,26 @@ def _pair_maker(plan: Plan, closest: bool):
         if not len(x):
             return x, x
         x, y = left[x], right[y]
-        bits = np.concatenate([np.bitwise_count(sketch[x[s : s + 65536]] ^ sketch[y[s : s + 65536]]).sum(axis=1, dtype=np.int64) for s in range(0, len(x), 65536)])
-        near = bits <= plan.most_bits
-        x, y, bits = x[near], y[near], bits[near]
-        if band and len(x):
-            new = ~np.concatenate([(keys[x[s : s + 65536], :band] == keys[y[s : s + 65536], :band]).any(axis=1) for s in range(0, len(x), 65536)])
-            x, y, bits = x[new], y[new], bits[new]
+        parts = [(x[s : s + 65536], y[s : s + 65536]) for s in range(0, len(x), 65536)]
+        # The samples estimate the similarity; the whole sets' bitmaps bound their difference from below.
+        kept, differ = [], []
+        for u, v in parts:
+            bits = np.bitwise_count(sketch[u, :WORDS] ^ sketch[v, :WORDS]).sum(axis=1, dtype=np.int64)
+            near = bits <= plan.most_bits
+            u, v = u[near], v[near]
+            bits = np.bitwise_count(sketch[u, WORDS:] ^ sketch[v, WORDS:]).sum(axis=1, dtype=np.int64)
+            total = size[u] + size[v]
+            near = bits * (100 + plan.percent) <= (100 - plan.percent) * total
+            if band:  # else they have met before
+                near &= ~(keys[u, :band] == keys[v, :band]).any(axis=1)
+            kept.append((u[near], v[near]))
+            differ.append(bits[near] / total[near])
+        x, y = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
+        differ = np.concatenate(differ)
         swap = node[x] < node[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         if closest and len(x):
-            order = np.lexsort((node[y], bits, x))
+            order = np.lexsort((node[y], differ, x))
             x, y = x[order], y[order]
             best = np.concatenate(([True], x[1:] != x[:-1]))
             x, y = x[best], y[best]
@@ -178,7 +200,7 @@ def _pair_maker(plan: Plan, closest: bool):
             edges = np.concatenate(([0], cut, [len(table)])).astype(np.int64)
             node, comp, size, side = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "side"))
             keys = np.stack(table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), plan.bands)) if len(table) else np.zeros((0, plan.bands))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), SKETCH_BITS // 64)
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), -1)
             found = [pairs_of(node[a:b], comp[a:b], size[a:b], side[a:b], keys[a:b], sketch[a:b], int(cols[0][a]), cols[2][a] == cols[3][a]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
             x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
             y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
