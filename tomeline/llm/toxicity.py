@@ -247,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         n = len(voters)
         for batch in batches:
             for i, j, row, voter, hits, words in _voted(lookup, batch.column(2)):
-                logit = np.bincount(row, weights=weights[voter], minlength=j - i)
+                logit = np.bincount(row, weights=weights[voter], minlength=j - i).astype(np.float64)  # of no votes it makes integers
                 logit += weights[n] * np.log1p(hits) + weights[n + 1] * np.minimum(100 * hits / np.maximum(words, 20), 5) + weights[n + 2]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=["doc_id", "held_out", "score"])
 
