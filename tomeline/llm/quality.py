@@ -49,18 +49,28 @@ RULES = (
 )
 
 
+def _once(column: Column) -> Column:
+    """The column as one that Catalyst computes once, where it stands.
+
+    Filters are pushed through projections by putting the expression in the place of its name. Inside
+    a lambda that would compute a whole array again for each element. A nondeterministic part, though
+    always true, keeps them above.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null becomes empty), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bare = F.translate("text", _SPACE, "")
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, _SPACE, "") != "")
-    rows = rows.select("doc_id", "text", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"), lines.alias("lines"))
+    rows = rows.select("doc_id", "text", _once(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"), _once(lines).alias("lines"))
     # Windows of three words as (hash, place), sorted, so that equal ones are neighbours.
     windows = F.expr("sort_array(transform(sequence(0, greatest(size(w) - 3, 0)), i -> struct(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) AS h, i AS p)))")
-    rows = rows.withColumn("win", F.when(F.size("w") >= 3, windows))
+    rows = rows.withColumn("win", _once(F.when(F.size("w") >= 3, windows)))
     # Places of those whose neighbour on either side is equal.
     twice = F.expr("sort_array(transform(filter(transform(win, (x, j) -> struct(x.p AS p, x.h = get(win, j - 1).h OR x.h = get(win, j + 1).h AS d)), x -> x.d), x -> x.p))")
-    rows = rows.withColumn("twice", twice)
+    rows = rows.withColumn("twice", _once(twice))
     # Each covers its three words; those before `e` are counted already.
     covered = F.expr("aggregate(twice, struct(0 AS e, 0L AS c), (a, p) -> struct(p + 3 AS e, a.c + least(3, p + 3 - a.e) AS c), a -> a.c)")
     return rows.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .licenses import licenses
 from .mixing import mix
 from .near_dups import near_duplicates
+from .quality import quality
 from .secrets import secrets
 from .substring_dups import remove_repeats
 from .toxicity import toxicity
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -28,6 +34,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=13)
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,9 +51,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dups": op2_minhash_near_dups,
     "op3_secret_scans": op3_secret_scans,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scans": op5_license_scans,
     "op6_toxicity": op6_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
