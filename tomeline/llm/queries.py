@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .html_text import extract_text
 from .licenses import licenses
 from .mixing import mix
 from .near_dups import near_duplicates
@@ -12,6 +13,7 @@ from .quality import quality
 from .secrets import secrets
 from .substring_dups import remove_repeats
 from .toxicity import toxicity
+from .url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +67,8 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scans": op5_license_scans,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
