@@ -12,7 +12,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -130,7 +130,7 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(mask: str | None):
+def _scan(mask: str | None, keep: Sequence[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
@@ -141,7 +141,8 @@ def _scan(mask: str | None):
             columns = [batch.column(0), *counts, pa.array(base, pa.string()), pa.array([listed(f) for f in found], pa.string())]
             if mask is not None:
                 columns.append(pc.if_else(pa.array([bool(f) for f in found], pa.bool_()), pa.array([masked(text[i].as_py(), f, mask) if f else None for i, f in enumerate(found)], pa.large_string()), text).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, *(["masked"] if mask is not None else [])])
+            columns += [batch.column(c) for c in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, *(["masked"] if mask is not None else []), *keep])
 
     return scan
 
@@ -149,14 +150,15 @@ def _scan(mask: str | None):
 _NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256 and spans; ``mask`` adds masked, the text with its secrets replaced.
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256 and spans; ``mask`` adds masked, the text with its secrets replaced; then the columns of ``keep``.
 
     Spans are ``kind:start:end`` in code points, comma-joined by start; base_sha256 digests those of
     the three base kinds. A null or empty text has no spans: zeros, the digest of the empty string and
     an empty list (its masked text is null or empty likewise). doc_id may be null and may repeat; rows
     are judged one by one. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", masked string" if mask is not None else "")
-    return rows.mapInArrow(_scan(mask), schema)
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
+    schema = [f"doc_id {kinds[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", *(["masked string"] if mask is not None else []), *(f"`{c}` {kinds[c]}" for c in keep)]
+    return rows.mapInArrow(_scan(mask, keep), ", ".join(schema))

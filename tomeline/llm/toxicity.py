@@ -11,7 +11,7 @@ trained on these posteriors and scores every document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -218,8 +218,8 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return voters, linear_fit(x, post)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from 0.7).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from 0.7), then the columns of ``keep``.
 
     Learns from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 3 is not 1, from
     the first ``MOST_TOXIC`` and ``MOST_CLEAN`` of them by a hash of doc_id; of several labels of a
@@ -249,8 +249,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for i, j, row, voter, hits, words in _voted(lookup, batch.column(2)):
                 logit = np.bincount(row, weights=weights[voter], minlength=j - i).astype(np.float64)  # of no votes it makes integers
                 logit += weights[n] * np.log1p(hits) + weights[n + 1] * np.minimum(100 * hits / np.maximum(words, 20), 5) + weights[n + 2]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=["doc_id", "held_out", "score"])
-
-    id_type = dict(texts.dtypes)["doc_id"]
-    out = texts.select("doc_id", held.alias("held_out"), "text").mapInArrow(score, f"doc_id {id_type}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+                own = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30)))), *own[3:]], names=["doc_id", "held_out", "score", *keep])
+
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
+    rows = rows.select("doc_id", held.alias("held_out"), "text", *[F.col(f"`kept {c}`") for c in keep])
+    schema = ", ".join([f"doc_id {kinds[id_col]}, held_out boolean, score double", *(f"`{c}` {kinds[c]}" for c in keep)])
+    out = rows.mapInArrow(score, schema)
+    columns = ["doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")]
+    return out.select(*columns, *[F.col(f"`{c}`") for c in keep])
