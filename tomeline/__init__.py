@@ -1,0 +1 @@
+"""Catalogue and search of named, documented records in Spark."""
