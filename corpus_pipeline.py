@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text the classifier calls toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = [c for c in docs.columns if c != "doc_id"]
-    return toxicity(docs, labels, keep=rest).filter("predicted = 0").select(docs.columns)
+    clean = toxicity(docs, labels, keep=rest).filter("predicted = 0")
+    return clean.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"kept.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,28 +38,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
-    one = one.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in others])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
+    one = one.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that cover half of a benchmark item or more."""
     leaks = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mask in the place of each secret; n_chars follows."""
     found = secrets(docs, mask=MASK, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    own = {"text": F.col("masked").alias("text"), "n_chars": F.length("masked").cast("long").alias("n_chars")}
-    return found.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    own = {"doc_id": F.col("doc_id"), "text": F.col("masked").alias("text"), "n_chars": F.length("masked").cast("long").alias("n_chars")}
+    return found.select(*[own.get(c, F.col(f"kept.`{c}`")) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as the mix takes it: doc_id, source, size, copy (from 1), lang and text."""
     taken = mix(docs, keep=("lang", "text")).filter("copies > 0")
-    return taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "lang", "text")
+    return taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "kept.lang", "kept.text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

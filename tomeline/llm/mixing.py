@@ -64,7 +64,7 @@ def targets(scratch: Scratch, sources: DataFrame, weights: Sequence[int] = WEIGH
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size (words of the text), source_size, target (of its source), copies and taken (copies * size), then the columns of ``keep``.
+    """Per row of ``docs``: doc_id, source, size (words of the text), source_size, target (of its source), copies and taken (copies * size), and, as a struct, kept: the columns of ``keep``.
 
     Sizes count runs outside ASCII white space; a null text has 0. A null source is a source of its
     own, ranked last. Rows that repeat a doc_id get the same number of copies if their source is the
@@ -73,11 +73,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed:
     """
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), chance(key, seed).alias("chance"), *[F.col(c).alias(f"kept {c}") for c in keep])
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), chance(key, seed).alias("chance"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
     if not keep:  # else the texts are counted twice rather than written
         sized = scratch.table("sized", sized)
     goal = targets(scratch, sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "source_of")
     out = sized.join(goal, F.col("source").eqNullSafe(F.col("source_of")))
     copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *[F.col(f"`kept {c}`").alias(c) for c in keep])
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["kept"] if keep else []))

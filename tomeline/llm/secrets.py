@@ -142,7 +142,7 @@ def _scan(mask: str | None, keep: Sequence[str]):
             if mask is not None:
                 columns.append(pc.if_else(pa.array([bool(f) for f in found], pa.bool_()), pa.array([masked(text[i].as_py(), f, mask) if f else None for i, f in enumerate(found)], pa.large_string()), text).cast(pa.string()))
             columns += [batch.column(c) for c in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, *(["masked"] if mask is not None else []), *keep])
+            yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, *(["masked"] if mask is not None else []), *(["kept"] if keep else [])])
 
     return scan
 
@@ -151,14 +151,17 @@ _NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256 and spans; ``mask`` adds masked, the text with its secrets replaced; then the columns of ``keep``.
+    """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256 and spans; ``mask`` adds masked, the text with its secrets replaced; and, as a struct, kept: the columns of ``keep``.
 
     Spans are ``kind:start:end`` in code points, comma-joined by start; base_sha256 digests those of
     the three base kinds. A null or empty text has no spans: zeros, the digest of the empty string and
     an empty list (its masked text is null or empty likewise). doc_id may be null and may repeat; rows
     are judged one by one. Other columns are ignored.
     """
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
-    schema = [f"doc_id {kinds[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", *(["masked string"] if mask is not None else []), *(f"`{c}` {kinds[c]}" for c in keep)]
+    # A struct keeps names that clash with this operator's own apart.
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    kinds = dict(rows.dtypes)
+    schema = [f"doc_id {kinds['doc_id']}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"]
+    schema += (["masked string"] if mask is not None else []) + ([f"kept {kinds['kept']}"] if keep else [])
     return rows.mapInArrow(_scan(mask, keep), ", ".join(schema))

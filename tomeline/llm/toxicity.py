@@ -219,7 +219,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from 0.7), then the columns of ``keep``.
+    """Per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from 0.7), and, as a struct, kept: the columns of ``keep``.
 
     Learns from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 3 is not 1, from
     the first ``MOST_TOXIC`` and ``MOST_CLEAN`` of them by a hash of doc_id; of several labels of a
@@ -250,12 +250,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 logit = np.bincount(row, weights=weights[voter], minlength=j - i).astype(np.float64)  # of no votes it makes integers
                 logit += weights[n] * np.log1p(hits) + weights[n + 1] * np.minimum(100 * hits / np.maximum(words, 20), 5) + weights[n + 2]
                 own = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30)))), *own[3:]], names=["doc_id", "held_out", "score", *keep])
-
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
-    rows = rows.select("doc_id", held.alias("held_out"), "text", *[F.col(f"`kept {c}`") for c in keep])
-    schema = ", ".join([f"doc_id {kinds[id_col]}, held_out boolean, score double", *(f"`{c}` {kinds[c]}" for c in keep)])
+                yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30)))), *own[3:]], names=["doc_id", "held_out", "score", "kept"][: 3 + len(own[3:])])
+
+    # A struct keeps names that clash with this operator's own apart.
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    rows = rows.select("doc_id", held.alias("held_out"), "text", *(["kept"] if keep else []))
+    kinds = dict(rows.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + (f", kept {kinds['kept']}" if keep else "")
     out = rows.mapInArrow(score, schema)
-    columns = ["doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")]
-    return out.select(*columns, *[F.col(f"`{c}`") for c in keep])
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), *(["kept"] if keep else []))
