@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -492,9 +491,11 @@ def _files(spark: SparkSession) -> DataFrame:
 
 _INDEXED_PKG = """select * from (values
  ('pkg', 'module', null, 0), ('pkg.local', 'function', '()', 1),
- ('pkg.sub.deep', 'module', null, 2), ('pkg.sub.deep.Thing', 'class', null, 3), ('pkg.sub.deep.Thing.use', 'method', '(self)', 4), ('pkg.sub.stub.only_stub', 'function', '(x: int) -> str', 5),
- ('pkg.Motor', 'class', '(Base, mod.Other[K, V])', 6), ('pkg.Motor.start', 'method', '(self, x: int, /, y: str = ''a'', *, z = 1, **kw) -> bool', 7), ('pkg.Motor.stop', 'async_method', '(self, *args: int)', 8),
- ('pkg.Motor.Part', 'class', null, 9), ('pkg.run', 'function', '(a, b = 2)', 10), ('pkg.quick', 'function', '(n)', 11), ('pkg.sub.Thing', 'class', null, 12), ('pkg.sub.Thing.use', 'method', '(self)', 13)
+ ('pkg._core.Engine', 'class', '(Base, mod.Other[K, V])', 2), ('pkg._core.Engine.start', 'method', '(self, x: int, /, y: str = ''a'', *, z = 1, **kw) -> bool', 3), ('pkg._core.Engine.stop', 'async_method', '(self, *args: int)', 4),
+ ('pkg._core.Engine.Part', 'class', null, 5), ('pkg._core.Engine.Part.turn', 'method', '(self)', 6), ('pkg._core.run', 'function', '(a, b = 2)', 7), ('pkg._slow.quick', 'function', '(n)', 8),
+ ('pkg.sub.deep', 'module', null, 9), ('pkg.sub.deep.Thing', 'class', null, 10), ('pkg.sub.deep.Thing.use', 'method', '(self)', 11), ('pkg.sub.stub.only_stub', 'function', '(x: int) -> str', 12),
+ ('pkg.Motor', 'class', '(Base, mod.Other[K, V])', 13), ('pkg.Motor.start', 'method', '(self, x: int, /, y: str = ''a'', *, z = 1, **kw) -> bool', 14), ('pkg.Motor.stop', 'async_method', '(self, *args: int)', 15),
+ ('pkg.Motor.Part', 'class', null, 16), ('pkg.run', 'function', '(a, b = 2)', 17), ('pkg.quick', 'function', '(n)', 18), ('pkg.sub.Thing', 'class', null, 19), ('pkg.sub.Thing.use', 'method', '(self)', 20)
 ) t(qualified_name, symbol_type, signature, seq)"""
 
 
@@ -503,9 +504,9 @@ def index_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_tree.symbols_of_files(_files(spark)).select("qualified_name", "symbol_type", "signature", F.col("seq").cast("int").alias("seq"))
 
 
-@_query(f"select * from ({_INDEXED_PKG}) where seq >= 6", cte=False)
+@_query(f"select * from ({_INDEXED_PKG}) where seq >= 13", cte=False)
 def resolve_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_package(spark, sf_dir).filter("seq >= 6")
+    return index_package(spark, sf_dir).filter("seq >= 13")
 
 
 @_query(
@@ -551,5 +552,3 @@ def resolve_relative_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_RELATIVE, "level int, module string, package string")
     parts = F.split("package", "[.]")
     return rows.select("level", "module", "package", F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - F.col("level") + 1), "."), "module").alias("resolved"))
-
-
