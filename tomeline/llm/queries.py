@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontaminate import contamination
 from .html_text import extract_text
 from .licenses import licenses
@@ -73,4 +74,10 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op2_minhash_near_dups": oracles.NEAR_DUPS,
+    "op4_substring_dedup": oracles.REPEATS,
+    "op8_url_filter": oracles.URLS,
+    "op10_source_mixing": oracles.MIXING,
+}
