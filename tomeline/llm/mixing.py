@@ -1,20 +1,27 @@
 """Mixing sources to target weights.
 
 Token counts are summed by source; the targets follow from weights and a cap on repetition; each
-document comes out floor(rate) times, and once more with the probability of the rate's fraction,
-decided by a hash of its id. All of it is DataFrame operations.
+document comes out floor(rate) times, and once more with the probability of the rate's fraction. All
+of it is DataFrame operations.
+
+Independent draws would leave a source of a few hundred documents ten or more percent off its target.
+So the hash-seeded draws are systematic: a hash of the id deals a source's documents into strata, each
+stratum has one random number from a hash of its name, and its documents, in order of size, take evenly
+spaced places from there. A document's chance of one more copy is still exactly the fraction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
+#: Documents in a stratum, about; they meet in one task.
+STRATUM = 256
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,11 +46,11 @@ def _ranked(scratch: Scratch, sources: DataFrame, weights: Sequence[int]) -> Dat
     if before:
         offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((offset + place) % len(weights) + 1).cast("int"))
-    return scratch.table("ranked", ordered.select("source", "source_size", weight.cast("long").alias("weight")))
+    return scratch.table("ranked", ordered.select("source", "source_size", "n_docs", weight.cast("long").alias("weight")))
 
 
 def targets(scratch: Scratch, sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3) -> DataFrame:
-    """(source, source_size, target): shares by weight of the sum of all sizes, none above ``most`` times its source's size.
+    """(source, source_size, n_docs, target): shares by weight of the sum of all sizes, none above ``most`` times its source's size.
 
     What a cap cuts off is shared out by weight among the others until none is above; each round is a
     sum over the sources.
@@ -60,7 +67,7 @@ def targets(scratch: Scratch, sources: DataFrame, weights: Sequence[int] = WEIGH
         capped = r[2]
         full = F.lit(left).cast("double") * F.col("weight") / F.lit(share) > most * F.col("source_size")
     fair = F.lit(left).cast("double") * F.col("weight") / F.lit(share or 1)
-    return ranked.select("source", "source_size", F.least(fair, (most * F.col("source_size")).cast("double")).alias("target"))
+    return ranked.select("source", "source_size", "n_docs", F.least(fair, (most * F.col("source_size")).cast("double")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
@@ -76,8 +83,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed:
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), chance(key, seed).alias("chance"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
     if not keep:  # else the texts are counted twice rather than written
         sized = scratch.table("sized", sized)
-    goal = targets(scratch, sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    goal = targets(scratch, sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "source_of")
     out = sized.join(goal, F.col("source").eqNullSafe(F.col("source_of")))
-    copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    out = out.withColumn("stratum", F.floor(F.col("chance") * F.ceil(F.col("n_docs") / STRATUM)))
+    place = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("size", "chance", "doc_id"))
+    start = chance(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("stratum").cast("string")), f"{seed}:start")
+    share = F.col("rate") - F.floor("rate")
+    out = out.withColumns({"place": place, "start": start, "share": share})
+    more = F.floor(F.col("start") + F.col("place") * F.col("share")) - F.floor(F.col("start") + (F.col("place") - 1) * F.col("share"))
+    copies = (F.floor("rate") + more).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["kept"] if keep else []))

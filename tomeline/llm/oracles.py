@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import WEIGHTS
+from .mixing import STRATUM, WEIGHTS
 from .url_filter import GAP, GLOBS, RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -74,15 +74,19 @@ _WEIGHT = "case (row_number() over (order by source nulls last) - 1) % 3 " + " "
 
 MIXING = rf"""
 with d as (select doc_id, source, cast(len({_WORDS}) as bigint) as size from documents),
-sources as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+sources as (select source, cast(sum(size) as bigint) as source_size, count(*) as n_docs from d group by source),
 weighed as (select *, cast({_WEIGHT} as bigint) as weight from sources),
 total as (select cast(sum(source_size) as bigint) as t from weighed),
 -- Caps bind first where size over weight is least; what stays uncapped begins at the first source that its level doesn't cap.
 levels as (select *, 3.0 * source_size / weight as ratio, t - coalesce(sum(3 * source_size) over (order by 3.0 * source_size / weight rows between unbounded preceding and 1 preceding), 0) as rest,
   sum(weight) over (order by 3.0 * source_size / weight rows between current row and unbounded following) as share from weighed cross join total),
 chosen as (select cast(rest as bigint) as rest, cast(share as bigint) as share from levels where cast(rest as double) / share <= ratio order by ratio limit 1),
-goal as (select source, source_size, least(cast(rest as double) * weight / share, cast(3 * source_size as double)) as target from weighed cross join chosen),
-rated as (select d.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate, cast(concat('0x', substr(md5(concat('mix:', cast(doc_id as varchar))), 1, 13)) as ubigint) / 4503599627370496.0::double as chance
-  from d join goal g on g.source is not distinct from d.source)
-select doc_id, size, source_size, target, cast(floor(rate) + case when chance < rate - floor(rate) then 1 else 0 end as bigint) * size as taken, source, cast(floor(rate) + case when chance < rate - floor(rate) then 1 else 0 end as bigint) as copies from rated
+goal as (select source, source_size, n_docs, least(cast(rest as double) * weight / share, cast(3 * source_size as double)) as target from weighed cross join chosen),
+rated as (select d.*, g.source_size, g.n_docs, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate, cast(concat('0x', substr(md5(concat('mix:', cast(doc_id as varchar))), 1, 13)) as ubigint) / 4503599627370496.0::double as chance
+  from d join goal g on g.source is not distinct from d.source),
+dealt as (select *, cast(floor(chance * ceil(n_docs / {STRATUM})) as bigint) as stratum, rate - floor(rate) as share from rated),
+placed as (select *, row_number() over (partition by source, stratum order by size, chance, doc_id) as place,
+  cast(concat('0x', substr(md5(concat('mix:start:', coalesce(source, ''), '/', cast(stratum as varchar))), 1, 13)) as ubigint) / 4503599627370496.0::double as start from dealt),
+final as (select *, cast(floor(rate) + floor(start + place * share) - floor(start + (place - 1) * share) as bigint) as copies from placed)
+select doc_id, size, source_size, target, copies * size as taken, source, copies from final
 """
