@@ -67,23 +67,22 @@ def _seeder(length: int):
 
 
 def _extender(length: int):
-    """Windows around shared anchors; columns: doc_id, text, whole_a, whole_b, anchors."""
+    """Windows around shared anchors; columns: doc_id, text, anchors."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            wa, wb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            anchors = batch.column(4)
+            anchors = batch.column(2)
             for i, j, data, bounds in K.chunks(batch.column(1)):
                 words = K.Words(data, bounds)
-                whole = K.sequence_hash(words)
+                whole = K.sequence_hash(words)[0].view(np.int64)
                 grams, _ = words.windows(SEED)
                 a, inside = words.windows(length)
                 b, _ = words.windows(length, salt=1)
                 near = np.zeros(len(words.hash) + 1, dtype=np.int32)
                 for d in range(i, j):
                     f, e = words.first[d - i], words.first[d - i + 1]
-                    if e - f < length or whole[0][d - i].view(np.int64) != wa[d] or whole[1][d - i].view(np.int64) != wb[d]:
+                    if e - f < length:
                         continue
                     hit = f + np.flatnonzero(np.isin(grams[f : e - SEED + 1], anchors[d].values.to_numpy().view(np.uint64)))
                     np.add.at(near, np.maximum(f, hit - (length - SEED)), 1)
@@ -91,7 +90,7 @@ def _extender(length: int):
                 at = np.flatnonzero((np.cumsum(near)[: len(inside)] > 0) & inside)
                 doc = np.searchsorted(words.first, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[at].view(np.int64)), pa.array((b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i + doc]), pa.array(wa[i + doc]), pa.array((at - words.first[doc]).astype(np.int32))],
+                    [pa.array(a[at].view(np.int64)), pa.array((b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i + doc]), pa.array(whole[doc]), pa.array((at - words.first[doc]).astype(np.int32))],
                     names=["key_a", "key_b", "doc_id", "whole_a", "place"],
                 )
 
@@ -148,16 +147,16 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     owner = able.select("doc_id", *whole).groupBy(*whole).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     copied = scratch.table("copied", owner.filter("owner < last").drop("last"))
     heads = able.join(copied, whole, "left").filter(F.col("owner").isNull() | (F.col("owner") == F.col("doc_id")))
-    heads = scratch.table("heads", heads.select("doc_id", *whole, "anchors"))
+    heads = scratch.table("heads", heads.select("doc_id", "anchors"))
 
-    places = heads.select("doc_id", *whole, F.explode("anchors").alias("anchor"))
+    places = heads.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     shared = scratch.table("shared", shared)
-    suspects = places.join(shared, "anchor").groupBy("doc_id", *whole).agg(F.collect_list("anchor").alias("anchors"))
+    suspects = places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     suspects = scratch.table("suspects", suspects)
     scratch.drop("shared", "heads")
 
-    windows = texts.join(suspects, "doc_id").select("doc_id", "text", *whole, "anchors")
+    windows = texts.join(suspects, "doc_id").select("doc_id", "text", "anchors")
     windows = scratch.table("windows", windows.mapInArrow(_extender(length), "key_a long, key_b int, doc_id long, whole_a long, place int"))
     scratch.drop("suspects")
     key = ["key_a", "key_b"]
