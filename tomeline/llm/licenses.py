@@ -110,8 +110,11 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     rows = rows.withColumn("near", near).withColumn("at", F.expr("filter(transform(w, (x, i) -> CASE WHEN array_contains(near, x) THEN i END), i -> i IS NOT NULL)")).drop("near")
     rows = rows.filter(F.size("at") > 0).select("doc_id", "w", "at", shape)
     starts = F.expr("array_distinct(flatten(transform(at, i -> transform(sequence(greatest(0, ceil((i - s.len + 1) / s.step)), floor(i / s.step)), k -> cast(k * s.step AS int)))))")
-    rows = rows.select("doc_id", "w", "s", F.explode(starts).alias("start"))
-    rows = rows.select("doc_id", "start", F.col("s.class").alias("class"), F.expr("slice(w, start + 1, s.len)").alias("ww"))
+    # Windows are cut out before they are exploded, so that no row carries the whole text once more.
+    rows = rows.select("doc_id", "w", "s", starts.alias("starts"))
+    windows = F.expr("transform(starts, k -> struct(k AS start, slice(w, k + 1, s.len) AS ww))")
+    rows = rows.select("doc_id", F.col("s.class").alias("class"), F.explode(windows).alias("x"))
+    rows = rows.select("doc_id", F.col("x.start").alias("start"), "class", F.col("x.ww").alias("ww"))
     rows = rows.filter((F.col("class") >= SHINGLE) & (F.size("ww") >= SHINGLE) | (F.size("ww") == F.col("class")))
     rows = rows.select("doc_id", "start", "class", _shingles("ww").alias("shingles"))
     found = _template_rows(spark, templates)
