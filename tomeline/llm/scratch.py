@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lets Spark delete an execution's shuffle files as it ends, rather than when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables under one folder of :func:`shared_dir`.
 
@@ -36,9 +40,15 @@ class Scratch:
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        # Shuffle files go once the driver's garbage collector has seen that nothing refers to them.
-        self.spark._jvm.java.lang.System.gc()
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)  # what it shuffled is of no use to later jobs, which read the table
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
