@@ -216,6 +216,33 @@ def test_licenses(spark):
     assert got[3, "mit"].containment == 1.0 and got[3, "mit"].first_word <= 21
 
 
+def test_licenses_equal_plain_containment(spark):
+    """Notices at the start and in the middle of long texts, whole or short of some words: none is lost."""
+    split = lambda text: [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    rng = random.Random(9)
+    noise = lambda n: " ".join(f"n{rng.randrange(9999)}" for _ in range(n))
+    rows = []
+    for i in range(1500):
+        name, text = TEMPLATES[(2, 3, 8, i % len(TEMPLATES))[i % 4]]
+        before = noise(rng.randrange(5) if i % 3 else rng.randrange(40, 90))
+        notice = text.split()
+        if i % 5 == 0 and len(notice) > 20:
+            notice[-1:] = []
+        rows.append((i, f"{before} {' '.join(notice)} {noise(rng.randrange(80, 160))}"))
+    want = {}
+    for i, text in rows:
+        w = split(text)
+        have = {tuple(w[j : j + n]) for n in range(1, 6) for j in range(len(w) - n + 1)}
+        for name, template in TEMPLATES:
+            t = split(template)
+            shingles = {tuple(t[j : j + 5]) for j in range(len(t) - 4)} or {tuple(t)}
+            share = len(shingles & have) / len(shingles)
+            if share * 100 >= 80:
+                want[i, name] = max(round(share, 6), want.get((i, name), 0))
+    got = {(r.doc_id, r.license): r.containment for r in licenses(frame(spark, rows)).collect()}
+    assert len(want) >= len(rows) - 20 and got == want
+
+
 def test_license_screen_loses_nothing():
     for name, text in TEMPLATES:
         w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]

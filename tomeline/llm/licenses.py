@@ -1,11 +1,10 @@
-"""License scans by MinHash bands over overlapping text windows, in DataFrame operations only.
+"""License scans by exact shingle containment in overlapping text windows, in DataFrame operations only.
 
 Templates fall into classes by length. For a class whose longest template has m words, windows of 2 m
-words begin every m / 2 words, so each occurrence of a template lies whole in some window and makes up
-a quarter of its shingles at least (a fifth with the fifth of its shingles gone that a match may lack).
-Bands of one sample each share a value with a probability of that similarity, so ``BANDS`` of them
-miss a template with a chance of (1 - 0.2) ** BANDS, under 1 in 1000. What they retrieve is verified:
-the window must contain 80 % of the template's five-word shingles.
+words begin every m / 2 words, so each occurrence of a template lies whole in some window. Every
+window is held against every template of its class: it must contain 80 % of the template's five-word
+shingles. The templates are a fixed list, so this is a few set intersections a window, and nothing is
+retrieved by chance.
 
 Before that, windows are dropped that lack every word of a screen. The screen is derived from the
 templates so that no match can lack it: for each template, the shingles without a screen word are too
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 PERCENT = 80
-BANDS = 32
 
 # The usual notices of common licenses.
 TEMPLATES = (
@@ -75,11 +73,6 @@ def _shingles(words: str) -> Column:
     return F.expr(f"CASE WHEN size({words}) >= {SHINGLE} THEN array_distinct(transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({hashes}))) ELSE array(xxhash64(concat_ws(' ', {words}))) END")
 
 
-def _bands(shingles: str) -> Column:
-    """The smallest hash of the shingles under each of BANDS hash functions."""
-    return F.expr(f"array({', '.join(f'array_min(transform({shingles}, x -> xxhash64(x, {b})))' for b in range(BANDS))})")
-
-
 def _template_rows(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """(class, template, license, tpl): one row for each template of the fixed list."""
     rows = [(c, i, templates[i][0], _words(templates[i][1])) for c, ids in _classes(templates).items() for i in ids]
@@ -119,8 +112,7 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     rows = rows.select("doc_id", "start", "class", _shingles("ww").alias("shingles"))
     found = _template_rows(spark, templates)
     # The template table is the fixed list above, so its size has a bound.
-    keyed = F.broadcast(found.select("*", F.posexplode(_bands("tpl")).alias("band", "key")))
-    met = rows.select("*", F.posexplode(_bands("shingles")).alias("band", "key")).join(keyed, ["class", "band", "key"])
+    met = rows.join(F.broadcast(found), "class")
     share = F.size(F.array_intersect("shingles", "tpl")) / F.size("tpl")
     met = met.withColumn("containment", F.round(share, 6)).filter(share * 100 >= PERCENT)
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count_distinct("start", "class").alias("n_windows"), F.min("start").cast("long").alias("first_word"))
