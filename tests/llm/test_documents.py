@@ -243,6 +243,13 @@ def test_licenses_equal_plain_containment(spark):
     assert len(want) >= len(rows) - 20 and got == want
 
 
+def test_licenses_of_short_templates(spark):
+    short = (("four", "alpha beta gamma delta"), ("three", "one two three"), ("two", "omega psi"), ("one", "sigma"))
+    rows = [(i, f"n1 n2 {text} n3 n4 n5") for i, (_, text) in enumerate(short)] + [(9, "alpha beta gamma one two omega")]
+    got = {(r.doc_id, r.license, r.first_word, r.containment) for r in licenses(frame(spark, rows), templates=short).collect()}
+    assert got == {(i, name, 2, 1.0) for i, (name, _) in enumerate(short)}
+
+
 def test_license_screen_loses_nothing():
     for name, text in TEMPLATES:
         w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]

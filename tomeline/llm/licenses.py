@@ -46,11 +46,11 @@ def _words(text: str) -> list[str]:
 
 
 def _classes(templates: tuple[tuple[str, str], ...]) -> dict[int, list[int]]:
-    """Template numbers by class; a class c holds templates of c words down to over c / 2."""
+    """Template numbers by class; a class c holds templates of c words down to over c / 2, or of c words alone if these make no shingle."""
     sizes = sorted(((len(_words(t)), i) for i, (_, t) in enumerate(templates)), reverse=True)
     out: dict[int, list[int]] = {}
     for n, i in sizes:
-        c = next((c for c in out if 2 * n > c and (n >= SHINGLE) == (c >= SHINGLE)), n)
+        c = next((c for c in out if n == c or 2 * n > c and n >= SHINGLE), n)
         out.setdefault(c, []).append(i)
     return out
 
