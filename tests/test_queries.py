@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tomeline import queries as own
+from tomeline.fixtures import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -57,3 +58,14 @@ def test_searches_without_sql(spark, name):
     assert sorted(r.rank for r in rows) == list(range(1, len(rows) + 1)) and rows
     if name == "search_typo":
         assert {r.tier for r in rows} == {"fuzzy"} and any(r.qualified_name.endswith(".NATION_7") for r in rows)
+
+
+def test_every_symbol_has_a_detail(spark):
+    symbols = {r.qualified_name: r for r in catalog(spark, SF).collect()}
+    got = {r.qualified_name: r.detail for r in own.QUERIES["format_detail_all"](spark, SF).collect()}
+    assert set(got) == set(symbols) and {r.src for r in symbols.values()} == set(range(7))
+    for name, r in symbols.items():
+        assert got[name].startswith(f"{r.symbol_type}: {name}\n") and (not r.signature or f"\nsignature: {r.signature}\n" in got[name])
+        if r.src == 4:
+            listed = got[name].split("\nmembers:\n")[1].split("\n")
+            assert len(listed) == sum(n.rsplit(".", 1)[0] == name for n in symbols)

@@ -449,6 +449,13 @@ def format_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmt.details(symbols, symbols.filter("src in (0, 1, 6)"))
 
 
+@_query(ORACLES["format_detail"].replace(" where s.src in (0, 1, 6)", ""), cte=False)
+def format_detail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_detail for every symbol of the catalogue."""
+    symbols = catalog(spark, sf_dir).withColumns({"file_path": F.concat(F.lit("/src/"), F.col("src").cast("string")), "line_no": F.col("id") % 1000000000000})
+    return fmt.details(symbols, symbols)
+
+
 @_query(
     "select exact, fuzzy, inside, case when exact > 0 then null when fuzzy > 0 and inside then 'Showing approximate matches (no exact results). Package may not be installed — try: uv add <package>' "
     "when fuzzy > 0 then 'Showing approximate matches (no exact results). Not in a Python project — no sources to reindex.' when inside then 'No results. Package may not be installed — try: uv add <package>' "
