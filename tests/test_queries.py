@@ -69,3 +69,10 @@ def test_every_symbol_has_a_detail(spark):
         if r.src == 4:
             listed = got[name].split("\nmembers:\n")[1].split("\n")
             assert len(listed) == sum(n.rsplit(".", 1)[0] == name for n in symbols)
+
+
+def test_prefix_glob_asks_for_every_source(spark):
+    symbols = catalog(spark, SF).collect()
+    got = {r["query"]: r.qualified_name for r in own.QUERIES["prefix_glob_all"](spark, SF).collect()}
+    few = {r["query"] for r in own.QUERIES["prefix_glob"](spark, SF).collect()}
+    assert few < set(got) and all(got[r.qualified_name] == r.qualified_name for r in symbols if r.src in (0, 4))

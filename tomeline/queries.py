@@ -255,6 +255,18 @@ def prefix_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.unambiguous(symbols, wanted, 1)
 
 
+# The names of the other sources too: regions, suppliers and brands.
+_PREFIXED_ALL = _PREFIXED + " union all select concat('geo.', name), 'geo', name from symbols where src in (0, 3) union all select concat('catalog.', name), 'catalog', name from symbols where src = 4"
+
+
+@_query(f", every as (select 1 as unused) select query, qualified_name from {_glob(_PREFIXED_ALL, 1)} g")
+def prefix_glob_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prefix_glob for the names of every source."""
+    symbols = catalog(spark, sf_dir)
+    wanted = spark.sql(_PREFIXED_ALL.replace("from symbols", "from {symbols}"), symbols=symbols.select("src", "name"))
+    return navigate.unambiguous(symbols, wanted, 1)
+
+
 def _with_bases(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("bases", F.when(F.col("base").isNull(), F.array().cast("array<string>")).otherwise(F.array("base")))
 
