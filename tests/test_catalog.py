@@ -5,6 +5,7 @@ import os
 import pytest
 
 from tomeline import cli
+from tomeline.operators import navigate
 from tomeline.operators.format import hint
 from tomeline.plans.catalog import Catalog
 from tomeline.sources import discover
@@ -148,3 +149,17 @@ def test_source_reads_package_by_package(spark, site):
     rows = read_symbols(spark, str(site))
     assert {r.source_key for r in rows.select("source_key").distinct().collect()} == {"shapes", "single", "spaced", "pointed"}
     assert read_symbols(spark, str(site), only=["single"]).count() == 1
+
+
+def test_hierarchies_have_no_end_but_their_own(spark):
+    """70 bases of one class, and a chain of 40 that closes in a circle."""
+    rows = [(0, "A", "p.A", "class", [f"q.B{i}" for i in range(70)])]
+    rows += [(100 + i, f"B{i}", f"p.B{i}", "class", ["B0", "Root"]) for i in range(70)] + [(300, "Root", "p.Root", "class", [])]
+    rows += [(400 + i, "run", f"p.{c}.run", "method", []) for i, c in enumerate(("A", "B3", "B69", "Root"))]
+    symbols = spark.createDataFrame(rows, "id long, name string, qualified_name string, symbol_type string, bases array<string>")
+    assert navigate.ancestry(symbols, "A") == [*[f"q.B{i}" for i in range(70)], "B0", "Root"] and navigate.ancestry(symbols, "A", 3) == ["q.B0", "q.B1", "q.B2"]
+    got = [(r.id, r.turn) for r in navigate.inherited(symbols, "A.run", 10).collect()]
+    assert got == [(400, 0), (401, 4), (402, 70), (403, 72)]
+    edges = spark.createDataFrame([(f"C{i}", f"C{(i + 1) % 40}") for i in range(40)], "class_name string, base_name string")
+    levels = {r.class_name: r.level for r in navigate.closure(spark, edges, "C0").collect()}
+    assert levels == {f"C{i % 40}": i for i in range(1, 41)}

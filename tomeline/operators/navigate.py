@@ -71,17 +71,18 @@ def class_of(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter((F.col("name") == name) & (F.col("symbol_type") == "class")).orderBy("id").limit(1)
 
 
-def ancestry(symbols: DataFrame, class_name: str, most: int = 64) -> list[str]:
-    """Base classes of a class as they are written, breadth first, each once; ``most`` at most."""
-    queue = [b for r in class_of(symbols, class_name).select("bases").collect() for b in r.bases]
-    seen: list[str] = []
-    while queue and len(seen) < most:  # a point query for each base
-        base = queue.pop(0)
-        if base in seen:
-            continue
-        seen.append(base)
-        queue += [b for r in class_of(symbols, base.rsplit(".", 1)[-1]).select("bases").collect() for b in r.bases]
-    return seen
+def ancestry(symbols: DataFrame, class_name: str, most: int | None = None) -> list[str]:
+    """Base classes of a class as they are written, breadth first, each once; all of them, or ``most``."""
+    level = [b for r in class_of(symbols, class_name).select("bases").collect() for b in r.bases]
+    seen: dict[str, None] = {}
+    while level and (most is None or len(seen) < most):  # one query for each level
+        fresh = [b for b in dict.fromkeys(level) if b not in seen]
+        seen |= dict.fromkeys(fresh)
+        asked = symbols.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(b.rsplit(".", 1)[-1] for b in fresh)], "name string")
+        classes = symbols.filter(F.col("symbol_type") == "class").join(F.broadcast(asked), "name", "left_semi").groupBy("name").agg(F.min_by("bases", "id").alias("bases"))
+        bases = {r.name: r.bases for r in classes.collect()}
+        level = [x for b in fresh for x in bases.get(b.rsplit(".", 1)[-1], [])]
+    return list(seen)[:most]
 
 
 def inherited(symbols: DataFrame, query: str, limit: int) -> DataFrame | None:
@@ -93,30 +94,28 @@ def inherited(symbols: DataFrame, query: str, limit: int) -> DataFrame | None:
         return None
     owner, member = query.rsplit(".", 1)
     owner = owner.rsplit(".", 1)[-1]
-    if class_of(symbols, owner).isEmpty():
+    # All that is looked at below, so that the catalogue itself is read once.
+    near = symbols.filter((F.col("symbol_type") == "class") | like("name", f"%{member}%")).cache()
+    if class_of(near, owner).isEmpty():
+        near.unpersist()
         return None
-    named = symbols.filter(like("name", f"%{member}%"))
-    parts = [named.filter(like("qualified_name", f"%{owner}.{member}%")).withColumns({"turn": F.lit(0), "within": F.col("qualified_name")})]
-    for i, base in enumerate(ancestry(symbols, owner)):
-        base = base.rsplit(".", 1)[-1]
-        parts.append(named.filter(like("qualified_name", f"%.{base}.{member}%")).withColumns({"turn": F.lit(i + 1), "within": F.lit("")}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    named = near.filter(like("name", f"%{member}%"))
+    patterns = [f"%{owner}.{member}%", *[f"%.{base.rsplit('.', 1)[-1]}.{member}%" for base in ancestry(near, owner)]]
+    turns = F.array_compact(F.array(*[F.when(like("qualified_name", p), F.lit(i)) for i, p in enumerate(patterns)]))
+    out = named.withColumn("turn", F.explode(turns)).withColumn("within", F.when(F.col("turn") == 0, F.col("qualified_name")).otherwise(F.lit("")))
     return out.orderBy("turn", "within", "id").limit(limit)
 
 
-def closure(spark: SparkSession, edges: DataFrame, start: str, most: int = 32) -> DataFrame:
-    """(class_name, level) of all ancestors of a class over edges (class_name, base_name), by SQL recursion."""
-    return spark.sql(
-        """
-        WITH RECURSIVE up (class_name, level) AS (
-          SELECT base_name, 1 FROM {edges} WHERE class_name = {start}
-          UNION ALL
-          SELECT e.base_name, u.level + 1 FROM up u JOIN {edges} e ON e.class_name = u.class_name WHERE u.level < {most})
-        SELECT class_name, min(level) AS level FROM up GROUP BY class_name
-        """,
-        edges=edges,
-        start=start,
-        most=most,
-    )
+def closure(spark: SparkSession, edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(class_name, level) of the ancestors of a class over edges (class_name, base_name), level by level until none is new, or ``most`` levels."""
+    edges = edges.select("class_name", "base_name").cache()
+    found: dict[str, int] = {}
+    frontier, level = [start], 0
+    while frontier and (most is None or level < most):  # one query for each level
+        level += 1
+        asked = F.broadcast(spark.createDataFrame([(n,) for n in frontier], "class_name string"))
+        bases = edges.join(asked, "class_name", "left_semi").select("base_name").distinct().collect()
+        frontier = [r.base_name for r in bases if r.base_name not in found]
+        found |= dict.fromkeys(frontier, level)
+    edges.unpersist()
+    return spark.createDataFrame(list(found.items()), "class_name string, level int")
