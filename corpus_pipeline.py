@@ -29,24 +29,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"kept.`{c}`") for c in docs.columns])
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each row, and the key's name: doc_id or, without one, a hash of the other columns from 2 ** 62 on.
+
+    A hash, unlike a number, is the same whenever the rows are read; equal rows without doc_id share it.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    made = F.xxhash64(*others).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)), key
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by 80 % of five-word shingles, the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays, the first by its other columns. Rows without doc_id stay.
+    Of rows that repeat a doc_id one stays, the first by its other columns. Rows without doc_id are
+    judged by their text like all others, and come after those with one; those without words stay.
     """
-    gone = near_duplicates(docs, k=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("row"))
-    one = one.select("doc_id", *[F.col(f"row.`{c}`").alias(c) for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+    keyed, key = _keyed(docs)
+    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
+    keyed = keyed.withColumn(key, F.when(F.col("doc_id").isNotNull() | (words > 0), F.col(key)))
+    gone = near_duplicates(keyed, k=5, percent=80, id_col=key).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    kept = keyed.join(gone, key, "left_anti")
+    repeated = keyed.groupBy(key).count().filter(f"count > 1 and {key} is not null").select(key)
+    one = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    one = one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.join(repeated, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover half of a benchmark item or more."""
-    leaks = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drops documents that cover half of a benchmark item or more, whether or not they have a doc_id."""
+    keyed, key = _keyed(docs)
+    leaks = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

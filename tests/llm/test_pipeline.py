@@ -41,3 +41,17 @@ def test_edge_rows_pass_every_stage(spark):
         assert ids == ([1, 2, None] if name == "near_dups" else [1, 2, 2, 3, None])
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() <= 12
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
+    say = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(None, say("x"), "en", "s"), (None, say("x"), "en", "s"), (None, say("x"), "de", "t"), (1, say("y"), "en", "s"), (None, say("y"), "en", "s"), (None, say("z"), "en", "s"), (None, f"so {item} so", "en", "s"), (2, f"or {item}", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stages = dict(pipeline.STAGES)
+    got = [(r.doc_id, r.text) for r in stages["near_dups"](spark, docs.limit(6), SF).collect()]
+    assert sorted(got, key=repr) == sorted([(None, say("x")), (1, say("y")), (None, say("z"))], key=repr)
+    short = spark.createDataFrame([(None, "", "en", "s"), (None, "", "en", "s"), (None, "a \x0b b", "en", "s"), (None, "a \x0b b", "en", "s"), (None, None, "en", "s"), (None, None, "en", "s")], docs.schema)
+    assert sorted(r.text or "" for r in stages["near_dups"](spark, short, SF).collect()) == ["", "", "", "", "a \x0b b"]
+    got = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([r[:2] for r in rows[:6]], key=repr)
