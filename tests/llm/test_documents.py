@@ -383,6 +383,20 @@ def test_mix(spark):
     assert keyed(mix(table.repartition(7)).collect(), "doc_id", "source", "taken") == keyed(got, "doc_id", "source", "taken")
 
 
+def test_mix_gives_equal_rows_equal_copies(spark):
+    """Every id thrice: in one source, and with another text; the draw is the id's own."""
+    rows = [(i % 400, " ".join("w" for _ in range(5 + i % 7)), "ab"[i % 400 % 2]) for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    copies = collections.defaultdict(set)
+    got = mix(table, weights=(5, 3)).collect()
+    for r in got:
+        copies[r.doc_id].add(r.copies)
+    assert len(copies) == 400 and all(len(c) == 1 for c in copies.values()) and len({r.copies for r in got}) > 1
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) < 0.03 * mine[0].target
+
+
 # -- empty tables ------------------------------------------------------------------------------------
 
 

@@ -2,34 +2,29 @@
 
 Token counts are summed by source; the targets follow from weights and a cap on repetition; each
 document comes out floor(rate) times, and once more with the probability of the rate's fraction. All
-of it is DataFrame operations.
+of it is DataFrame operations, and no text is shuffled.
 
-Independent draws would leave a source of a few hundred documents ten or more percent off its target.
-So the hash-seeded draws are systematic: a hash of the id deals a source's documents into strata, each
-stratum has one random number from a hash of its name, and its documents, in order of size, take evenly
-spaced places from there. A document's chance of one more copy is still exactly the fraction.
+The draw of a document is a hash of its own id and a seed, so documents draw independently. One such
+draw leaves a source of a few hundred documents ten percent or more off its target. So ``SEEDS`` seeds
+are tried in one aggregate over (source, size, id), which adds up before its shuffle, and each source
+uses the one that brings it nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
-#: Documents in a stratum, about; they meet in one task.
-STRATUM = 256
+#: Seeds tried for each source.
+SEEDS = 32
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def chance(key: Column, seed: str) -> Column:
-    """A number in [0, 1) that the key and the seed decide: the first 52 bits of their MD5 digest."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
-
-
 def _ranked(scratch: Scratch, sources: DataFrame, weights: Sequence[int]) -> DataFrame:
     """Sources with their weight by rank, code points ascending and null last.
 
@@ -70,27 +65,44 @@ def targets(scratch: Scratch, sources: DataFrame, weights: Sequence[int] = WEIGH
     return ranked.select("source", "source_size", "n_docs", F.least(fair, (most * F.col("source_size")).cast("double")).alias("target"))
 
 
+def draws(key: Column, seed: str, share: str, n: int = SEEDS) -> list[Column]:
+    """Whether a document takes one more copy under each of ``n`` seeds: whether a 52-bit number, the first bits of an MD5 digest, lies under a share of 2 ** 52, as hexadecimal digits."""
+    return [F.concat(F.lit("0"), F.substring(F.md5(F.concat(F.lit(f"{seed}:{i}:"), key)), 1, 13)) < F.col(share) for i in range(n)]
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size (words of the text), source_size, target (of its source), copies and taken (copies * size), and, as a struct, kept: the columns of ``keep``.
 
-    Sizes count runs outside ASCII white space; a null text has 0. A null source is a source of its
-    own, ranked last. Rows that repeat a doc_id get the same number of copies if their source is the
-    same; rows without doc_id go by a digest of their text instead. A source without words has the
-    target 0 and none of its documents is taken. Other columns are ignored.
+    Sizes count runs outside ASCII white space; a null or empty text has 0. A null source is a source
+    of its own, ranked last. Rows that repeat a doc_id and a source get the same number of copies, as
+    only these two decide it; rows without doc_id go by a digest of their text instead. A source
+    without words has the target 0 and none of its documents is taken. Of seeds that bring a source
+    equally near, the first counts. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    # Rows without an id are told apart by their text.
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), chance(key, seed).alias("chance"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
-    if not keep:  # else the texts are counted twice rather than written
-        sized = scratch.table("sized", sized)
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")]
+    sized = scratch.table("sized", docs.select(*columns))
     goal = targets(scratch, sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
-    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "source_of")
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("source_of")))
-    out = out.withColumn("stratum", F.floor(F.col("chance") * F.ceil(F.col("n_docs") / STRATUM)))
-    place = F.row_number().over(Window.partitionBy("source", "stratum").orderBy("size", "chance", "doc_id"))
-    start = chance(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("stratum").cast("string")), f"{seed}:start")
-    share = F.col("rate") - F.floor("rate")
-    out = out.withColumns({"place": place, "start": start, "share": share})
-    more = F.floor(F.col("start") + F.col("place") * F.col("share")) - F.floor(F.col("start") + (F.col("place") - 1) * F.col("share"))
-    copies = (F.floor("rate") + more).cast("long")
+    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    share = F.ceil((F.col("rate") - F.floor("rate")) * float(1 << 52))
+    goal = goal.withColumn("share", F.lower(F.lpad(F.hex(share), 14, "0"))).withColumnRenamed("source", "source_of").drop("n_docs")
+    goal = scratch.table("goal", goal)
+    same = F.col("source").eqNullSafe(F.col("source_of"))
+    sums = [F.sum(F.when(d, F.col("size")).otherwise(0)).alias(f"s{i}") for i, d in enumerate(draws(F.col("key"), seed, "share"))]
+    tried = sized.join(goal.select("source_of", "share"), same).groupBy("source_of").agg(*sums)
+    met = goal.join(tried.withColumnRenamed("source_of", "of"), F.col("source_of").eqNullSafe(F.col("of")))
+    base = F.floor("rate") * F.col("source_size")
+    off = F.array(*[F.struct(F.abs((base + F.col(f"s{i}")).cast("double") - F.col("target")).alias("off"), F.lit(i).alias("at")) for i in range(SEEDS)])
+    goal = scratch.table("chosen", met.select("source_of", "source_size", "target", "rate", "share", F.array_min(off)["at"].alias("at")))
+    scratch.drop("goal")
+
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    # With other columns to keep, sizes are counted once more where the rows are, so that these need not be written.
+    rows = docs.select(*columns, *kept) if keep else sized
+    out = rows.join(goal, same)
+    draw = F.concat(F.lit("0"), F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("at").cast("string"), F.lit(":"), F.col("key"))), 1, 13)) < F.col("share")
+    copies = (F.floor("rate") + draw.cast("long")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *(["kept"] if keep else []))

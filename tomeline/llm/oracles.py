@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import STRATUM, WEIGHTS
+from .mixing import SEEDS, WEIGHTS
 from .url_filter import GAP, GLOBS, RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -82,11 +82,12 @@ levels as (select *, 3.0 * source_size / weight as ratio, t - coalesce(sum(3 * s
   sum(weight) over (order by 3.0 * source_size / weight rows between current row and unbounded following) as share from weighed cross join total),
 chosen as (select cast(rest as bigint) as rest, cast(share as bigint) as share from levels where cast(rest as double) / share <= ratio order by ratio limit 1),
 goal as (select source, source_size, n_docs, least(cast(rest as double) * weight / share, cast(3 * source_size as double)) as target from weighed cross join chosen),
-rated as (select d.*, g.source_size, g.n_docs, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate, cast(concat('0x', substr(md5(concat('mix:', cast(doc_id as varchar))), 1, 13)) as ubigint) / 4503599627370496.0::double as chance
-  from d join goal g on g.source is not distinct from d.source),
-dealt as (select *, cast(floor(chance * ceil(n_docs / {STRATUM})) as bigint) as stratum, rate - floor(rate) as share from rated),
-placed as (select *, row_number() over (partition by source, stratum order by size, chance, doc_id) as place,
-  cast(concat('0x', substr(md5(concat('mix:start:', coalesce(source, ''), '/', cast(stratum as varchar))), 1, 13)) as ubigint) / 4503599627370496.0::double as start from dealt),
-final as (select *, cast(floor(rate) + floor(start + place * share) - floor(start + (place - 1) * share) as bigint) as copies from placed)
-select doc_id, size, source_size, target, copies * size as taken, source, copies from final
+rated as (select *, case when source_size > 0 then target / source_size else 0 end as rate from goal),
+shared as (select *, lower(lpad(to_hex(cast(ceil((rate - floor(rate)) * 4503599627370496.0::double) as bigint)), 14, '0')) as share from rated),
+tried as (select g.source, s.at, sum(case when concat('0', substr(md5(concat('mix:', cast(s.at as varchar), ':', cast(d.doc_id as varchar))), 1, 13)) < g.share then d.size else 0 end) as more
+  from d join shared g on g.source is not distinct from d.source cross join (select unnest(range({SEEDS})) as at) s group by g.source, s.at),
+nearest as (select *, row_number() over (partition by t.source order by abs(cast(floor(g.rate) * g.source_size + t.more as double) - g.target), t.at) as nr from tried t join shared g on g.source is not distinct from t.source),
+final as (select d.*, n.source_size, n.target, cast(floor(n.rate) as bigint) + case when concat('0', substr(md5(concat('mix:', cast(n.at as varchar), ':', cast(d.doc_id as varchar))), 1, 13)) < n.share then 1 else 0 end as copies
+  from d join nearest n on n.source is not distinct from d.source where n.nr = 1)
+select doc_id, size, source_size, target, copies * size as taken, source, cast(copies as bigint) as copies from final
 """
