@@ -150,16 +150,76 @@ _INNER = bytes([0x02, 0x01, 0x00, 0x30, 0x0D, 0x06, 0x09, *range(1, 10), 0x05, 0
 DER = bytes([0x30, len(_INNER)]) + _INNER
 
 
+def _field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def _der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (size := (n.bit_length() + 7) // 8)]) + n.to_bytes(size, "big")) + body
+
+
+PUBLIC = _field(b"ssh-ed25519") + _field(b"k" * 32)
+OPENSSH = b"openssh-key-v1\0" + _field(b"none") + _field(b"none") + _field(b"") + (1).to_bytes(4, "big") + _field(PUBLIC) + _field(b"p" * 64)
+
+
 def test_secret_structures():
     import base64
 
     assert is_der_key(DER) and not is_der_key(DER[:-1]) and not is_der_key(DER + b"\0") and not is_der_key(b"\x30\x0e" + b"\x41" * 14)
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
-    assert is_ssh_key(ssh) and not is_ssh_key(ssh[:-1])
-    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
-    text = f"é {head}.{head}.abc and {base64.b64encode(DER).decode()} {DER.hex()} {base64.b64encode(ssh).decode()} eyJub3RoaW5n.x.y M{'A' * 50}"
+    assert is_ssh_key(PUBLIC) and not is_ssh_key(PUBLIC[:-1])
+    assert is_ssh_key(OPENSSH) and not is_ssh_key(OPENSSH[:-1]) and not is_ssh_key(OPENSSH + b"x") and not is_ssh_key(b"openssh-key-v1\0" + b"and then some prose that is no key " * 3)
+    deep = _der(0x02, b"\x05" * 9)
+    for _ in range(3000):
+        deep = _der(0x30, deep)
+    assert is_der_key(deep) and not is_der_key(deep[:-1])
+    head, claims = (base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"me"}'))
+    text = f"é {head}.{claims}.abc and {base64.b64encode(DER).decode()} {DER.hex()} {base64.b64encode(PUBLIC).decode()} eyJub3RoaW5n.x.y M{'A' * 50}"
     assert [k for _, _, k in spans_of(text)] == ["jwt", "der", "hex", "der", "ssh"]
     assert spans_of(text)[0][0] == 2
+    assert [k for _, _, k in spans_of(f"{head}.zzz. {head}.{claims}. {head}.zzzz.abc")] == []
+
+
+def test_secrets_broken_over_lines():
+    import base64
+
+    key = _der(0x30, DER * 6 + _der(0x02, bytes(range(200))))
+    code = base64.b64encode(key).decode()
+    lines = "\n".join(code[i : i + 64] for i in range(0, len(code), 64))
+    assert spans_of(f"x {lines}\nwords that follow") == [(2, 2 + len(lines), "der")]
+    assert spans_of(f"x {lines[:-9]}\nwords that follow") == []
+    url = base64.urlsafe_b64encode(key).decode().rstrip("=")
+    assert spans_of(f"({url})") == [(1, 1 + len(url), "der")] and spans_of(f"{url}A .") == []
+    clear = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    closed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{base64.b64encode(bytes(range(64))).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert spans_of(clear) == [(0, len(clear), "pem")] and spans_of(closed) == [(0, len(closed), "pem")]
+    assert spans_of(closed.replace("0A" * 16, "0A")) == []
+
+
+def base_spans(text):
+    """The three base kinds by definition, from every place of the text in turn."""
+    kinds = {
+        "assign": (r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 12),
+        "access": (r"(AKIA[A-Z0-9]+)", 1, 18),
+        "hex": (r"([0-9a-f]+)", 1, 16),
+    }
+    out = []
+    for kind, (pattern, group, least) in kinds.items():
+        at, fits = 0, re.compile(pattern)
+        while at < len(text):
+            m = fits.match(text, at)
+            if m and len(m[group]) >= least:
+                out.append((m.start(), m.end(), kind))
+            at = m.end() if m else at + 1
+    return sorted(out, key=lambda s: (s[0], list(kinds).index(s[2])))
+
+
+def test_base_spans_equal_their_definition():
+    rng = random.Random(12)
+    parts = ["token", "PASSWORD", "Api_Key", "apikey", "secret", ":", "=", " = ", '"', "'", "AKIA", "ABCDEF0123456789XY", "abcdef012345", "deadbeefdeadbeef", "xyz-_./+", " ", "\n", "é", "ſ", "token=abcdefghijklmn"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert [s for s in spans_of(text) if s[2] in ("assign", "access", "hex")] == base_spans(text), text
 
 
 def test_secrets(spark):

@@ -2,7 +2,9 @@
 
 Three base kinds are plain patterns. Further candidates (base64, hex, signed tokens, armoured keys)
 are decoded and reported only if what comes out has the structure of a key: DER values whose nested
-lengths add up, the length-prefixed fields of an SSH key, or a token header that names its algorithm.
+lengths add up (they also say where a value that is broken over lines ends), the length-prefixed fields
+of an SSH key, a signed token whose header names its algorithm and whose claims are an object, or an
+armoured body whose header lines name its cipher.
 """
 
 from __future__ import annotations
@@ -26,60 +28,99 @@ KINDS = ("assign", "access", "hex", "der", "jwt", "pem", "ssh")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_CIPHER = re.compile(r"^\s*DEK-Info: ([A-Z0-9-]+),((?:[0-9A-Fa-f]{2})+)\s*$", re.M)
+# Base64 of either alphabet that begins like a SEQUENCE, and what follows it on further lines.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{19,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*={0,2}")
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA[A-Za-z0-9+/]{40,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,})={0,2}")
 
 #: Every text with a span matches this; RE2 runs it over a whole column. Its \\x20* and case folding let more pass than the patterns do.
-_SCREEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{16}|eyJ[A-Za-z0-9_-]+\.|-----BEGIN |M[A-Za-z0-9+/]{39}|30[0-9A-Fa-f]{38}|AAAA[A-Za-z0-9+/]{40}|b3BlbnNzaC1rZXktdjE"""
-
-
-def _der(data: bytes, at: int, end: int, depth: int, seen: list[int]) -> bool:
-    """Whether data[at:end] is a run of DER values that fills it exactly; seen gets their tags."""
-    if depth > 12:
-        return False
-    while at < end:
-        if end - at < 2:
-            return False
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if tag & 0x1F == 0x1F or size == 0x80:
-            return False
-        if size > 0x80:
-            n = size & 0x7F
-            if n > 4 or at + n > end:
-                return False
-            size = int.from_bytes(data[at : at + n], "big")
-            at += n
-            if size < 0x80:  # DER asks for the shortest form
-                return False
-        if at + size > end:
-            return False
-        seen.append(tag)
-        if tag & 0x20 and not _der(data, at, at + size, depth + 1, seen):
-            return False
-        at += size
-    return True
+_SCREEN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{16}|eyJ[A-Za-z0-9_-]+\.|-----BEGIN |M[A-Za-z0-9+/_-]{19}|30[0-9A-Fa-f]{38}|AAAA[A-Za-z0-9+/]{40}|b3BlbnNzaC1rZXktdjE"""
+
+
+def _der_head(data: bytes, at: int, end: int) -> tuple[int, int] | None:
+    """Where the contents of the DER value at ``at`` begin and end, if its length is in the shortest form and leaves it before ``end``."""
+    if end - at < 2:
+        return None
+    tag, size = data[at], data[at + 1]
+    at += 2
+    if tag & 0x1F == 0x1F or size == 0x80:
+        return None
+    if size > 0x80:
+        n = size & 0x7F
+        if n > 4 or at + n > end:
+            return None
+        size = int.from_bytes(data[at : at + n], "big")
+        at += n
+        if size < 0x80 or size >> 8 * (n - 1) == 0:
+            return None
+    return (at, at + size) if at + size <= end else None
+
+
+def _der_tags(data: bytes) -> list[int] | None:
+    """The tags of a run of DER values that fills the data exactly, nested ones included; None if lengths do not add up.
+
+    A constructed value is entered, not recursed into, so that any depth is read; each step takes a
+    head of two bytes at least.
+    """
+    tags, at, ends = [], 0, [len(data)]
+    while True:
+        while ends and at == ends[-1]:
+            ends.pop()
+        if not ends:
+            return tags
+        found = _der_head(data, at, ends[-1])
+        if found is None:
+            return None
+        tags.append(data[at])
+        at, end = found
+        if tags[-1] & 0x20:
+            ends.append(end)
+        else:
+            at = end
 
 
 def is_der_key(data: bytes) -> bool:
     """One SEQUENCE that holds integers, object identifiers or key strings, all lengths adding up."""
-    seen: list[int] = []
-    return len(data) >= 16 and data[0] == 0x30 and _der(data, 0, len(data), 0, seen) and len(seen) >= 3 and seen.count(0x30) <= len(seen) - 2 and any(t in (0x02, 0x03, 0x04, 0x06) for t in seen)
+    if len(data) < 16 or data[0] != 0x30 or (head := _der_head(data, 0, len(data))) is None or head[1] != len(data):
+        return False
+    tags = _der_tags(data)
+    return tags is not None and len(tags) >= 3 and any(not t & 0x20 for t in tags) and any(t in (0x02, 0x03, 0x04, 0x06) for t in tags)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """``openssh-key-v1`` or length-prefixed fields, the first naming a key type, that fill the data."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from ``at`` on, all or the first ``most``, and where they end; None if a length passes the end."""
+    found: list[bytes] = []
+    while (at < len(data)) if most is None else (len(found) < most):
         size = int.from_bytes(data[at : at + 4], "big")
-        fields.append(data[at + 4 : at + 4 + size])
+        if at + 4 + size > len(data):
+            return None
+        found.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+    return found, at
+
+
+def _is_public_blob(data: bytes) -> bool:
+    """Fields that fill the data, the first naming a key type."""
+    found = _fields(data, 0)
+    return found is not None and len(found[0]) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", found[0][0]) is not None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A public key, or ``openssh-key-v1``: names of cipher and derivation, its options, as many public keys as announced and one private part, to the end."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return _is_public_blob(data)
+    head = _fields(data, len(magic), 3)
+    if head is None or head[1] + 4 > len(data) or not all(re.match(rb"[a-z0-9@.-]+$", x) for x in head[0][:2]):
+        return False
+    n, at = int.from_bytes(data[head[1] : head[1] + 4], "big"), head[1] + 4
+    if not 0 < n <= len(data):
+        return False
+    keys = _fields(data, at, n + 1)
+    return keys is not None and keys[1] == len(data) and all(map(_is_public_blob, keys[0][:-1])) and len(keys[0][-1]) >= 8
 
 
 def _decoded(text: str, url: bool = False) -> bytes:
@@ -92,12 +133,54 @@ def _decoded(text: str, url: bool = False) -> bytes:
         return b""
 
 
-def _is_token_header(text: str) -> bool:
+def _object(text: str) -> dict | None:
+    """The JSON object that base64url text holds, if it does."""
     try:
-        head = json.loads(_decoded(text, url=True))
+        found = json.loads(_decoded(text, url=True))
     except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_token(text: str) -> bool:
+    """A signed token: a header that names its algorithm, claims, and a signature unless the algorithm is none; or the five parts of an encrypted one."""
+    parts = text.split(".")
+    head = _object(parts[0])
+    if head is None or not isinstance(head.get("alg"), str):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    if len(parts) == 5:
+        return isinstance(head.get("enc"), str) and all(p == "" or _decoded(p, url=True) for p in parts[1:]) and bool(parts[3])
+    return len(parts) == 3 and _object(parts[1]) is not None and (bool(_decoded(parts[2], url=True)) or (not parts[2] and head["alg"].lower() == "none"))
+
+
+def _is_armoured(headers: str, body: bytes) -> bool:
+    """A key in the clear, or one whose headers name a cipher and its start value, with whole cipher blocks."""
+    if is_der_key(body) or is_ssh_key(body):
+        return True
+    cipher = _CIPHER.search(headers)
+    return cipher is not None and "ENCRYPTED" in headers and len(cipher[2]) in (16, 32) and len(body) >= 16 and len(body) % (len(cipher[2]) // 2) == 0
+
+
+def _der_end(run: str) -> int | None:
+    """How much of a run of base64, line breaks and all, is one DER key: its own length says how many characters it takes."""
+    code = [i for i, c in enumerate(run) if not c.isspace() and c != "="]
+    plain = "".join(run[i] for i in code)
+    url = "-" in plain or "_" in plain
+    if url and ("+" in plain or "/" in plain):
+        return None
+    begin = _decoded(plain[:8], url)
+    # The head alone: what it announces lies beyond these bytes.
+    size = begin[1] if begin[1] < 0x80 else int.from_bytes(begin[2 : 2 + (begin[1] & 0x7F)], "big") if 0x80 < begin[1] <= 0x84 else None
+    if size is None:
+        return None
+    total = size + 2 + (begin[1] & 0x7F if begin[1] > 0x80 else 0)
+    need = (total * 8 + 5) // 6
+    if need > len(code) or not is_der_key(_decoded(plain[:need], url)):
+        return None
+    end = code[need - 1] + 1
+    while end < len(run) and run[end] == "=":
+        end += 1
+    return end if end == len(run) or run[end].isspace() else None
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
@@ -105,14 +188,12 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end() - m.start(2) >= 12]
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _is_token_header(m[0].split(".", 1)[0])]
-    for m in _PEM.finditer(text) if "-----BEGIN " in text else ():
-        body = _decoded("".join(m[2].split()))
-        if is_der_key(body) or is_ssh_key(body):
-            found.append((m.start(), m.end(), "pem"))
-    found += [(m.start(), m.end(), "der") for m in _BASE64.finditer(text) if is_der_key(_decoded(m[0]))]
+    found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[0])]
+    armoured = [(m.start(), m.end(), "pem") for m in (_PEM.finditer(text) if "-----BEGIN " in text else ()) if _is_armoured(m[2], _decoded("".join(m[3].split())))]
+    der = [(m.start(), m.start() + end, "der") for m in _BASE64.finditer(text) if (end := _der_end(m[0])) is not None]
+    found += armoured + [d for d in der if not any(a <= d[0] < b for a, b, _ in armoured)]
     found += [(m.start(), m.end(), "der") for m in _HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
-    found += [(m.start(), m.end(), "ssh") for m in _SSH.finditer(text) if is_ssh_key(_decoded(m[0]))]
+    found += [(m.start(), m.end(), "ssh") for m in _SSH.finditer(text) if is_ssh_key(_decoded(m[0])) and not any(a <= m.start() < b for a, b, _ in armoured)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
