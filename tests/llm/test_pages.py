@@ -4,7 +4,7 @@ import random
 import re
 
 from tomeline.llm.html_text import LABELLED, extract_text, keeps, main_text, tree
-from tomeline.llm.url_filter import Automaton, filter_urls, split_url
+from tomeline.llm.url_filter import Automaton, canonical, filter_urls, split_url
 
 SCHEMA = "page_id long, url string, html string, text string, host string, rule string"
 
@@ -39,6 +39,15 @@ def test_filter_urls(spark):
     assert filter_urls(table.limit(0)).count() == 0
 
 
+def test_globs_see_the_canonical_address(spark):
+    bad = ["http://x.net/Setup.EXE", "http://x.net/a%2Eexe", "http://x.net/%77p-login.php", "http://ca%73ino.net", "http://x.net/a%252Eexe", "http://u:p@poker.net:8080/", "http://POKER.net./", "http://my-poker.net", "http://x.net//wp-login.php", "http://x.net/./cgi-bin/a", "http://x.net/a.e%0Axe"]
+    good = ["http://escortford.club/", "http://essexpoker.museum/", "http://x.net/a.exe.html", "http://x.net/poker", "http://x.net/?q=casino", "http://x.net/100%25", "http://x.net/%zz", "http://alphabets.net/", "http://x.net/%ff%fe"]
+    table = spark.createDataFrame([(i, u, None, "", "", "") for i, u in enumerate(bad + good)], SCHEMA)
+    got = {r.page_id: r.verdict for r in filter_urls(table).collect()}
+    assert [got[i] for i in range(len(bad))] == ["block"] * len(bad) and [got[len(bad) + i] for i in range(len(good))] == ["allow"] * len(good)
+    assert canonical("..A%2eb.:80", "//x/./y//z/") == ("a.b", "/x/y/z/")
+
+
 def test_tree_fits_its_table():
     right = sum(keeps(row[:-1], tree()) == bool(row[-1]) for row in LABELLED)
     assert right >= 0.97 * len(LABELLED) and len(LABELLED) < 200

@@ -55,7 +55,7 @@ def _fits(host: str, path: str) -> str:
 
 def _glob(glob: str) -> str:
     host, path = glob.split(GAP)
-    return f"host like '{host.replace('*', '%')}'" if host != "*" else f"path like '{path.replace('*', '%')}'"
+    return f"chost like '{host.replace('*', '%')}'" if host != "*" else f"cpath like '{path.replace('*', '%')}'"
 
 
 _BY_LENGTH = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
@@ -64,9 +64,13 @@ _GLOB = "case " + " ".join(f"when {_glob(g)} then '{g.replace(GAP, '|')}'" for g
 _VERDICT = "case " + " ".join(f"when rule = '{h}{p}' then '{v}'" for v, h, p in RULES) + " when \"glob\" is not null then 'block' else 'allow' end"
 
 URLS = rf"""
-with parts as (select page_id, {_FOLD.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+with recursive parts as (select page_id, {_FOLD.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+plain(text, now) as (select distinct x, x from (select host as x from parts union select path from parts) union all select text, url_decode(now) from plain where url_decode(now) <> now),
+decoded as (select text, arg_min(regexp_replace(lower(now), '[\x01-\x20]+', '', 'g'), length(now)) as now from plain group by text),
 ruled as (select *, {_RULE} as rule from parts),
-judged as (select *, case when rule is null then {_GLOB} end as "glob" from ruled)
+spelt as (select r.*, concat('.', trim(regexp_replace(regexp_replace(h.now, '^.*@', ''), ':[0-9]*$', ''), '.'), '.') as chost, regexp_replace(p.now, '/([.]?/)+', '/', 'g') as cpath
+  from ruled r join decoded h on h.text = r.host join decoded p on p.text = r.path),
+judged as (select *, case when rule is null then {_GLOB} end as "glob" from spelt)
 select page_id, host, path, rule, {_VERDICT} as verdict, "glob" from judged
 """
 
