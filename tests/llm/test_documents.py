@@ -376,11 +376,69 @@ def test_tiling_equals_its_definition():
     import numpy as np
 
     rng = random.Random(1)
-    for _ in range(150):
-        a, b, k = [rng.randrange(3) for _ in range(rng.randint(0, 25))], [rng.randrange(3) for _ in range(rng.randint(0, 18))], rng.randint(2, 4)
-        pairs = [(i, j) for i in range(len(a) - k + 1) for j in range(len(b) - k + 1) if a[i : i + k] == b[j : j + k]]
-        got = tile(np.array([p for p, _ in pairs], dtype=np.int64), np.array([q for _, q in pairs], dtype=np.int64), k)
+    for _ in range(300):
+        a, b, k = [rng.randrange(3) for _ in range(rng.randint(0, 25))], [rng.randrange(3) for _ in range(rng.randint(0, 18))], rng.randint(1, 4)
+        got = tile(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), k, lambda p, q, n, a=a, b=b: a[p : p + n] == b[q : q + n])
         assert sorted(n for *_, n in got) == tiled(a, b, k)
+        assert all(a[p : p + n] == b[q : q + n] for p, q, n in got)
+
+
+def test_tiling_holds_hashes_against_tokens():
+    """Of two hashes that are equal by chance no tile is made, and the search goes on below."""
+    import numpy as np
+
+    a, b = np.array([1, 2, 3, 4, 5, 6, 9, 1, 2, 3], dtype=np.uint64), np.array([1, 2, 3, 4, 5, 6], dtype=np.uint64)
+    assert tile(a, b, 3, lambda p, q, n: n == 3) == [(0, 0, 3), (3, 3, 3)]
+    assert tile(a, b, 3, lambda p, q, n: False) == []
+
+
+def tokens(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def covered(rows, items, k=5, percent=50):
+    """(doc_id, item_id): best coverage of all pairs, each tiled by definition."""
+    out = {}
+    for i, text in rows:
+        for j, item in items:
+            a, b = tokens(text), tokens(item)
+            if i is None or j is None or not b:
+                continue
+            n = sum(tiled(a, b, min(k, len(b))))
+            if n * 100 >= len(b) * percent:
+                out[i, j] = max(out.get((i, j), 0), round(n / len(b), 6))
+    return out
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(17)
+    phrase = "which of the following is".split()
+    say = lambda n: [f"t{rng.randrange(60)}" for _ in range(n)]
+    items = [(i, " ".join(phrase + say(rng.randint(0, 14)))) for i in range(25)] + [(40, "one two three"), (41, "x y"), (42, "a a a a a a a a a"), (42, "b b b b c"), (None, "one two three four"), (43, None), (44, "")]
+    rows = []
+    for i in range(90):
+        w = say(rng.randint(0, 12))
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1] or ""
+            own = own.split()
+            cut = rng.randint(0, len(own))
+            w += (own[cut:] + say(rng.randint(0, 3)) + own[:cut])[: rng.randint(3, 20)]
+        rows.append((i % 80, " ".join(w + phrase * rng.randint(0, 2))))
+    rows += [(100, "a " * 30), (101, None), (102, ""), (105, "an x, y"), (None, items[0][1]), (103, "One, TWO; three!"), (104, "b b b b"), rows[3]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in contamination(frame(spark, rows), bench).collect()}
+    assert got == covered(rows, items) and len(got) > 60
+    named = [(None if i is None else f"d{i}", t) for i, t in rows]
+    by_name = contamination(spark.createDataFrame(named, "doc_id string, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): r.coverage for r in by_name} == {(f"d{i}", j): c for (i, j), c in got.items()}
+
+
+def test_contamination_of_long_repetitive_texts(spark):
+    rows = [(1, "a " * 300_000), (2, "a b " * 100_000), (3, ("a " * 499 + "z ") * 400)]
+    bench = spark.createDataFrame([(1, "a " * 2000), (2, "b a " * 900)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    # Four runs of 499 cover 1996 tokens; the last four are too few for a tile.
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 1): 0.998}
 
 
 def test_contamination(spark):
