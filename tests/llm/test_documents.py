@@ -261,6 +261,25 @@ def test_remove_repeats(docs):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.kept_text is not None)
 
 
+def test_remove_repeats_of_passages_within_passages(spark):
+    """Overlapping passages of several documents, repeats within one, periodic texts: all that an owner's match does not explain."""
+    rng = random.Random(21)
+    say = lambda n, k=9: [f"v{rng.randrange(k)}" for _ in range(n)]
+    base, rows = say(60, 500), []
+    for i in range(160):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.randrange(5)
+            at = rng.randrange(45)
+            w += say(rng.randint(0, 9), 500) if kind == 0 else base[at : at + rng.randint(5, 40)] if kind < 3 else ["x", "y"] * rng.randint(3, 12) if kind == 3 else say(rng.randint(8, 20), 2)
+        rows.append((i % 150 if i % 40 else None, " ".join(w)))
+    got = remove_repeats(frame(spark, rows)).collect()
+    assert keyed(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(removed(rows), key=repr)
+    named = [(None if i is None else f"{i:04}", t) for i, t in rows]
+    got = remove_repeats(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert keyed(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(removed(named), key=repr)
+
+
 # -- 5 -----------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,16 @@
 
 1. *Seeds.* Every document is winnowed (Schleimer, Wilkerson, Aiken 2003): of each ``length`` words,
    the smallest hash among their ``seed`` -word grams is an anchor, so two documents that share
-   ``length`` words share an anchor. Anchors of one document only are dropped.
-2. *Extend.* Around each shared anchor, left and right, the document's windows of ``length`` words
-   are looked up: a match goes on as long as each further window also starts in an earlier document.
-   Instead of comparing document pairs, whose number grows with the square of a group of copies,
-   each window meets the smallest doc_id that has it; that decides exactly the same words.
-3. Runs of consecutive windows of that kind are the maximal repeats; their words are removed.
+   ``length`` words share an anchor. Anchors of one document only are dropped; of each other one the
+   document with the smallest doc_id is the owner.
+2. *Extend.* Documents meet the owners of their anchors, never each other, so a group of copies costs
+   what its members cost. Around each anchor the words to the left and to the right are compared with
+   those around the owner's anchor, as far as a window of ``length`` words reaches; a longer match goes
+   on from its next anchor. Windows within the match are in the owner, an earlier document.
+3. *Edges.* A window that leaves the owner's match may still be in a third document. Its anchor, and
+   whether the match around that takes all of the window, depend on its words alone, so these windows
+   need meet only each other: each its smallest doc_id.
+4. Runs of such windows, joined where they touch or overlap, are the maximal repeats; their words go.
 
 Documents whose whole word sequence occurs in an earlier document are decided from a hash of it,
 before any seeds are taken.
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .ids import numbered_ids
 from .scratch import Scratch
 
 SEED = 5
@@ -66,39 +71,112 @@ def _seeder(length: int):
     return seed
 
 
+def _around(words: K.Words, place: np.ndarray, length: int) -> np.ndarray:
+    """Hashes (uint32) of the words before and after the grams at ``place``, as far as a window reaches, nearest first; 0 beyond the document."""
+    doc = np.searchsorted(words.first, place, side="right") - 1
+    reach = np.arange(length - SEED)
+    out = []
+    for at in (place[:, None] - 1 - reach, place[:, None] + SEED + reach):
+        inside = (at >= words.first[doc][:, None]) & (at < words.first[doc + 1][:, None])
+        h = (words.hash[np.where(inside, at, 0)] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out.append(np.where(inside, h, np.uint32(0)))
+    return np.concatenate(out, axis=1)
+
+
+def _grams(words: K.Words) -> np.ndarray:
+    """Hashes of the grams that lie in one document each, by word; others are given the hash of nothing, 0."""
+    grams, inside = words.windows(SEED)
+    return np.where(inside, grams, np.uint64(0))
+
+
+def _own(length: int):
+    """(anchor, around) of the first place of each anchor that a document owns; columns: doc_id, text, anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors = batch.column(2)
+            for i, j, data, bounds in K.chunks(batch.column(1)):
+                words = K.Words(data, bounds)
+                grams, found, places = _grams(words), [], []
+                for d in range(i, j):
+                    f, e = words.first[d - i], words.first[d - i + 1]
+                    own = np.unique(anchors[d].values.to_numpy().view(np.uint64))
+                    value, at = np.unique(grams[f : max(f, e - SEED + 1)], return_index=True)
+                    hit = np.isin(value, own)
+                    found.append(value[hit])
+                    places.append(f + at[hit])
+                found, places = np.concatenate(found), np.concatenate(places).astype(np.int64)
+                around = _around(words, places, length)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([x.tobytes() for x in around], pa.binary())], names=["anchor", "around"])
+
+    return run
+
+
 def _extender(length: int):
-    """Windows around shared anchors; columns: doc_id, text, anchors."""
+    """Runs of windows in an owner's match (no key; first and last place), and the windows that leave it; columns: doc_id, text, seeds (anchor, owned, around)."""
+    reach = length - SEED
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            anchors = batch.column(2)
+            ids, seeds = batch.column(0).to_numpy(), batch.column(2)
             for i, j, data, bounds in K.chunks(batch.column(1)):
                 words = K.Words(data, bounds)
-                whole = K.sequence_hash(words)[0].view(np.int64)
-                grams, _ = words.windows(SEED)
+                grams, whole = _grams(words), K.sequence_hash(words)[0].view(np.int64)
                 a, inside = words.windows(length)
                 b, _ = words.windows(length, salt=1)
-                near = np.zeros(len(words.hash) + 1, dtype=np.int32)
+                # Each window's anchor is its smallest gram, the first of equals: the words of the window alone decide it.
+                low = _sliding_min(grams, reach + 1)[: len(inside)]
+                place = np.zeros(len(low), dtype=np.int64)
+                for r in range(reach, -1, -1):
+                    place = np.where(grams[r : r + len(low)] == low, np.arange(len(low)) + r, place)
+                hits, theirs, own = [], [], []
                 for d in range(i, j):
                     f, e = words.first[d - i], words.first[d - i + 1]
                     if e - f < length:
                         continue
-                    hit = f + np.flatnonzero(np.isin(grams[f : e - SEED + 1], anchors[d].values.to_numpy().view(np.uint64)))
-                    np.add.at(near, np.maximum(f, hit - (length - SEED)), 1)
-                    np.add.at(near, hit + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[: len(inside)] > 0) & inside)
+                    rows = seeds[d].values
+                    anchor = rows.field("anchor").to_numpy().view(np.uint64)
+                    order = np.argsort(anchor)
+                    at = np.unique(place[f : e - length + 1][np.isin(low[f : e - length + 1], anchor)])
+                    row = order[np.searchsorted(anchor[order], grams[at])]
+                    hits.append(at)
+                    own.append(rows.field("owned").to_numpy(zero_copy_only=False)[row])
+                    theirs.append(np.frombuffer(b"".join(rows.field("around").to_pylist()), np.uint32).reshape(-1, 2 * reach)[row])
+                if not hits:
+                    continue
+                hits, own, theirs = np.concatenate(hits), np.concatenate(own).astype(bool), np.concatenate(theirs)
+                same = (_around(words, hits, length) == theirs) & (theirs != 0)
+                left, right = (np.logical_and.accumulate(same[:, s], axis=1).sum(axis=1) for s in (slice(0, reach), slice(reach, None)))
+                windows = np.flatnonzero(inside & np.isin(place, hits)) if len(hits) else np.zeros(0, np.int64)
+                hit = np.searchsorted(hits, place[windows])
+                before = place[windows] - windows
+                known = (left[hit] >= before) & (right[hit] >= reach - before)
+                edge = windows[~known]
+                copied = np.zeros(len(inside), dtype=bool)
+                copied[windows[known & ~own[hit]]] = True
+                # Runs end with their document: none of its windows reaches into the next one.
+                turn = np.flatnonzero(np.diff(np.concatenate(([False], copied, [False])).astype(np.int8)))
+                first, last = turn[::2], turn[1::2] - 1
+                at = np.concatenate((edge, first))
                 doc = np.searchsorted(words.first, at, side="right") - 1
+                none = pa.nulls(len(first), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[at].view(np.int64)), pa.array((b[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[i + doc]), pa.array(whole[doc]), pa.array((at - words.first[doc]).astype(np.int32))],
-                    names=["key_a", "key_b", "doc_id", "whole_a", "place"],
+                    [
+                        pa.chunked_array([pa.array(a[edge].view(np.int64)), none]).combine_chunks(),
+                        pa.array(np.concatenate(((b[edge] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(first), np.int32)))),
+                        pa.array(ids[i + doc]),
+                        pa.array(whole[doc]),
+                        pa.array((at - words.first[doc]).astype(np.int32)),
+                        pa.array((np.concatenate((edge, last)) - words.first[doc]).astype(np.int32)),
+                    ],
+                    names=["key_a", "key_b", "doc_id", "whole_a", "place", "last"],
                 )
 
     return extend
 
 
 def _cutter(length: int):
-    """Removes the words of the windows at ``places``; columns: doc_id, text, whole_a, places."""
+    """Removes the words of the windows that begin at ``runs`` (place to last); columns: doc_id, text, whole_a, runs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +188,9 @@ def _cutter(length: int):
                     out.append((None, None, None))
                     continue
                 gone = np.zeros(len(words) + 1, dtype=np.int32)
-                places = batch.column(3)[d].values.to_numpy()
-                np.add.at(gone, places, 1)
-                np.add.at(gone, places + length, -1)
+                runs = batch.column(3)[d].values
+                np.add.at(gone, runs.field("place").to_numpy(), 1)
+                np.add.at(gone, runs.field("last").to_numpy() + length, -1)
                 stays = np.cumsum(gone)[:-1] == 0
                 rest = b" ".join(w for w, s in zip(words, stays, strict=True) if s)
                 out.append((len(words) - int(stays.sum()), hashlib.sha256(rest).hexdigest(), rest.decode()))
@@ -134,12 +212,13 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
 
     A null or empty text has no words: zeros and the hash of the empty string. Texts under ``length``
     words lose nothing. Rows that repeat a doc_id are judged each on its own text and never remove
-    each other's words. A row without doc_id loses nothing and removes nothing. Other columns are
-    ignored.
+    each other's words. A row without doc_id loses nothing and removes nothing. Ids may be of any type
+    that has an order. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, back = numbered_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch)
+    texts = docs.select("doc_id", "text")
     seeds = scratch.table("seeds", texts.mapInArrow(_seeder(length), "doc_id long, n_words long, whole_a long, whole_b long, sha string, anchors array<long>"))
     able = seeds.filter((F.col("n_words") >= length) & F.col("doc_id").isNotNull())
 
@@ -149,24 +228,31 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     heads = able.join(copied, whole, "left").filter(F.col("owner").isNull() | (F.col("owner") == F.col("doc_id")))
     heads = scratch.table("heads", heads.select("doc_id", "anchors"))
 
-    places = heads.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    places = heads.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
     shared = scratch.table("shared", shared)
-    suspects = places.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    # What stands around each shared anchor in its owner; of several rows of one doc_id, one.
+    owned = texts.join(shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("anchor").alias("anchors")), "doc_id")
+    around = owned.select("doc_id", "text", "anchors").mapInArrow(_own(length), "anchor long, around binary").groupBy("anchor").agg(F.min("around").alias("around"))
+    around = scratch.table("around", shared.join(around, "anchor"))
+    scratch.drop("shared")
+    suspects = places.join(around, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", (F.col("owner") == F.col("doc_id")).alias("owned"), "around")).alias("seeds"))
     suspects = scratch.table("suspects", suspects)
-    scratch.drop("shared", "heads")
+    scratch.drop("around", "heads")
 
-    windows = texts.join(suspects, "doc_id").select("doc_id", "text", "anchors")
-    windows = scratch.table("windows", windows.mapInArrow(_extender(length), "key_a long, key_b int, doc_id long, whole_a long, place int"))
+    found = texts.join(suspects, "doc_id").select("doc_id", "text", "seeds")
+    found = scratch.table("found", found.mapInArrow(_extender(length), "key_a long, key_b int, doc_id long, whole_a long, place int, last int"))
     scratch.drop("suspects")
     key = ["key_a", "key_b"]
-    first = windows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
+    edges = found.filter("key_a is not null").drop("last")
+    first = edges.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
     first = scratch.table("first", first)
-    marked = windows.join(first, key).filter("doc_id > owner").groupBy("doc_id", "whole_a").agg(F.collect_set("place").alias("places"))
-    marked = scratch.table("marked", marked)
-    scratch.drop("windows", "first")
+    runs = edges.join(first, key).filter("doc_id > owner").select("doc_id", "whole_a", "place", F.col("place").alias("last"))
+    runs = runs.unionByName(found.filter("key_a is null").select("doc_id", "whole_a", "place", "last"))
+    marked = scratch.table("marked", runs.groupBy("doc_id", "whole_a").agg(F.collect_set(F.struct("place", "last")).alias("runs")))
+    scratch.drop("found", "first")
 
-    cut = texts.join(marked, "doc_id").select("doc_id", "text", "whole_a", "places")
+    cut = texts.join(marked, "doc_id").select("doc_id", "text", "whole_a", "runs")
     cut = cut.mapInArrow(_cutter(length), "doc_id long, whole_a long, n_removed long, kept_sha256 string, kept_text string").filter("n_removed is not null")
     cut = scratch.table("cut", (cut if with_text else cut.drop("kept_text")).dropDuplicates(["doc_id", "whole_a", "kept_sha256"]))
     scratch.drop("marked")
@@ -180,4 +266,4 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
+    return back(out.select(*columns, *([F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else [])), "doc_id")
