@@ -144,6 +144,28 @@ def test_near_duplicates_links_the_members_of_large_groups(spark):
     assert keyed(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(rows, 3, 85), key=repr)
 
 
+def test_near_duplicates_by_way_of_a_hub_that_is_not_the_first(spark):
+    """Variants too far from each other, all near one text in the middle of the ids; more than a block of them."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(620):
+        w = list(base)
+        if i != 333:
+            for at in rng.sample(range(2, 118), 3):
+                w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert keyed(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(rows, 3, 85), key=repr)
+    assert sum(r.kept for r in got) == 1
+
+
+def test_near_duplicates_of_named_documents(spark):
+    rows = [(None if i is None else f"{i:05}", t) for i, t in invented()[:60]]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 3, 85).collect()
+    assert keyed(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(components(rows, 3, 85), key=repr)
+
+
 # -- 3 -----------------------------------------------------------------------------------------------
 
 _INNER = bytes([0x02, 0x01, 0x00, 0x30, 0x0D, 0x06, 0x09, *range(1, 10), 0x05, 0x00, 0x04, 0x0E, 0x30, 0x0C, 0x02, 0x0A, *range(1, 11)])

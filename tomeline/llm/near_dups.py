@@ -6,11 +6,14 @@
    estimates how many samples differ. A second bitmap is the odd sketch of the whole set; its count
    never exceeds the number of shingles in which two sets differ, so it rules pairs out for certain.
 2. Documents with equal sets share a class, named by its smallest doc_id; only classes go on.
-3. Classes that share a band key meet in blocks of bounded size. Two passes over the blocks give the
-   candidates: first the closest earlier class of each class, by the sketches; then, once those
-   links are confirmed and joined into components, every pair whose sketches leave a link possible
-   and that still lies in two components. A pair is looked at in the first band it shares only.
-4. Every candidate is confirmed on the full sets, natively.
+3. Classes that share a band key are first linked as a star, each to the key's smallest class. Links
+   that the sketches leave possible are confirmed and joined into components; a group of near copies
+   mostly is one component then, for as many pairs as it has members. For keys with many classes
+   outside their largest component that is done again around another class.
+4. What is still apart is decided exactly: in every key with more than one component, the classes
+   outside its largest one meet all others of other components, in blocks of bounded size. A pair is
+   looked at in the first band it shares only.
+5. Every candidate is confirmed on the full sets, natively.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
+from .ids import numbered_ids
 from .scratch import Scratch
 
 SKETCH_BITS = 512
 #: Bits of the second bitmap, in which every shingle of the set flips one.
 PARITY_BITS = 1024
 WORDS = SKETCH_BITS // 64
-#: Classes of a shared band key that one block holds from each side.
+#: Classes of a shared band key that one block holds from each side, about: a hash deals them out.
 BLOCK = 256
 #: Highest chance that two documents exactly at the threshold share no band.
 MISS = 1e-5
@@ -147,42 +151,56 @@ def _setter(plan: Plan):
     return sets
 
 
-def _pair_maker(plan: Plan, closest: bool):
+def _near(plan: Plan, size_u: np.ndarray, size_v: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs the sketches (rows of 64-bit words) leave possible: the samples estimate the similarity, the whole sets' bitmaps bound the difference from below."""
+    ok = np.minimum(size_u, size_v) * 100 >= plan.percent * np.maximum(size_u, size_v)
+    at = np.flatnonzero(ok)
+    bits = np.bitwise_count(u[at, :WORDS] ^ v[at, :WORDS]).sum(axis=1, dtype=np.int64)
+    at = at[bits <= plan.most_bits]
+    bits = np.bitwise_count(u[at, WORDS:] ^ v[at, WORDS:]).sum(axis=1, dtype=np.int64)
+    at = at[bits * (100 + plan.percent) <= (100 - plan.percent) * (size_u[at] + size_v[at])]
+    out = np.zeros(len(ok), dtype=bool)
+    out[at] = True
+    return out
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), (SKETCH_BITS + PARITY_BITS) // 64)
+
+
+def _screen(plan: Plan):
+    """Pairs that the sketches leave possible; columns: a, b, size_a, size_b, sketch_a, sketch_b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = _near(plan, batch.column(2).to_numpy(), batch.column(3).to_numpy(), _sketches(batch.column(4)), _sketches(batch.column(5)))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
+def _pair_maker(plan: Plan):
     """Candidate pairs (a < b) of blocks whose rows come sorted by block."""
 
     def pairs_of(node, comp, size, side, keys, sketch, band, within) -> tuple[np.ndarray, np.ndarray]:
         left, right = (np.arange(len(node)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        ok = np.minimum(size[left, None], size[None, right]) * 100 >= plan.percent * np.maximum(size[left, None], size[None, right])
-        ok &= node[left, None] > node[None, right] if within else node[left, None] != node[None, right]
+        ok = node[left, None] > node[None, right] if within else node[left, None] != node[None, right]
         ok &= comp[left, None] != comp[None, right]
         x, y = np.nonzero(ok)
-        if not len(x):
-            return x, x
         x, y = left[x], right[y]
-        parts = [(x[s : s + 65536], y[s : s + 65536]) for s in range(0, len(x), 65536)]
-        # The samples estimate the similarity; the whole sets' bitmaps bound their difference from below.
-        kept, differ = [], []
-        for u, v in parts:
-            bits = np.bitwise_count(sketch[u, :WORDS] ^ sketch[v, :WORDS]).sum(axis=1, dtype=np.int64)
-            near = bits <= plan.most_bits
+        kept = []
+        for s in range(0, len(x), 65536):
+            u, v = x[s : s + 65536], y[s : s + 65536]
+            near = _near(plan, size[u], size[v], sketch[u], sketch[v])
             u, v = u[near], v[near]
-            bits = np.bitwise_count(sketch[u, WORDS:] ^ sketch[v, WORDS:]).sum(axis=1, dtype=np.int64)
-            total = size[u] + size[v]
-            near = bits * (100 + plan.percent) <= (100 - plan.percent) * total
             if band:  # else they have met before
-                near &= ~(keys[u, :band] == keys[v, :band]).any(axis=1)
-            kept.append((u[near], v[near]))
-            differ.append(bits[near] / total[near])
+                near = ~(keys[u, :band] == keys[v, :band]).any(axis=1)
+                u, v = u[near], v[near]
+            kept.append((u, v))
+        if not kept:
+            return x, x
         x, y = (np.concatenate([k[n] for k in kept]) for n in (0, 1))
-        differ = np.concatenate(differ)
-        swap = node[x] < node[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        if closest and len(x):
-            order = np.lexsort((node[y], differ, x))
-            x, y = x[order], y[order]
-            best = np.concatenate(([True], x[1:] != x[:-1]))
-            x, y = x[best], y[best]
-        return node[y], node[x]
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -200,7 +218,7 @@ def _pair_maker(plan: Plan, closest: bool):
             edges = np.concatenate(([0], cut, [len(table)])).astype(np.int64)
             node, comp, size, side = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "side"))
             keys = np.stack(table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), plan.bands)) if len(table) else np.zeros((0, plan.bands))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), -1)
+            sketch = _sketches(table.column("sketch"))
             found = [pairs_of(node[a:b], comp[a:b], size[a:b], side[a:b], keys[a:b], sketch[a:b], int(cols[0][a]), cols[2][a] == cols[3][a]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
             x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
             y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
@@ -238,51 +256,82 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     A null or empty text, or one without words, has an empty set, is linked with nothing and kept.
     Rows that repeat a doc_id count as one node of the graph and all carry its component. A row
     without doc_id gets the component of the documents with its own set, else null, and is kept only
-    in the latter case. Other columns are ignored.
+    in the latter case. Ids may be of any type that has an order. Other columns are ignored.
     """
     spark, plan = docs.sparkSession, Plan(k, percent)
     scratch = Scratch(spark, "near-dups")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts, back = numbered_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch)
+    texts = texts.select("doc_id", "text")
     signed = scratch.table("signed", texts.mapInArrow(_signer(plan), "doc_id long, n_shingles long, set_a long, set_b long, bands array<int>, sketch binary"))
     classes = scratch.table("classes", signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")))
-    # The class of each set, with its signature: one row for each set and smallest doc_id.
-    heads = signed.filter("n_shingles > 0").join(classes, ["set_a", "set_b"]).filter("doc_id = node").dropDuplicates(["node", "set_a", "set_b"])
+    # The class of each set, with its signature: one row for each set and smallest doc_id. The id among the keys spreads the copies of one set.
+    named = classes.withColumn("doc_id", F.col("node"))
+    heads = signed.filter("n_shingles > 0").join(named, ["set_a", "set_b", "doc_id"]).dropDuplicates(["node", "set_a", "set_b"])
     heads = scratch.table("heads", heads.select("node", "n_shingles", "bands", "sketch"))
 
     keys = heads.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.table("shared", keys.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     met = scratch.table("met", keys.join(shared, ["band", "key"]))
     nodes = scratch.table("nodes", met.select("node").distinct())
     sets = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(_setter(plan), "node long, shingles array<long>")
     sets = scratch.table("sets", sets)
-
-    chunks = F.ceil(F.col("n") / BLOCK)
-    chunk = F.pmod(F.xxhash64("node"), chunks)
-    met = met.withColumn("chunks", chunks).withColumn("chunk", chunk)
-    # Block (i, j), i <= j, of a key: chunk i against chunk j.
-    blocked = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    blocked = blocked.select("band", "key", "node", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"))
-
-    def candidates(heads: DataFrame, closest: bool) -> DataFrame:
-        rows = blocked.join(heads, "node").repartition("band", "key", "bi", "bj").sortWithinPartitions("band", "key", "bi", "bj", "node")
-        rows = rows.select("band", "key", "bi", "bj", "side", "node", "comp", "n_shingles", "bands", "sketch")
-        return rows.mapInArrow(_pair_maker(plan, closest), "a long, b long").distinct()
-
-    first = scratch.table("links-1", _confirmed(candidates(heads.withColumn("comp", F.col("node")), True), sets, percent))
-    by_first = scratch.table("first", connected_components(first, scratch, "cc-1"))
-    comp = heads.join(by_first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    second = _confirmed(candidates(comp, False), sets, percent)
-    name = by_first.select("node", "component")
-    second = second.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    second = scratch.table("links-2", second.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    by_second = connected_components(second, scratch, "cc-2").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    # Classes that the first round joined, then those that only the second one names.
-    named = by_first.join(by_second, "component", "left").select("node", F.coalesce("top", "component").alias("component_id"))
-    alone = by_second.join(by_first.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component_id"))
+    sketched = heads.select("node", "n_shingles", "sketch")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (hub, node), as a < b, that are links."""
+        pairs = scratch.table(f"{name}-pairs", pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+        one, other = (sketched.select(F.col("node").alias(c), F.col("n_shingles").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        both = pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        out = scratch.table(name, _confirmed(both.mapInArrow(_screen(plan), "a long, b long"), sets, percent))
+        scratch.drop(f"{name}-pairs")
+        return out
+
+    links = linked(met.filter("node <> hub").select("hub", "node"), "links-0")
+    turn, before = 0, None
+    while True:
+        joined = scratch.table(f"joined-{turn}", connected_components(links, scratch, f"cc-{turn}"))
+        comp = F.coalesce("component", "node").alias("comp")
+        rows = scratch.table(f"rows-{turn}", met.select("band", "key", "node").join(joined, "node", "left").select("band", "key", "node", comp))
+        sizes = rows.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+        # Keys with more than one component: the largest, and how many classes lie in it and beside it.
+        apart = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
+        apart = scratch.table(f"apart-{turn}", apart.select("band", "key", F.col("top.comp").alias("largest"), F.col("top.n").alias("inside"), (F.col("n") - F.col("top.n")).alias("beside")))
+        wide = apart.filter(F.col("beside") > BLOCK)
+        left = wide.agg(F.coalesce(F.sum("beside"), F.lit(0))).first()[0]
+        # Another star helps as long as it takes in half of what is beside; what it leaves is decided below all the same.
+        if not left or (before is not None and 2 * left > before):
+            break
+        before, turn = left, turn + 1
+        beside = rows.join(wide.select("band", "key", "largest"), ["band", "key"])
+        hubs = beside.filter("comp <> largest").groupBy("band", "key").agg(F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"))
+        hubs = scratch.table(f"hubs-{turn}", hubs.select("band", "key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")))
+        more = linked(beside.join(hubs, ["band", "key"]).filter("comp <> hub_comp").select("hub", "node"), f"links-{turn}")
+        links = scratch.table(f"all-{turn}", links.unionByName(more))
+
+    # Blocks (i, j) of a key: its rows beside the largest component in chunks 0 .. r - 1, the others in chunks r .. r + g - 1; i is one of the former.
+    r, g = F.ceil(F.col("beside") / BLOCK), F.ceil(F.col("inside") / BLOCK)
+    out = F.col("comp") != F.col("largest")
+    blocked = rows.join(apart, ["band", "key"]).withColumns({"r": r, "g": g, "out": out})
+    chunk = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "r")).otherwise(F.col("r") + F.pmod(F.xxhash64("node"), "g"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("out"), F.col("r") + F.col("g") - 1).otherwise(F.col("r") - 1))
+    blocked = blocked.withColumn("chunk", chunk).withColumn("other", F.explode(others))
+    blocked = blocked.select("band", "key", "node", "comp", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"))
+    blocked = blocked.join(heads, "node").repartition("band", "key", "bi", "bj").sortWithinPartitions("band", "key", "bi", "bj", "node")
+    blocked = blocked.select("band", "key", "bi", "bj", "side", "node", "comp", "n_shingles", "bands", "sketch")
+    rest = scratch.table("links-rest", _confirmed(blocked.mapInArrow(_pair_maker(plan), "a long, b long").distinct(), sets, percent))
+
+    name = joined.select("node", "component")
+    rest = rest.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    rest = scratch.table("links-last", rest.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    last = connected_components(rest, scratch, "cc-last").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    last = scratch.table("last", last)
+    # Classes that the stars joined, then those that only the last links name.
+    named = name.join(last, "component", "left").select("node", F.coalesce("top", "component").alias("component_id"))
+    alone = last.join(name.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component_id"))
     final = classes.join(named.unionByName(alone), "node", "left").select("set_a", "set_b", F.coalesce("component_id", "node").alias("component_id"))
     final = scratch.table("components", final)
-    scratch.drop("heads", "met", "nodes", "sets", "links-1", "first", "links-2", "classes")
+    scratch.drop("heads", "shared", "met", "nodes", "sets", "links-rest", "links-last", "last", "classes", *(f"{x}-{t}" for t in range(turn + 1) for x in ("links", "all", "hubs", "joined", "rows", "apart")))
 
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(final, ["set_a", "set_b"], "left")
     root = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
+    return back(out.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept")), "doc_id", "component_id")
