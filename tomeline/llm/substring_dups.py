@@ -10,7 +10,9 @@
    on from its next anchor. Windows within the match are in the owner, an earlier document.
 3. *Edges.* A window that leaves the owner's match may still be in a third document. Its anchor, and
    whether the match around that takes all of the window, depend on its words alone, so these windows
-   need meet only each other: each its smallest doc_id.
+   need meet only each other. Neighbouring ones form a run; of documents with equal runs all but the
+   first lose it whole, and only that one's windows are looked up one by one, each for its smallest
+   doc_id.
 4. Runs of such windows, joined where they touch or overlap, are the maximal repeats; their words go.
 
 Documents whose whole word sequence occurs in an earlier document are decided from a hash of it,
@@ -112,8 +114,25 @@ def _own(length: int):
     return run
 
 
+def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of true values."""
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8)))
+    return turn[::2], turn[1::2] - 1
+
+
+def _spans(words: K.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words from each start to before each end."""
+    power, inverse = K._power_table(len(words.hash) + 1)
+    out = []
+    for salt in (0, 1):
+        sums = np.zeros(len(words.hash) + 1, dtype=np.uint64)
+        np.cumsum(power[: len(words.hash)] * K.mix(words.hash + np.uint64(salt)), out=sums[1:])
+        out.append(K.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) + np.uint64(salt)))
+    return out[0], out[1]
+
+
 def _extender(length: int):
-    """Runs of windows in an owner's match (no key; first and last place), and the windows that leave it; columns: doc_id, text, seeds (anchor, owned, around)."""
+    """Runs of neighbouring windows, as first and last place: those in an owner's match without hashes, those that leave it with two of the run's words and with two of each window; columns: doc_id, text, seeds (anchor, owned, around)."""
     reach = length - SEED
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +170,29 @@ def _extender(length: int):
                 hit = np.searchsorted(hits, place[windows])
                 before = place[windows] - windows
                 known = (left[hit] >= before) & (right[hit] >= reach - before)
-                edge = windows[~known]
-                copied = np.zeros(len(inside), dtype=bool)
+                copied, edge = np.zeros(len(inside), dtype=bool), np.zeros(len(inside), dtype=bool)
                 copied[windows[known & ~own[hit]]] = True
+                edge[windows[~known]] = True
                 # Runs end with their document: none of its windows reaches into the next one.
-                turn = np.flatnonzero(np.diff(np.concatenate(([False], copied, [False])).astype(np.int8)))
-                first, last = turn[::2], turn[1::2] - 1
-                at = np.concatenate((edge, first))
+                (first, last), (begin, end) = _runs(copied), _runs(edge)
+                n = len(begin)
+                at = np.concatenate((begin, first))
                 doc = np.searchsorted(words.first, at, side="right") - 1
-                none = pa.nulls(len(first), pa.int64())
+                run_a, run_b = (np.concatenate((h.view(np.int64), np.zeros(len(first), np.int64))) for h in _spans(words, begin, end + length))
+                counts = np.concatenate((end - begin + 1, np.zeros(len(first), np.int64)))
+                edge = np.flatnonzero(edge)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.chunked_array([pa.array(a[edge].view(np.int64)), none]).combine_chunks(),
-                        pa.array(np.concatenate(((b[edge] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(len(first), np.int32)))),
+                        pa.array(run_a, mask=np.arange(len(at)) >= n),
+                        pa.array(run_b),
                         pa.array(ids[i + doc]),
                         pa.array(whole[doc]),
                         pa.array((at - words.first[doc]).astype(np.int32)),
-                        pa.array((np.concatenate((edge, last)) - words.first[doc]).astype(np.int32)),
+                        pa.array((np.concatenate((end, last)) - words.first[doc]).astype(np.int32)),
+                        K.lists(a[edge].view(np.int64), counts, pa.int64()),
+                        K.lists((b[edge] >> np.uint64(32)).astype(np.uint32).view(np.int32), counts, pa.int32()),
                     ],
-                    names=["key_a", "key_b", "doc_id", "whole_a", "place", "last"],
+                    names=["run_a", "run_b", "doc_id", "whole_a", "place", "last", "keys_a", "keys_b"],
                 )
 
     return extend
@@ -241,16 +264,22 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     scratch.drop("around", "heads")
 
     found = texts.join(suspects, "doc_id").select("doc_id", "text", "seeds")
-    found = scratch.table("found", found.mapInArrow(_extender(length), "key_a long, key_b int, doc_id long, whole_a long, place int, last int"))
+    found = scratch.table("found", found.mapInArrow(_extender(length), "run_a long, run_b long, doc_id long, whole_a long, place int, last int, keys_a array<long>, keys_b array<int>"))
     scratch.drop("suspects")
-    key = ["key_a", "key_b"]
-    edges = found.filter("key_a is not null").drop("last")
-    first = edges.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
+    run = ["run_a", "run_b"]
+    edges = found.filter("run_a is not null")
+    heads = scratch.table("run-heads", edges.groupBy(*run).agg(F.min("doc_id").alias("head")))
+    edges = edges.join(heads, run)
+    equal = edges.filter("doc_id > head").select("doc_id", "whole_a", "place", "last")
+    windows = edges.filter("doc_id = head").select("doc_id", "whole_a", "place", F.posexplode(F.arrays_zip("keys_a", "keys_b")).alias("nr", "key"))
+    windows = scratch.table("windows", windows.select("key.keys_a", "key.keys_b", "doc_id", "whole_a", (F.col("place") + F.col("nr")).alias("place")))
+    key = ["keys_a", "keys_b"]
+    first = windows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
     first = scratch.table("first", first)
-    runs = edges.join(first, key).filter("doc_id > owner").select("doc_id", "whole_a", "place", F.col("place").alias("last"))
-    runs = runs.unionByName(found.filter("key_a is null").select("doc_id", "whole_a", "place", "last"))
+    runs = windows.join(first, key).filter("doc_id > owner").select("doc_id", "whole_a", "place", F.col("place").alias("last"))
+    runs = runs.unionByName(equal).unionByName(found.filter("run_a is null").select("doc_id", "whole_a", "place", "last"))
     marked = scratch.table("marked", runs.groupBy("doc_id", "whole_a").agg(F.collect_set(F.struct("place", "last")).alias("runs")))
-    scratch.drop("found", "first")
+    scratch.drop("found", "run-heads", "windows", "first")
 
     cut = texts.join(marked, "doc_id").select("doc_id", "text", "whole_a", "runs")
     cut = cut.mapInArrow(_cutter(length), "doc_id long, whole_a long, n_removed long, kept_sha256 string, kept_text string").filter("n_removed is not null")
