@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if not left or (before is not None and 2 * left > before):
             break
         before, turn = left, turn + 1
-        beside = rows.join(wide.select("band", "key", "largest"), ["band", "key"])
+        # Written, so that the join stands alone and a key with very many classes can be split.
+        beside = scratch.table(f"beside-{turn}", rows.join(wide.select("band", "key", "largest"), ["band", "key"]))
         hubs = beside.filter("comp <> largest").groupBy("band", "key").agg(F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"))
         hubs = scratch.table(f"hubs-{turn}", hubs.select("band", "key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")))
         more = linked(beside.join(hubs, ["band", "key"]).filter("comp <> hub_comp").select("hub", "node"), f"links-{turn}")
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     alone = last.join(name.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component_id"))
     final = classes.join(named.unionByName(alone), "node", "left").select("set_a", "set_b", F.coalesce("component_id", "node").alias("component_id"))
     final = scratch.table("components", final)
-    scratch.drop("heads", "shared", "met", "nodes", "sets", "links-rest", "links-last", "last", "classes", *(f"{x}-{t}" for t in range(turn + 1) for x in ("links", "all", "hubs", "joined", "rows", "apart")))
+    scratch.drop("heads", "shared", "met", "nodes", "sets", "links-rest", "links-last", "last", "classes", *(f"{x}-{t}" for t in range(turn + 1) for x in ("links", "all", "hubs", "beside", "joined", "rows", "apart")))
 
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(final, ["set_a", "set_b"], "left")
     root = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
