@@ -2,15 +2,15 @@
 
 1. *Seeds.* Every document is winnowed (Schleimer, Wilkerson, Aiken 2003): of each ``length`` words,
    the smallest hash among their ``seed`` -word grams is an anchor, so two documents that share
-   ``length`` words share an anchor. Anchors of one document only are dropped; of each other one the
-   document with the smallest doc_id is the owner.
-2. *Extend.* Documents meet the owners of their anchors, never each other, so a group of copies costs
-   what its members cost. Around each anchor the words to the left and to the right are compared with
-   those around the owner's anchor, as far as a window of ``length`` words reaches; a longer match goes
-   on from its next anchor. Windows within the match are in the owner, an earlier document.
-3. *Edges.* A window that leaves the owner's match may still be in a third document. Its anchor, and
-   whether the match around that takes all of the window, depend on its words alone, so these windows
-   need meet only each other. Neighbouring ones form a run; of documents with equal runs all but the
+   ``length`` words share an anchor. Anchors of one document only are dropped. Each other one has a few
+   owners: a hash deals the documents into ``OWNERS`` classes, and the smallest doc_id of each owns it.
+2. *Extend.* Documents meet the earlier owners of their anchors, never each other, so a group of copies
+   costs what its members cost. Around each anchor the words to the left and to the right are compared
+   with those around the owner's anchor, as far as a window of ``length`` words reaches; a longer match
+   goes on from its next anchor. Windows within the match are in the owner, an earlier document.
+3. *Edges.* A window that leaves all these matches may still be in a further document. Its anchor, and
+   whether a match around that takes all of the window, depend on its words alone: where an earlier
+   document lost the window to an owner, so does this one. So these windows need meet only each other. Neighbouring ones form a run; of documents with equal runs all but the
    first lose it whole, and only that one's windows are looked up one by one, each for its smallest
    doc_id.
 4. Runs of such windows, joined where they touch or overlap, are the maximal repeats; their words go.
@@ -34,6 +34,8 @@ from .ids import numbered_ids
 from .scratch import Scratch
 
 SEED = 5
+#: Documents with which those that share an anchor are compared, at most.
+OWNERS = 3
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -92,14 +94,14 @@ def _grams(words: K.Words) -> np.ndarray:
 
 
 def _own(length: int):
-    """(anchor, around) of the first place of each anchor that a document owns; columns: doc_id, text, anchors."""
+    """(anchor, owner, around) of the first place of each anchor that a document owns; columns: doc_id, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors = batch.column(2)
             for i, j, data, bounds in K.chunks(batch.column(1)):
                 words = K.Words(data, bounds)
-                grams, found, places = _grams(words), [], []
+                grams, found, places, docs = _grams(words), [], [], []
                 for d in range(i, j):
                     f, e = words.first[d - i], words.first[d - i + 1]
                     own = np.unique(anchors[d].values.to_numpy().view(np.uint64))
@@ -107,9 +109,10 @@ def _own(length: int):
                     hit = np.isin(value, own)
                     found.append(value[hit])
                     places.append(f + at[hit])
+                    docs.append(np.full(int(hit.sum()), d))
                 found, places = np.concatenate(found), np.concatenate(places).astype(np.int64)
                 around = _around(words, places, length)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([x.tobytes() for x in around], pa.binary())], names=["anchor", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array(np.concatenate(docs), pa.int64())), pa.array([x.tobytes() for x in around], pa.binary())], names=["anchor", "owner", "around"])
 
     return run
 
@@ -132,7 +135,7 @@ def _spans(words: K.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def _extender(length: int):
-    """Runs of neighbouring windows, as first and last place: those in an owner's match without hashes, those that leave it with two of the run's words and with two of each window; columns: doc_id, text, seeds (anchor, owned, around)."""
+    """Runs of neighbouring windows, as first and last place: those in an owner's match without hashes, those that leave it with two of the run's words and with two of each window; columns: doc_id, text, seeds (anchor, owner, around)."""
     reach = length - SEED
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,31 +151,32 @@ def _extender(length: int):
                 place = np.zeros(len(low), dtype=np.int64)
                 for r in range(reach, -1, -1):
                     place = np.where(grams[r : r + len(low)] == low, np.arange(len(low)) + r, place)
-                hits, theirs, own = [], [], []
+                copied, edge = np.zeros(len(inside), dtype=bool), np.zeros(len(inside), dtype=bool)
                 for d in range(i, j):
                     f, e = words.first[d - i], words.first[d - i + 1]
                     if e - f < length:
                         continue
                     rows = seeds[d].values
-                    anchor = rows.field("anchor").to_numpy().view(np.uint64)
-                    order = np.argsort(anchor)
-                    at = np.unique(place[f : e - length + 1][np.isin(low[f : e - length + 1], anchor)])
-                    row = order[np.searchsorted(anchor[order], grams[at])]
-                    hits.append(at)
-                    own.append(rows.field("owned").to_numpy(zero_copy_only=False)[row])
-                    theirs.append(np.frombuffer(b"".join(rows.field("around").to_pylist()), np.uint32).reshape(-1, 2 * reach)[row])
-                if not hits:
-                    continue
-                hits, own, theirs = np.concatenate(hits), np.concatenate(own).astype(bool), np.concatenate(theirs)
-                same = (_around(words, hits, length) == theirs) & (theirs != 0)
-                left, right = (np.logical_and.accumulate(same[:, s], axis=1).sum(axis=1) for s in (slice(0, reach), slice(reach, None)))
-                windows = np.flatnonzero(inside & np.isin(place, hits)) if len(hits) else np.zeros(0, np.int64)
-                hit = np.searchsorted(hits, place[windows])
-                before = place[windows] - windows
-                known = (left[hit] >= before) & (right[hit] >= reach - before)
-                copied, edge = np.zeros(len(inside), dtype=bool), np.zeros(len(inside), dtype=bool)
-                copied[windows[known & ~own[hit]]] = True
-                edge[windows[~known]] = True
+                    anchor, owner = rows.field("anchor").to_numpy().view(np.uint64), rows.field("owner").to_numpy()
+                    order = np.lexsort((owner, anchor))
+                    anchor, owner = anchor[order], owner[order]
+                    theirs = np.frombuffer(b"".join(rows.field("around").to_pylist()), np.uint32).reshape(-1, 2 * reach)[order]
+                    windows = f + np.flatnonzero(np.isin(low[f : e - length + 1], anchor))
+                    hits, of = np.unique(place[windows], return_inverse=True)
+                    before = place[windows] - windows
+                    ours = _around(words, hits, length)
+                    row, end = np.searchsorted(anchor, grams[hits], side="left"), np.searchsorted(anchor, grams[hits], side="right")
+                    gone, first = np.zeros(len(windows), dtype=bool), np.zeros(len(windows), dtype=bool)
+                    for k in range(OWNERS):
+                        at = np.minimum(row + k, len(anchor) - 1)
+                        same = (ours == theirs[at]) & (ours != 0) & (row + k < end)[:, None]
+                        left, right = (np.logical_and.accumulate(same[:, s], axis=1).sum(axis=1) for s in (slice(0, reach), slice(reach, None)))
+                        match = (row + k < end)[of] & (left[of] >= before) & (right[of] >= reach - before)
+                        gone |= match & (owner[at] < ids[d])[of]
+                        if k == 0:  # no document before the first owner has the anchor
+                            first = match & (owner[at] == ids[d])[of]
+                    copied[windows[gone]] = True
+                    edge[windows[~gone & ~first]] = True
                 # Runs end with their document: none of its windows reaches into the next one.
                 (first, last), (begin, end) = _runs(copied), _runs(edge)
                 n = len(begin)
@@ -252,14 +256,15 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     heads = scratch.table("heads", heads.select("doc_id", "anchors"))
 
     places = heads.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
-    shared = scratch.table("shared", shared)
-    # What stands around each shared anchor in its owner; of several rows of one doc_id, one.
+    classes = [F.min(F.when(F.pmod(F.xxhash64("doc_id"), F.lit(OWNERS)) == c, F.col("doc_id"))) for c in range(OWNERS)]
+    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.array_compact(F.array(*classes)).alias("owners")).filter("lo < hi")
+    shared = scratch.table("shared", shared.select("anchor", F.explode("owners").alias("owner")))
+    # What stands around each shared anchor in its owners; of several rows of one doc_id, one.
     owned = texts.join(shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("anchor").alias("anchors")), "doc_id")
-    around = owned.select("doc_id", "text", "anchors").mapInArrow(_own(length), "anchor long, around binary").groupBy("anchor").agg(F.min("around").alias("around"))
-    around = scratch.table("around", shared.join(around, "anchor"))
+    around = owned.select("doc_id", "text", "anchors").mapInArrow(_own(length), "anchor long, owner long, around binary")
+    around = scratch.table("around", around.groupBy("anchor", "owner").agg(F.min("around").alias("around")))
     scratch.drop("shared")
-    suspects = places.join(around, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", (F.col("owner") == F.col("doc_id")).alias("owned"), "around")).alias("seeds"))
+    suspects = places.join(around, "anchor").filter(F.col("owner") <= F.col("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner", "around")).alias("seeds"))
     suspects = scratch.table("suspects", suspects)
     scratch.drop("around", "heads")
 
