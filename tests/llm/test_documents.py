@@ -8,7 +8,7 @@ import re
 import pytest
 
 from tomeline.llm.decontaminate import contamination, tile
-from tomeline.llm.licenses import TEMPLATES, licenses, screen
+from tomeline.llm.licenses import MISS, TEMPLATES, _classes, bands, least_similarity, licenses, screen
 from tomeline.llm.mixing import mix
 from tomeline.llm.near_dups import near_duplicates
 from tomeline.llm.quality import RULES, Rule, quality
@@ -309,12 +309,14 @@ def test_licenses(spark):
     rng = random.Random(4)
     noise = lambda n: " ".join(f"n{rng.randrange(999)}" for _ in range(n))
     rows = [(i, f"{noise(i * 7)} {text.upper() if i % 2 else text}\n{noise(9)}") for i, (_, text) in enumerate(TEMPLATES)]
-    long = TEMPLATES[4][1].split()
-    rows += [(100, " ".join(long[:-1])), (101, " ".join(x for i, x in enumerate(long) if i % 4)), (102, None), (103, ""), (None, TEMPLATES[2][1]), (104, noise(50) + " the license of software"), (0, TEMPLATES[0][1])]
+    long = TEMPLATES[5][1].split()
+    rows += [(100, " ".join(long[:-1])), (101, " ".join(x for i, x in enumerate(long) if i % 4)), (102, None), (103, ""), (None, TEMPLATES[3][1]), (104, noise(50) + " the license of software"), (0, TEMPLATES[0][1])]
     got = {(r.doc_id, r.license): r for r in licenses(frame(spark, rows)).collect()}
     assert all((i, name) in got for i, (name, _) in enumerate(TEMPLATES))
     assert (100, "mit") in got and (None, "mit") in got and not any(k[0] in (101, 102, 103, 104) for k in got)
     assert got[3, "mit"].containment == 1.0 and got[3, "mit"].first_word <= 21
+    whole = {name for name, text in TEMPLATES if len(text.split()) > 150}
+    assert whole == {"mit", "bsd-2-clause", "bsd-3-clause"}
 
 
 def test_licenses_equal_plain_containment(spark):
@@ -324,7 +326,7 @@ def test_licenses_equal_plain_containment(spark):
     noise = lambda n: " ".join(f"n{rng.randrange(9999)}" for _ in range(n))
     rows = []
     for i in range(1500):
-        name, text = TEMPLATES[(2, 3, 8, i % len(TEMPLATES))[i % 4]]
+        name, text = TEMPLATES[(3, 4, 14, i % len(TEMPLATES))[i % 4]]
         before = noise(rng.randrange(5) if i % 3 else rng.randrange(40, 90))
         notice = text.split()
         if i % 5 == 0 and len(notice) > 20:
@@ -351,6 +353,15 @@ def test_licenses_of_short_templates(spark):
     assert got == {(i, name, 2, 1.0) for i, (name, _) in enumerate(short)}
 
 
+def test_license_bands_follow_from_the_least_similar_match():
+    for templates in (TEMPLATES, TEMPLATES[:3], (("x", "a b c"),)):
+        least = min(least_similarity(templates, c, ids) for c, ids in _classes(templates).items())
+        assert least >= 0.3 and (1 - least) ** bands(templates) <= MISS
+    # A window by definition: the template's needed shingles, all others foreign.
+    c, ids = next((c, ids) for c, ids in _classes(TEMPLATES).items() if c > 100)
+    assert all(0.8 * c <= len(re.findall("[a-z0-9]+", TEMPLATES[i][1].lower())) <= c for i in ids)
+
+
 def test_license_screen_loses_nothing():
     for name, text in TEMPLATES:
         w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
