@@ -14,7 +14,7 @@ from tomeline.llm.near_dups import near_duplicates
 from tomeline.llm.quality import RULES, Rule, quality
 from tomeline.llm.secrets import is_der_key, is_ssh_key, secrets, spans_of
 from tomeline.llm.substring_dups import remove_repeats
-from tomeline.llm.toxicity import toxicity
+from tomeline.llm.toxicity import PATTERNS, accuracies, label_model, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Extra columns bear names that operators use themselves.
@@ -397,6 +397,48 @@ def test_toxicity_is_learnt_from_labels(spark):
     assert sum(r.predicted == (r.doc_id % 6 == 0) for r in known) >= 0.97 * len(known)
 
 
+def test_label_model_equals_expectation_maximisation_by_definition():
+    """Voters of both signs and a label that errs: posteriors against a plain loop, and against the truth."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(31)
+    truth = [int(rng.random() < 0.3) for _ in range(600)]
+    speaks = [(0.7, 0.05), (0.5, 0.1), (0.05, 0.6), (0.3, 0.3), (0.4, 0.02)]  # when toxic, when clean
+    votes = [[int(rng.random() < s[1 - y]) for s in speaks] for y in truth]
+    label = [y if rng.random() < 0.85 else 1 - y for y in truth]
+    post = [0.8 if y else 0.2 for y in label]
+    for _ in range(10):
+        prior = sum(post) / len(post)
+        weight = {1: post, 0: [1 - p for p in post]}
+        rate = {y: [(sum(w * v[f] for w, v in zip(weight[y], votes, strict=True)) + 0.5) / (sum(weight[y]) + 1) for f in range(5)] for y in (0, 1)}
+        own = {y: (sum(w * g for w, g in zip(weight[y], label, strict=True)) + 0.5) / (sum(weight[y]) + 1) for y in (0, 1)}
+        new = []
+        for v, g in zip(votes, label, strict=True):
+            odds = math.log(prior / (1 - prior)) + (math.log(own[1] / own[0]) if g else math.log((1 - own[1]) / (1 - own[0])))
+            odds += sum(math.log(rate[1][f] / rate[0][f]) if v[f] else math.log((1 - rate[1][f]) / (1 - rate[0][f])) for f in range(5))
+            new.append(1 / (1 + math.exp(-odds)))
+        post = new
+    got, rates, _ = label_model(np.array(votes), np.array(label), correlated=False)
+    assert np.allclose(got, post, atol=1e-9) and np.allclose(rates[1, :5], rate[1]) and np.allclose(rates[:, 5], [own[0], own[1]])
+    right = np.mean((got > 0.5) == np.array(truth))
+    assert right > 0.9 > np.mean(np.array(label) == np.array(truth))  # better than the label that it was given
+    trust = accuracies(np.array(votes), got)
+    assert trust[0] > 0.8 and trust[2] > 0.8 and trust[4] > 0.8 and trust[3] < 0.8
+    twice = np.column_stack([np.array(votes)[:, :1]] * 4 + [np.array(votes)])
+    assert label_model(twice, np.array(label))[2][0] < 0.35  # five equal voters share one vote
+
+
+def test_patterns_are_of_both_signs():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    says = lambda text: [i for i, p in enumerate(PATTERNS) if pc.match_substring_regex(pa.array([text]), p)[0].as_py()]
+    assert says("You are such an IDIOT") == [0] and says("we will find you") == [1] and says("just shut up") == [2] and says("what the f**k") == [5]
+    assert says("Would you mind? Thanks, see also [12].") == [8, 9, 10] and says("a calm text of no kind") == []
+
+
 def test_toxicity_without_labels_goes_by_the_lexicon(spark):
     rows = [(1, "you pathetic worthless idiot " * 3), (2, "a calm and friendly text"), (3, None)]
     got = {r.doc_id: r.predicted for r in toxicity(frame(spark, rows), spark.createDataFrame([], "doc_id long, toxic int")).collect()}

@@ -1,12 +1,13 @@
 """Toxicity scores from weak supervision.
 
-Voters are words and word beginnings: a fixed lexicon, and those that a bounded sample of labelled
-documents shows to be far commoner in toxic ones (which finds the insults of any language). Each
-says "toxic" of a document that has it. A generative label model, fitted by expectation
-maximisation, estimates how often each voter (the given label is one of them) speaks up in either
-class, and how far voters repeat each other given the class, which divides their weight; its
-posterior says how likely each sampled document is toxic, given all votes. A linear classifier is
-trained on these posteriors and scores every document.
+Voters are words and word beginnings, from a fixed lexicon and from a bounded sample of labelled
+documents (those far commoner in either kind, which finds the insults of any language), and patterns of
+speech: threats, commands to go, masked oaths, shouting on the one side, courtesy and reference on the
+other. Each says something of a document that has it and abstains of others. A generative label model,
+fitted by expectation maximisation, estimates how often each voter (the given label is one of them)
+speaks up in either class, and how far voters repeat each other given the class, which divides their
+weight; its posterior says how likely each sampled document is toxic, given all votes. A linear
+classifier is trained on these posteriors and scores every document.
 """
 
 from __future__ import annotations
@@ -28,12 +29,30 @@ LEXICON = (
     "pathetic pig prick repulsive retard scum shit shut slut stupid sucker trash ugly vermin vile whore worthless"
 ).split()
 
+# Patterns of speech whose voters look at whole texts; the label model finds which side each is on, and how far it can be trusted.
+PATTERNS = (
+    r"(?i)\b(?:you|ya|u)(?:'?re| are)? (?:an? |such an? |all |so |just )*(?:idiot|moron|loser|clown|pig|fool|jerk|trash|scum|pathetic|stupid|dumb|worthless|disgusting|ugly)",
+    r"(?i)\b(?:i|we)(?:'?ll| will| am going to|'?m going to| gonna) (?:kill|hurt|find|destroy|beat|get) (?:you|u|them|him|her)\b",
+    r"(?i)\b(?:go (?:to hell|die|away|kill)|get (?:lost|out)|shut (?:up|it)|drop dead|screw you|damn you)\b",
+    r"(?i)\b(?:hate|despise|loathe) (?:you|u|them|those|these|people|all)\b",
+    r"(?i)\b(?:nobody|no one|everyone|everybody) (?:likes|wants|cares about|hates) (?:you|u|them)\b",
+    r"(?i)\b[a-z]{1,2}[*@#$%!]{2,}[a-z]{0,3}\b",
+    r"(?:\b[A-Z]{3,}\b[ ,!]+){3,}",
+    r"[!?]{3,}",
+    r"(?i)\b(?:please|thank you|thanks|kind regards|sincerely|welcome|sorry|excuse me|would you mind)\b",
+    r"(?i)\b(?:for example|in other words|according to|as well as|in addition|see also|in general|is defined as)\b",
+    r"(?i)https?://|\bdoi:|\[[0-9]{1,3}\]",
+    r"(?m)^[ \t]*(?:[-*]|[0-9]+[.)])[ \t]+\S",
+)
+
 #: Bytes of the word beginnings that may become voters; longer words count whole as well.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Labelled documents that the fit uses, the first by a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
-#: Voters that the sample adds to the lexicon.
+#: Word voters that the sample adds for either class: those that tell most, of those in a hundredth of its documents and in four of them at least. Part of the fit, like the sample.
 MOST_VOTERS = 300
+#: Standard errors by which a voter's rates in the two classes must differ.
+SIGMAS = 4
 
 
 def features(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,40 +117,65 @@ class Lookup:
         return at[hit], self.order[place[hit]]
 
 
-def _voted(lookup: Lookup, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, row of each vote, its voter, words with a vote by row, words by row), votes once for each row and voter."""
-    n = len(lookup.sorted)
-    for i, j, h, at, first in features(text):
-        place, voter = lookup(h)
-        word = at[place]
-        row = np.searchsorted(first, word, side="right") - 1
-        rows = np.searchsorted(first, np.unique(word), side="right") - 1
-        once = np.unique(row * n + voter)
-        yield i, j, once // n, once % n, np.bincount(rows, minlength=j - i), np.diff(first)
+class Voters:
+    """Words and word beginnings by hash, then patterns, numbered in this order."""
+
+    def __init__(self, words: np.ndarray, patterns: Sequence[str]):
+        self.words, self.patterns, self.lookup = words, tuple(patterns), Lookup(words)
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.patterns)
+
+    def chosen(self, which: np.ndarray) -> Voters:
+        n = len(self.words)
+        return Voters(self.words[which[which < n]], [self.patterns[i - n] for i in which[which >= n]])
 
+    def votes(self, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, end row, row of each vote, its voter, words with a vote by row, words by row), votes once for each row and voter."""
+        n, text = len(self), text.cast(pa.large_string())
+        spoke = [pc.fill_null(pc.match_substring_regex(text, p), False).to_numpy(zero_copy_only=False) for p in self.patterns]
+        for i, j, h, at, first in features(text):
+            place, voter = self.lookup(h)
+            word = at[place]
+            row = np.searchsorted(first, word, side="right") - 1
+            rows = np.searchsorted(first, np.unique(word), side="right") - 1
+            marks = [np.unique(row * n + voter)]
+            marks += [np.flatnonzero(s[i:j]) * n + len(self.words) + k for k, s in enumerate(spoke)]
+            once = np.sort(np.concatenate(marks))
+            yield i, j, once // n, once % n, np.bincount(rows, minlength=j - i), np.diff(first)
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each document; the rate at which each voter speaks up in either class (2 x voters); its weight.
 
-    A voter that is silent abstains and moves nothing; the given label (the first voter) always
-    speaks. What two voters have in common beyond the class divides their weight.
+def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 10, correlated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each document; the rate at which each voter speaks up in either class (2 x voters, the given label last); the weight of each voter.
+
+    Whether a voter speaks up is a draw with its rate in the document's class, so silence tells
+    something too, of rare voters little. The given label always speaks, and is trusted as far as the
+    others bear it out. What two voters have in common beyond the class divides their weight, unless
+    they count as independent.
     """
     votes = votes.astype(np.float64)
-    post = np.where(label > 0, 0.95, 0.05)
+    post = np.where(label > 0, 0.8, 0.2)
     rates, weight, own = np.zeros((2, votes.shape[1])), np.ones(votes.shape[1]), np.zeros(2)
     for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         for y, p in ((0, 1 - post), (1, post)):
             rates[y] = (p @ votes + 0.5) / (p.sum() + 1)
             own[y] = np.clip((p @ label + 0.5) / (p.sum() + 1), 0.005, 0.995)
-        rest = votes - np.outer(post, rates[1]) - np.outer(1 - post, rates[0])
-        rest /= np.maximum(rest.std(axis=0), 1e-6)
-        corr = np.abs(rest.T @ rest / max(len(rest), 1))
-        weight = 1 / np.where(corr > 0.1, corr, 0).sum(axis=1).clip(1)
+        if correlated:
+            rest = votes - np.outer(post, rates[1]) - np.outer(1 - post, rates[0])
+            rest /= np.maximum(rest.std(axis=0), 1e-6)
+            corr = np.abs(rest.T @ rest / max(len(rest), 1))
+            weight = 1 / np.where(corr > 0.1, corr, 0).sum(axis=1).clip(1)
         logit = np.log(prior / (1 - prior)) + np.where(label > 0, np.log(own[1] / own[0]), np.log((1 - own[1]) / (1 - own[0])))
-        logit += votes @ (weight * np.log(rates[1] / rates[0]))
+        logit += votes @ (weight * np.log(rates[1] / rates[0])) + (1 - votes) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, weight
+    return post, np.column_stack([rates, own]), weight
+
+
+def accuracies(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """How far each voter can be trusted: of the posterior weight of the documents on which it speaks, the share on its own side."""
+    toxic = (post @ votes) / np.maximum(votes.sum(axis=0), 1)
+    return np.maximum(toxic, 1 - toxic)
 
 
 def independent(votes: np.ndarray, most: float = 0.6) -> np.ndarray:
@@ -178,13 +222,11 @@ def linear_fit(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: in
     return w
 
 
-def _inputs(sample: DataFrame, voters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _inputs(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
     """The classifier's inputs and the label of each row of a bounded sample."""
-    lookup = Lookup(voters)
-
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, row, voter, hits, words in _voted(lookup, batch.column(0)):
+            for i, j, row, voter, hits, words in voters.votes(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(i, j - i), K.lists(voter, np.bincount(row, minlength=j - i), pa.int32()), pa.array(hits), pa.array(words)],
                     names=["toxic", "voters", "hits", "words"],
@@ -196,7 +238,7 @@ def _inputs(sample: DataFrame, voters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return dense(rows, lists.flatten().to_numpy(), got.column("hits").to_numpy(), got.column("words").to_numpy(), len(voters)), got.column("toxic").to_numpy()
 
 
-def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def fit(sample: DataFrame) -> tuple[Voters, np.ndarray]:
     """Voters and classifier weights from a bounded sample (text, toxic)."""
     lexicon = lexicon_hashes()
     totals = {int(r.toxic): r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -204,15 +246,20 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not toxic or not clean:  # nothing to learn from: the lexicon alone, a word in fifty being enough
         weights = np.zeros(len(lexicon) + 3)
         weights[-2:] = 3.0, -3.0
-        return lexicon, weights
+        return Voters(lexicon, ()), weights
     counts = sample.select("text", "toxic").mapInArrow(_miner, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    p, q = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
-    gain = F.col("t") * F.log(p / q) + (toxic - F.col("t") + 0.5) * F.log((1 - p + 1e-9) / (1 - q + 1e-9))
-    best = counts.filter((F.col("t") >= max(4, 0.01 * toxic)) & (p > 4 * q)).orderBy(gain.desc(), "feature").limit(MOST_VOTERS).select("feature").collect()
-    mined = np.array([r.feature for r in best], dtype=np.int64).view(np.uint64)
-    voters = np.concatenate([lexicon, mined[~np.isin(mined, lexicon)]])
+    mined = [lexicon]
+    for side, other, n, m in (("t", "c", toxic, clean), ("c", "t", clean, toxic)):
+        p, q = (F.col(side) + 0.5) / (n + 1), (F.col(other) + 0.5) / (m + 1)
+        gain = F.col(side) * F.log(p / q) + (n - F.col(side) + 0.5) * F.log((1 - p + 1e-9) / (1 - q + 1e-9))
+        pooled = (F.col("t") + F.col("c") + 1) / (n + m + 2)
+        apart = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+        best = counts.filter((F.col(side) >= max(4, 0.01 * n)) & (p > 4 * q) & (apart >= SIGMAS)).orderBy(gain.desc(), "feature").limit(MOST_VOTERS).select("feature").collect()
+        found = np.array([r.feature for r in best], dtype=np.int64).view(np.uint64)
+        mined.append(found[~np.isin(found, lexicon)])
+    voters = Voters(np.concatenate(mined), PATTERNS)
     x, _ = _inputs(sample, voters)
-    voters = voters[independent(x[:, :-2])]
+    voters = voters.chosen(independent(x[:, :-2]))
     x, label = _inputs(sample, voters)  # words and shares again, of the voters that stay
     post, _, _ = label_model(x[:, :-2], label)
     return voters, linear_fit(x, post)
@@ -241,12 +288,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = scratch.table("sample", texts.join(F.broadcast(scratch.table("chosen", chosen)), "doc_id").select("text", "toxic"))
     voters, weights = fit(sample)
     scratch.drop("sample", "chosen")
-    lookup = Lookup(voters)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(voters)
         for batch in batches:
-            for i, j, row, voter, hits, words in _voted(lookup, batch.column(2)):
+            for i, j, row, voter, hits, words in voters.votes(batch.column(2)):
                 logit = np.bincount(row, weights=weights[voter], minlength=j - i).astype(np.float64)  # of no votes it makes integers
                 logit += weights[n] * np.log1p(hits) + weights[n + 1] * np.minimum(100 * hits / np.maximum(words, 20), 5) + weights[n + 2]
                 own = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
