@@ -65,6 +65,22 @@ def test_main_region():
     assert main_text(page) == f"Head\nOne two three\n{PLAIN}\nitem\nother"
 
 
+def test_hints_that_hold_the_whole_article_are_wrong():
+    nav = "<nav><a href=/>Home</a></nav>"
+    for page in (
+        f'<body>{nav}<div class="layout has-sidebar"><article><p>{PARAGRAPH}</p></article><div class="sidebar">{PARAGRAPH}</div></div></body>',
+        f'<body><form id="aspnetForm">{nav}<article><p>{PARAGRAPH}</p></article></form></body>',
+        f'<body><a name="top"><article><p>{PARAGRAPH}</p></article></body>',
+        f'<body>{nav}<main><div class="search-result social-policy"><p>{PARAGRAPH}</p></div></main></body>',
+        f'<body>{nav}<div class="widget-page"><p>{PARAGRAPH}</p></div><div class="comments">no</div></body>',
+    ):
+        assert main_text(page) == PLAIN, page
+    # Right hints stay: comments beside the article, however long, and forms in it.
+    page = f'<article><p>{PARAGRAPH}</p><form>Your name <input></form></article><div class="comments"><article><p>{PARAGRAPH} {PARAGRAPH}</p></article></div>'
+    assert main_text(page) == PLAIN
+    assert main_text(f"<article><p><a href=/x>{PARAGRAPH}<div><p>{PARAGRAPH}</div></article>").endswith(PLAIN)
+
+
 def test_page_without_main_region():
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
     page = f"<body><ul>{links}</ul><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><ul>{links}</ul><div class=footer>{PARAGRAPH}</div>"

@@ -4,6 +4,10 @@ A page becomes a flat list of text blocks: the text between block-level tags, wi
 and the share of them inside links. A decision tree looks at a block and at its two neighbours, and at
 what the enclosing tags say (main region, page furniture, heading), and keeps or drops the block. The
 tree is grown here from the small table of labelled blocks below.
+
+Tags like ``nav`` and hidden elements are page furniture for certain. A class name or a ``form`` is a hint
+only: where all that a page has in its main region, or else most of its text, lies inside the element,
+the hint is wrong (``has-sidebar`` on the wrapper of an article, a form around a whole page) and ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 # Tags by what they mean for the text.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas select textarea button audio video head title".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog".split())
+FURNITURE = frozenset("nav header footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,43 +51,86 @@ class Block:
     heading: bool
 
 
+#: What an element's tag and attributes make of it.
+PLAIN, HINTED, CERTAIN = 0, 1, 2
+
+
 @lru_cache(maxsize=4096)
-def _furnishes(tag: str, attributes: str) -> bool:
+def _furnishes(tag: str, attributes: str) -> int:
     """Whether an element is page furniture by its attributes."""
     if tag in ("html", "body", *MAIN) and "role" not in attributes.lower() and "comment" not in attributes.lower():
-        return False
+        return PLAIN
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", _ATTRIBUTE.sub(" ", attributes)):
-        return True
-    return any(p.lower() in HINTS for name in ("class", "id", "role") for p in _PARTS.findall(found.get(name, "")))
+        return CERTAIN
+    return HINTED if any(p.lower() in HINTS for name in ("class", "id", "role") for p in _PARTS.findall(found.get(name, ""))) else PLAIN
+
+
+@dataclass(frozen=True)
+class _Place:
+    """What the open elements around a place say: the innermost one's tag, furniture for certain, the hints' numbers, main region, heading."""
+
+    tag: str = ""
+    certain: bool = False
+    hints: tuple[int, ...] = ()
+    main: bool = False
+    heading: bool = False
+
+
+def _settle(found: list[Block], places: list[_Place], n_hints: int) -> None:
+    """Sets which blocks are furniture, once it is known which hints are wrong."""
+    inside, main_inside = np.zeros(n_hints, dtype=np.int64), np.zeros(n_hints, dtype=np.int64)
+    total = main_total = 0
+    for b, p in zip(found, places, strict=True):
+        if p.certain:
+            continue
+        plain = b.words - min(b.linked, b.words)
+        total += plain
+        main_total += plain * p.main
+        for h in p.hints:
+            inside[h] += plain
+            main_inside[h] += plain * p.main
+    wrong = (main_inside == main_total) if main_total else (2 * inside > total)
+    for b, p in zip(found, places, strict=True):
+        b.furniture = p.certain or any(not wrong[h] for h in p.hints)
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order; comments and silent elements leave none."""
     found: list[Block] = []
+    places: list[_Place] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, main, heading of open elements and those around them
-    state, links, at, n = ("", False, False, False), 0, 0, len(page)
+    stack: list[_Place] = []  # open elements, the innermost last
+    state, n_hints, at, n = _Place(), 0, 0, len(page)
+    links = -1  # how many elements were open when a link began, -1 outside one
 
     def flush() -> None:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            found.append(Block(words, len(words.split(" ")), len(html.unescape("".join(linked)).split()), state[1], state[2], state[3]))
+            found.append(Block(words, len(words.split(" ")), len(html.unescape("".join(linked)).split()), False, state.main, state.heading))
+            places.append(state)
         linked.clear()
 
+    def close(tag: str) -> None:
+        nonlocal state, links
+        if any(s.tag == tag for s in stack):
+            while stack.pop().tag != tag:
+                pass
+            state = stack[-1] if stack else _Place()
+            if len(stack) < links:  # an element around the link has ended, so the link was left open
+                links = -1
+
     while at < n:
         m = _TOKEN.search(page, at)
+        rest = page[at : m.start() if m else n]
+        if rest:
+            text.append(rest)
+            if links >= 0:
+                linked.append(rest)
         if m is None:
-            text.append(page[at:])
-            if links:
-                linked.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-            if links:
-                linked.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -96,43 +143,40 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)" if tag != "head" else r"</head\b[^>]*(?:>|\Z)|(?=<body\b)", re.I).search(page, at)
                 at = end.end() if end else (n if tag != "head" else at)
             continue
-        if tag == "a":
-            links = 0 if closing else 1
+        if tag == "a":  # without an address it is a place to link to
+            links = len(stack) if not closing and re.search(r"\bhref\b", attributes, re.I) else -1
         elif tag in VOID:
             if tag in BLOCK:
                 flush()
             elif tag == "br":
                 text.append(" ")
-                if links:
+                if links >= 0:
                     linked.append(" ")
             continue
-        if tag not in BLOCK:
-            if tag == "a" or closing or not attributes or not _furnishes(tag, attributes):
-                if closing and any(s[0] == tag for s in stack):  # an inline element that was furniture
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                    state = stack[-1] if stack else ("", False, False, False)
-                continue
+        if tag not in BLOCK and (tag == "a" or closing or not attributes or not _furnishes(tag, attributes)):
+            if tag != "a" and closing and any(s.tag == tag for s in stack):  # an inline element that was furniture
+                flush()
+                close(tag)
+            continue
         flush()
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                state = stack[-1] if stack else ("", False, False, False)
+            close(tag)
             continue
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            stack.pop()  # closed by the next of its kind
-            state = stack[-1] if stack else ("", False, False, False)
-        if stack and stack[-1][0] == "p":  # no block stands inside a paragraph
-            stack.pop()
-            state = stack[-1] if stack else ("", False, False, False)
+        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1].tag == tag:
+            close(tag)  # closed by the next of its kind
+        if stack and stack[-1].tag == "p":  # no block stands inside a paragraph
+            close("p")
+        kind = _furnishes(tag, attributes) if attributes else PLAIN
         # A header within the main region belongs to the article.
-        furniture = state[1] or (tag in FURNITURE and not (tag == "header" and state[2])) or (bool(attributes) and _furnishes(tag, attributes))
-        main = state[2] or tag in MAIN or ("main" in attributes.lower() and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None)
-        state = (tag, furniture, main, tag in HEADINGS)
+        certain = state.certain or kind == CERTAIN or (tag in FURNITURE and not (tag == "header" and state.main))
+        hints = state.hints
+        if not certain and (kind == HINTED or tag == "form"):
+            hints, n_hints = (*hints, n_hints), n_hints + 1
+        main = state.main or tag in MAIN or ("main" in attributes.lower() and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None)
+        state = _Place(tag, certain, hints, main, tag in HEADINGS)
         stack.append(state)
     flush()
+    _settle(found, places, n_hints)
     return found
 
 
