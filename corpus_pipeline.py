@@ -22,61 +22,87 @@ MASK = "[SECRET]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose text the classifier calls toxic."""
+    """Drops rows whose text the classifier calls toxic.
+
+    Rows are judged one by one: those with equal texts go or stay together, whatever their doc_id, a
+    null included. A null or empty text has no votes and is judged by the classifier's intercept, so
+    it stays unless most labelled documents are toxic. Texts are read whole.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = [c for c in docs.columns if c != "doc_id"]
     clean = toxicity(docs, labels, keep=rest).filter("predicted = 0")
     return clean.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"kept.`{c}`") for c in docs.columns])
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key for each row, and the key's name: doc_id or, without one, a hash of the other columns from 2 ** 62 on.
+#: Keys of rows that no doc_id of their own names begin here.
+_MADE = 1 << 62
+
 
-    A hash, unlike a number, is the same whenever the rows are read; equal rows without doc_id share it.
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each different row, and the key's name: its doc_id or, without one or with one that repeats, a hash of the whole row from _MADE on.
+
+    A hash, unlike a number, is the same whenever the rows are read; equal rows share it.
     """
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    made = F.xxhash64(*others).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made)), key
+    key, often = "row_key", "id_repeats"
+    while {key, often} & set(docs.columns):
+        key, often = key + "_", often + "_"
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
+    repeated = scratch.table("repeated", repeated.select(F.col("doc_id"), F.lit(True).alias(often)))
+    made = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).bitwiseAND(_MADE - 1).bitwiseOR(_MADE)
+    keyed = docs.join(repeated, "doc_id", "left").withColumn(key, F.when(F.col("doc_id").isNull() | F.col(often).isNotNull(), made).otherwise(F.col("doc_id").cast("long")))
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], key), key
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by 80 % of five-word shingles, the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays, the first by its other columns. Rows without doc_id are
-    judged by their text like all others, and come after those with one; those without words stay.
+    Rows without doc_id and rows that share one are judged by their text like all others, and come
+    after those with a doc_id of their own: none goes because its id repeats. Of equal rows with words
+    one stays. Rows without words, null and empty texts, all stay. Texts are read whole.
     """
-    keyed, key = _keyed(docs)
-    words = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
-    keyed = keyed.withColumn(key, F.when(F.col("doc_id").isNotNull() | (words > 0), F.col(key)))
-    gone = near_duplicates(keyed, k=5, percent=80, id_col=key).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    kept = keyed.join(gone, key, "left_anti")
-    repeated = keyed.groupBy(key).count().filter(f"count > 1 and {key} is not null").select(key)
-    one = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    one = one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return kept.join(repeated, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+    scratch = Scratch(spark, "pipeline-near-dups")
+    keyed, key = _keyed(docs, scratch)
+    gone = near_duplicates(keyed, k=5, percent=80, id_col=key).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    kept = keyed.join(scratch.table("gone", gone), key, "left_anti").select(*keyed.columns)
+    several = (F.col(key) >= _MADE) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    once = kept.filter(several).dropDuplicates([key])
+    return kept.filter(~F.coalesce(several, F.lit(False))).unionByName(once).drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that cover half of a benchmark item or more, whether or not they have a doc_id."""
-    keyed, key = _keyed(docs)
-    leaks = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(leaks, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drops documents that cover half of a benchmark item or more, whether or not they have a doc_id.
+
+    Rows that share a doc_id are judged each by its own text, equal rows alike. Null and empty texts
+    stay. Items under three tokens condemn no document, as any text may hold a lone name or number.
+    Texts are read whole.
+    """
+    scratch = Scratch(spark, "pipeline-leaks")
+    keyed, key = _keyed(docs, scratch)
+    leaks = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key, least_tokens=3).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(scratch.table("leaks", leaks), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mask in the place of each secret; n_chars follows."""
+    """Puts a mask in the place of each secret; n_chars follows.
+
+    No row goes. Rows are judged one by one, whatever their doc_id; a null text stays null (its n_chars
+    too) and an empty one empty. Texts are read whole.
+    """
     found = secrets(docs, mask=MASK, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
     own = {"doc_id": F.col("doc_id"), "text": F.col("masked").alias("text"), "n_chars": F.length("masked").cast("long").alias("n_chars")}
     return found.select(*[own.get(c, F.col(f"kept.`{c}`")) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits each document as often as the mix takes it: doc_id, source, size, copy (from 1), lang and text."""
-    taken = mix(docs, keep=("lang", "text")).filter("copies > 0")
-    return taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "kept.lang", "kept.text")
+    """Emits each document as often as the mix takes it: doc_id, source, size, copy (from 1) and the other columns of ``docs``.
+
+    Rows that repeat a doc_id and a source come equally often; those without doc_id go by their text.
+    Null and empty texts have size 0 and come as often as their source's rate says. A null source is
+    one of its own. A column of ``docs`` that is called size or copy gives way. Texts are read whole.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "size", "copy")]
+    taken = mix(docs, keep=rest).filter("copies > 0")
+    return taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), *[F.col(f"kept.`{c}`") for c in rest])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
