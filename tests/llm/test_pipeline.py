@@ -38,7 +38,8 @@ def test_edge_rows_pass_every_stage(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         ids = sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr)
-        assert ids == ([1, 2, None] if name == "near_dups" else [1, 2, 2, 3, None])
+        # Of the three rows with one text the smallest id of its own stays; ids that repeat come after it.
+        assert ids == ([1, 3, None] if name == "near_dups" else [1, 2, 2, 3, None])
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() <= 12
 
@@ -55,3 +56,24 @@ def test_rows_without_id_are_judged_by_their_text(spark):
     assert sorted(r.text or "" for r in stages["near_dups"](spark, short, SF).collect()) == ["", "", "", "", "a \x0b b"]
     got = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, SF).collect()]
     assert sorted(got, key=repr) == sorted([r[:2] for r in rows[:6]], key=repr)
+
+
+def test_no_row_goes_because_its_id_repeats(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
+    say = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(7, say("x"), "en", "s"), (7, say("y"), "en", "s"), (7, say("y"), "en", "s"), (7, "", "en", "s"), (7, "", "en", "s"), (9, say("x"), "en", "s"), (8, f"so {item}", "en", "s"), (8, say("z"), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stages = dict(pipeline.STAGES)
+    got = sorted((r.doc_id, r.text) for r in stages["near_dups"](spark, docs, SF).collect())
+    assert got == sorted([(9, say("x")), (7, say("y")), (7, ""), (7, ""), (8, f"so {item}"), (8, say("z"))])
+    got = sorted((r.doc_id, r.text) for r in stages["decontamination"](spark, docs, SF).collect())
+    assert got == sorted((i, t) for i, t, *_ in rows if i != 8 or not t.startswith("so "))
+
+
+def test_very_long_texts_pass_every_stage(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(250_000))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long), 1), (2, long + " the end", "en", "s", 0, 1), (3, "a " * 200_000, None, None, 0, 1), (4, "short one", "en", "t", 9, 1)], "doc_id long, text string, lang string, source string, n_chars long, copy int")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        assert {r.doc_id for r in out} == ({1, 3, 4} if name == "near_dups" else {1, 2, 3, 4}) or name == "mixing"
+        assert all(r.text == {1: long, 2: long + " the end", 3: "a " * 200_000, 4: "short one"}[r.doc_id] for r in out)
