@@ -2,8 +2,8 @@
 
 1. *Seeds.* Every document is winnowed (Schleimer, Wilkerson, Aiken 2003): of each ``length`` words,
    the smallest hash among their ``seed`` -word grams is an anchor, so two documents that share
-   ``length`` words share an anchor. Anchors of one document only are dropped. Each other one has a few
-   owners: a hash deals the documents into ``OWNERS`` classes, and the smallest doc_id of each owns it.
+   ``length`` words share an anchor. Anchors of one document only are dropped. Each other one has
+   its owners: a hash deals documents into ``OWNERS`` classes, and the smallest doc_id of each owns it.
 2. *Extend.* Documents meet the earlier owners of their anchors, never each other, so a group of copies
    costs what its members cost. Around each anchor the words to the left and to the right are compared
    with those around the owner's anchor, as far as a window of ``length`` words reaches; a longer match
@@ -34,8 +34,8 @@ from .ids import numbered_ids
 from .scratch import Scratch
 
 SEED = 5
-#: Documents with which those that share an anchor are compared, at most.
-OWNERS = 3
+#: Documents with which those that share an anchor are compared, at most. More leave fewer windows to look up, where owners differ from their copies, but move more words.
+OWNERS = 1
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -123,6 +123,12 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2] - 1
 
 
+def _ramp(counts: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
 def _spans(words: K.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of the words from each start to before each end."""
     power, inverse = K._power_table(len(words.hash) + 1)
@@ -135,7 +141,7 @@ def _spans(words: K.Words, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def _extender(length: int):
-    """Runs of neighbouring windows, as first and last place: those in an owner's match without hashes, those that leave it with two of the run's words and with two of each window; columns: doc_id, text, seeds (anchor, owner, around)."""
+    """Runs of neighbouring windows, as first and last place: those in an owner's match without hashes, those that leave it once for each different run of a document, with hashes of its words and of each of its windows; columns: doc_id, text, seeds (anchor, owner, around)."""
     reach = length - SEED
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,31 +185,39 @@ def _extender(length: int):
                     edge[windows[~gone & ~first]] = True
                 # Runs end with their document: none of its windows reaches into the next one.
                 (first, last), (begin, end) = _runs(copied), _runs(edge)
-                n = len(begin)
-                at = np.concatenate((begin, first))
-                doc = np.searchsorted(words.first, at, side="right") - 1
-                run_a, run_b = (np.concatenate((h.view(np.int64), np.zeros(len(first), np.int64))) for h in _spans(words, begin, end + length))
-                counts = np.concatenate((end - begin + 1, np.zeros(len(first), np.int64)))
-                edge = np.flatnonzero(edge)
+                run_a, run_b = _spans(words, begin, end + length)
+                doc = np.searchsorted(words.first, begin, side="right") - 1
+                # A periodic text has the same run over and over: one row, with all its places.
+                order = np.lexsort((begin, run_b, run_a, doc))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (doc[order][1:] != doc[order][:-1]) | (run_a[order][1:] != run_a[order][:-1]) | (run_b[order][1:] != run_b[order][:-1])
+                heads = order[new]
+                size = end[heads] - begin[heads]
+                of_key = np.repeat(begin[heads], size + 1) + _ramp(size + 1)
+                n, m = len(heads), len(first)
+                docs = np.concatenate((doc[heads], np.searchsorted(words.first, first, side="right") - 1))
+                places = np.concatenate((begin[order], first)) - words.first[np.concatenate((doc[order], docs[n:]))]
+                several = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+                counts = np.concatenate((size + 1, np.zeros(m, np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(run_a, mask=np.arange(len(at)) >= n),
-                        pa.array(run_b),
-                        pa.array(ids[i + doc]),
-                        pa.array(whole[doc]),
-                        pa.array((at - words.first[doc]).astype(np.int32)),
-                        pa.array((np.concatenate((end, last)) - words.first[doc]).astype(np.int32)),
-                        K.lists(a[edge].view(np.int64), counts, pa.int64()),
-                        K.lists((b[edge] >> np.uint64(32)).astype(np.uint32).view(np.int32), counts, pa.int32()),
+                        pa.array(np.concatenate((run_a[heads].view(np.int64), np.zeros(m, np.int64))), mask=np.arange(n + m) >= n),
+                        pa.array(np.concatenate((run_b[heads].view(np.int64), np.zeros(m, np.int64)))),
+                        pa.array(ids[i + docs]),
+                        pa.array(whole[docs]),
+                        K.lists(places.astype(np.int32), np.concatenate((several, np.ones(m, np.int64))), pa.int32()),
+                        pa.array(np.concatenate((size, last - first)).astype(np.int32)),
+                        K.lists(a[of_key].view(np.int64), counts, pa.int64()),
+                        K.lists((b[of_key] >> np.uint64(32)).astype(np.uint32).view(np.int32), counts, pa.int32()),
                     ],
-                    names=["run_a", "run_b", "doc_id", "whole_a", "place", "last", "keys_a", "keys_b"],
+                    names=["run_a", "run_b", "doc_id", "whole_a", "places", "size", "keys_a", "keys_b"],
                 )
 
     return extend
 
 
 def _cutter(length: int):
-    """Removes the words of the windows that begin at ``runs`` (place to last); columns: doc_id, text, whole_a, runs."""
+    """Removes the words of the windows that begin at ``runs`` (from each of places, size further ones); columns: doc_id, text, whole_a, runs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +230,10 @@ def _cutter(length: int):
                     continue
                 gone = np.zeros(len(words) + 1, dtype=np.int32)
                 runs = batch.column(3)[d].values
-                np.add.at(gone, runs.field("place").to_numpy(), 1)
-                np.add.at(gone, runs.field("last").to_numpy() + length, -1)
+                places = runs.field("places")
+                begin = places.flatten().to_numpy()
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + np.repeat(runs.field("size").to_numpy(), places.value_lengths().to_numpy()) + length, -1)
                 stays = np.cumsum(gone)[:-1] == 0
                 rest = b" ".join(w for w, s in zip(words, stays, strict=True) if s)
                 out.append((len(words) - int(stays.sum()), hashlib.sha256(rest).hexdigest(), rest.decode()))
@@ -269,21 +285,21 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     scratch.drop("around", "heads")
 
     found = texts.join(suspects, "doc_id").select("doc_id", "text", "seeds")
-    found = scratch.table("found", found.mapInArrow(_extender(length), "run_a long, run_b long, doc_id long, whole_a long, place int, last int, keys_a array<long>, keys_b array<int>"))
+    found = scratch.table("found", found.mapInArrow(_extender(length), "run_a long, run_b long, doc_id long, whole_a long, places array<int>, size int, keys_a array<long>, keys_b array<int>"))
     scratch.drop("suspects")
     run = ["run_a", "run_b"]
     edges = found.filter("run_a is not null")
     heads = scratch.table("run-heads", edges.groupBy(*run).agg(F.min("doc_id").alias("head")))
     edges = edges.join(heads, run)
-    equal = edges.filter("doc_id > head").select("doc_id", "whole_a", "place", "last")
-    windows = edges.filter("doc_id = head").select("doc_id", "whole_a", "place", F.posexplode(F.arrays_zip("keys_a", "keys_b")).alias("nr", "key"))
-    windows = scratch.table("windows", windows.select("key.keys_a", "key.keys_b", "doc_id", "whole_a", (F.col("place") + F.col("nr")).alias("place")))
+    equal = edges.filter("doc_id > head").select("doc_id", "whole_a", "places", "size")
+    windows = edges.filter("doc_id = head").select("doc_id", "whole_a", "places", F.posexplode(F.arrays_zip("keys_a", "keys_b")).alias("nr", "key"))
+    windows = scratch.table("windows", windows.select("key.keys_a", "key.keys_b", "doc_id", "whole_a", F.expr("transform(places, p -> p + nr)").alias("places")))
     key = ["keys_a", "keys_b"]
     first = windows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").drop("hi")
     first = scratch.table("first", first)
-    runs = windows.join(first, key).filter("doc_id > owner").select("doc_id", "whole_a", "place", F.col("place").alias("last"))
-    runs = runs.unionByName(equal).unionByName(found.filter("run_a is null").select("doc_id", "whole_a", "place", "last"))
-    marked = scratch.table("marked", runs.groupBy("doc_id", "whole_a").agg(F.collect_set(F.struct("place", "last")).alias("runs")))
+    runs = windows.join(first, key).filter("doc_id > owner").select("doc_id", "whole_a", "places", F.lit(0).alias("size"))
+    runs = runs.unionByName(equal).unionByName(found.filter("run_a is null").select("doc_id", "whole_a", "places", "size"))
+    marked = scratch.table("marked", runs.groupBy("doc_id", "whole_a").agg(F.collect_set(F.struct("places", "size")).alias("runs")))
     scratch.drop("found", "run-heads", "windows", "first")
 
     cut = texts.join(marked, "doc_id").select("doc_id", "text", "whole_a", "runs")
