@@ -80,7 +80,7 @@ def _doc_seeds(widths: list[int], bitmap: np.ndarray):
     """(document key, seed) of each distinct seed of a document that the bitmap lets pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches, 1):
             for i, _, words, _ in _tokens(batch.column(1)):
                 docs, seeds = [], []
                 for w in widths:

@@ -13,9 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call works on; temporaries take about 40 bytes for each of them.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Rows of one kernel call, for columns of very short texts.
 CHUNK_ROWS = 4096
 
@@ -144,6 +145,18 @@ def chunks(text: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
         i = j
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose string column has about ``most`` bytes, for operators that copy it; a part has one row at least."""
+    for batch in batches:
+        sizes = np.cumsum(np.concatenate(([0], np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + most, side="right")) - 1)
+            yield batch.slice(i, min(j, batch.num_rows) - i)
+            i = j
+    pa.default_memory_pool().release_unused()
+
+
 def per_doc(flags_first: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Document index of each word position."""
     return np.searchsorted(flags_first, positions, side="right") - 1

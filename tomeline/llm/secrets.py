@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "der", "jwt", "pem", "ssh")
 
@@ -213,7 +215,7 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
 
 def _scan(mask: str | None, keep: Sequence[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches, 1):
             text = batch.column(1).cast(pa.large_string())
             maybe = pc.fill_null(pc.match_substring_regex(text, _SCREEN), False).to_numpy(zero_copy_only=False)
             found = [spans_of(text[i].as_py()) if m else [] for i, m in enumerate(maybe)]

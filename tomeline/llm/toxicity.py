@@ -225,7 +225,7 @@ def linear_fit(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: in
 def _inputs(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
     """The classifier's inputs and the label of each row of a bounded sample."""
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.pieces(batches, 0):
             for i, j, row, voter, hits, words in voters.votes(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(i, j - i), K.lists(voter, np.bincount(row, minlength=j - i), pa.int32()), pa.array(hits), pa.array(words)],
@@ -291,7 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(voters)
-        for batch in batches:
+        for batch in K.pieces(batches, 2):
             for i, j, row, voter, hits, words in voters.votes(batch.column(2)):
                 logit = np.bincount(row, weights=weights[voter], minlength=j - i).astype(np.float64)  # of no votes it makes integers
                 logit += weights[n] * np.log1p(hits) + weights[n + 1] * np.minimum(100 * hits / np.maximum(words, 20), 5) + weights[n + 2]
