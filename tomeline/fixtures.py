@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.fts import Index
+from .operators.maintain import last_writer
+from .plans.store import Store, fingerprint, shared_dir, snapshot
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "documents")
 
 # Rows come from one table each (src) under its key (k); id is made of both, so no row needs the others
@@ -61,8 +65,22 @@ def raw_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """Where this application keeps the catalogue of these tables; tables that change get another."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+    if key not in _stores:
+        _stores[key] = Store(spark, f"{shared_dir(spark)}/catalog-{'-'.join(key)}").temporary()
+    return _stores[key]
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each qualified name: id, src, name, qualified_name, symbol_type, signature, docstring, base."""
-    from .operators.maintain import last_writer
+    """One row for each qualified name: id, src, name, qualified_name, symbol_type, signature, docstring, base; from the stored snapshot, which the first query writes."""
+    return snapshot(store(spark, sf_dir), lambda: last_writer(raw_symbols(spark, sf_dir), "qualified_name", "id"))
+
 
-    return last_writer(raw_symbols(spark, sf_dir), "qualified_name", "id")
+def index(spark: SparkSession, sf_dir: str, stemmed: bool) -> Index:
+    """The stored full-text index of the snapshot."""
+    return store(spark, sf_dir).index(catalog(spark, sf_dir), stemmed)

@@ -57,9 +57,18 @@ def build(symbols: DataFrame, stemmed: bool = True) -> Index:
     if stemmed:  # each distinct word crosses to Python once
         stems = counted.select("term").distinct().withColumn("stem", porter_stem("term"))
         counted = counted.join(stems, "term").groupBy("id", "col", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    found = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    lengths = symbols.select("id").join(found, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    return Index(counted, lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
+    lengths = lengths_of(symbols, counted)
+    return Index(counted, lengths, totals_of(lengths), stemmed)
+
+
+def lengths_of(symbols: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, dl): the terms of each symbol, 0 for those without."""
+    found = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    return symbols.select("id").join(found, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+def totals_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def match(index: Index, query: str, columns: tuple[str, ...]) -> DataFrame | None:
@@ -98,9 +107,12 @@ def search(symbols: DataFrame, index: Index, query: str, columns: tuple[str, ...
     found = match(index, query, columns)
     if found is None:
         return None
-    rows = symbols if symbol_type is None else symbols.filter(F.col("symbol_type") == symbol_type)
+    if symbol_type is not None:
+        found = found.join(symbols.filter(F.col("symbol_type") == symbol_type).select("id"), "id", "left_semi")
+    # Ranked as (id, score): whole rows, with their texts, are fetched for ``cap`` ids at most, which are few enough to broadcast.
     # Floating sums depend on the order of addition; twelve places are enough to tell scores apart.
-    return rows.join(found, "id").orderBy(F.round("score", 12), "id").limit(cap)
+    best = found.orderBy(F.round("score", 12), "id").limit(cap)
+    return symbols.join(F.broadcast(best), "id")
 
 
 def idf(n: int, having: int) -> float:

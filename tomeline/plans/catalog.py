@@ -14,6 +14,7 @@ from ..schema import PACKAGES, PROJECT_PREFIX
 from ..sources import discover
 from ..sources.python_tree import read_sources, read_symbols
 from . import cascade
+from .store import Store, snapshot
 
 _SEQ_BITS = 32
 
@@ -23,7 +24,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._index: fts.Index | None = None
+        self._store = Store(spark, f"{self.folder}/snapshot")
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -40,15 +41,25 @@ class Catalog:
         return self.spark.read.schema(PACKAGES).parquet(f"{self.folder}/packages")
 
     def symbols(self) -> DataFrame:
-        """One row for each qualified name; ids follow the order of sources and of symbols within them."""
-        turn = self._turns()
+        """One row for each qualified name, as stored; ids follow the order of sources and of symbols within them."""
+        self.packages()
+        return snapshot(self._store, self._newest)
+
+    def _newest(self) -> DataFrame:
+        """The rows of all sources, later ones of the same qualified name put over earlier ones."""
+        names = self.packages().select(F.col("name").alias("source_key"))
+        ordered = names.orderBy("source_key").withColumn("at", F.monotonically_increasing_id())
+        # A number for each source in the order of names: whole partitions first, then the place in them.
+        part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+        turn = ordered.select("source_key", F.shiftleft(part, 20).bitwiseOR(place).alias("turn"))
         rows = self.spark.read.parquet(f"{self.folder}/symbols").join(turn, "source_key")
         rows = rows.withColumn("id", F.shiftleft("turn", _SEQ_BITS) + F.col("seq")).drop("turn")
         return maintain.last_writer(rows, "qualified_name", "id")
 
-    def _turns(self) -> DataFrame:
-        names = sorted(r.name for r in self.packages().select("name").collect())  # a row for each package
-        return F.broadcast(self.spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source_key string, turn long"))
+    def _refresh(self) -> None:
+        """Stores the snapshot and its full-text index anew, so that every later process only reads them."""
+        self._store.drop()
+        self.index()
 
     def build(self, venv: Path | None = None, projects: list[Path] = (), force: bool = False) -> int:
         """Indexes what is new or changed and drops what is gone; the number of symbols, or -1 if there was nothing to do."""
@@ -77,7 +88,7 @@ class Catalog:
         rows = [(n, r.source_path, r.mtime, r.symbol_count) for n, r in known.items() if n not in gone and n not in todo]
         rows += [(n, found[n].source_path, found[n].mtime, counts.get(n, 0)) for n in todo]
         self.spark.createDataFrame(rows, PACKAGES).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/packages")
-        self._index = None
+        self._refresh()
         return -1 if not todo and not force else sum(counts.values())
 
     def is_stale(self, venv: Path | None = None, projects: list[Path] = ()) -> bool:
@@ -110,13 +121,11 @@ class Catalog:
             self._fs().delete(self._path(f"symbols/source_key={escaped}"), True)
         if gone:
             self.spark.createDataFrame([tuple(r) for r in rows if r.name not in gone], PACKAGES).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/packages")
-            self._index = None
+            self._refresh()
         return gone
 
     def index(self) -> fts.Index:
-        if self._index is None:
-            self._index = fts.build(self.symbols()).cached()
-        return self._index
+        return self._store.index(self.symbols(), stemmed=True)
 
     def find(self, query: str, limit: int = 50, symbol_type: str | None = None) -> DataFrame:
         return cascade.search(self.symbols(), self.index(), query, limit, symbol_type)

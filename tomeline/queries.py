@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .fixtures import CTE, catalog, raw_symbols
+from .fixtures import CTE, catalog, index, raw_symbols
 from .functions.columns import depth, like, parent, query_terms, sanitized, sort_key, type_rank, valid_terms, visibility
 from .operators import format as fmt
 from .operators import fts, fuzzy, lookup, maintain, navigate, rank, stats
@@ -318,7 +318,7 @@ def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_POSTINGS + " select id, col, term, tf from postings")
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.build(catalog(spark, sf_dir), stemmed=False).postings
+    return index(spark, sf_dir, stemmed=False).postings
 
 
 def _bm25(first: str, second: str, columns: str) -> str:
@@ -334,8 +334,8 @@ def _bm25(first: str, second: str, columns: str) -> str:
 
 
 def _searched(spark: SparkSession, sf_dir: str, query: str, columns: tuple[str, ...]) -> DataFrame:
-    symbols = catalog(spark, sf_dir)
-    found = rank.numbered(fts.search(symbols, fts.build(symbols, stemmed=False), query, columns), F.round("score", 12), "id")
+    found = fts.search(catalog(spark, sf_dir), index(spark, sf_dir, stemmed=False), query, columns)
+    found = rank.numbered(found, F.round("score", 12), "id")
     return found.select("id", "qualified_name", F.round("score", 6).alias("score"), "rank")
 
 
@@ -362,8 +362,7 @@ def fts_invalid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = catalog(spark, sf_dir)
-    found = fts.search(symbols, fts.build(symbols), "released licensing", ("docstring",))
+    found = fts.search(catalog(spark, sf_dir), index(spark, sf_dir, stemmed=True), "released licensing", ("docstring",))
     return rank.numbered(found, F.round("score", 12), "id").select("id", "qualified_name", F.round("score", 6).alias("score"), "rank")
 
 
@@ -399,9 +398,8 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cascade(spark: SparkSession, sf_dir: str, query: str, limit: int = 20, stemmed: bool = False) -> DataFrame:
-    symbols = _with_bases(catalog(spark, sf_dir)).cache()
-    index = fts.build(symbols, stemmed=stemmed).cached()
-    return cascade.search(symbols, index, query, limit).select("id", "qualified_name", "symbol_type", "stage", "tier", "rank")
+    symbols = _with_bases(catalog(spark, sf_dir))
+    return cascade.search(symbols, index(spark, sf_dir, stemmed), query, limit).select("id", "qualified_name", "symbol_type", "stage", "tier", "rank")
 
 
 @_query(
