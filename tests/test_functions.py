@@ -80,3 +80,12 @@ def test_ranked_search_is_that_of_fts5(spark):
             got = [(r.id, r.score) for r in fts.search(table, index, query, columns).orderBy(F.round("score", 12), "id").collect()]
             assert [i for i, _ in got] == [i for i, _ in want], (query, label)
             assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_a_folder_of_stubs_is_a_package(tmp_path):
+    from tomeline.sources.discover import package_name
+
+    for name, file in [("stubs", "a.pyi"), ("plain", "a.py"), ("data", "a.txt")]:
+        (tmp_path / name).mkdir()
+        (tmp_path / name / file).write_text("")
+    assert [package_name(tmp_path / n) for n in ("stubs", "plain", "data")] == ["stubs", "plain", None]

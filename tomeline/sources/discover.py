@@ -40,7 +40,7 @@ def find_site_packages(venv: Path) -> Path | None:
 
 def _holds_python(folder: Path) -> bool:
     """Whether a folder without ``__init__.py`` has modules, or folders with an ``__init__.py``, directly inside."""
-    return any((p.is_file() and p.suffix == ".py") or (p.is_dir() and (p / "__init__.py").is_file()) for p in folder.iterdir())
+    return any((p.is_file() and p.suffix in (".py", ".pyi")) or (p.is_dir() and (p / "__init__.py").is_file()) for p in folder.iterdir())
 
 
 def package_name(entry: Path) -> str | None:
