@@ -10,6 +10,7 @@ from tomeline.functions.columns import like, query_terms, sanitized, valid_terms
 from tomeline.functions.fuzzy import lcs_length, lcs_sql, lcs_with
 from tomeline.functions.porter import stem
 from tomeline.operators import fts
+from tomeline.operators.format import line
 
 
 def test_like_is_that_of_sqlite(spark):
@@ -89,3 +90,10 @@ def test_a_folder_of_stubs_is_a_package(tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / file).write_text("")
     assert [package_name(tmp_path / n) for n in ("stubs", "plain", "data")] == ["stubs", "plain", None]
+
+
+def test_colours_are_put_on_after_shortening(spark):
+    rows = spark.createDataFrame([("f", "function", "(a: int = 5, b={1: 2}, " + "c" * 40 + ": str) -> int"), ("g", "function", None)], "name string, symbol_type string, signature string")
+    for r in rows.select(line(True).alias("shown"), line().alias("bare")).collect():
+        assert re.sub("\x1b\\[[0-9]+m", "", r.shown) == r.bare and r.shown.count("\x1b") % 2 == 0
+        assert "\x1b" not in r.bare and len(r.bare) <= 60

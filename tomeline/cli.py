@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .operators.format import line, styled
+from .operators.format import line
 from .plans.catalog import Catalog
 from .sources import discover
 
@@ -56,8 +56,7 @@ def _run(args: argparse.Namespace, catalog: Catalog) -> int:
         print("\n".join(catalog.clean()) or "Nothing to remove")
     elif args.command == "find":
         rows = catalog.ensure().find(args.query, args.limit, args.type)
-        shown = rows.withColumn("signature", styled()) if args.color else rows
-        for r in shown.orderBy("rank").select(line().alias("line")).collect():
+        for r in rows.orderBy("rank").select(line(args.color).alias("line")).collect():
             print(r.line)
         if text := catalog.find_hint(rows, discover.find_venv_cached() is not None):
             print(text)
