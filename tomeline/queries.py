@@ -12,7 +12,7 @@ from .functions.columns import depth, like, parent, query_terms, sanitized, sort
 from .operators import format as fmt
 from .operators import fts, fuzzy, lookup, maintain, navigate, rank, stats
 from .plans import cascade
-from .sources import python_tree
+from .sources import listing, python_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -397,6 +397,10 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- search ------------------------------------------------------------------------------------------
 
 
+#: Words of texts begin with it, and names of parts are like it, but no name holds it.
+_NEAR = "blend"
+
+
 def _cascade(spark: SparkSession, sf_dir: str, query: str, limit: int = 20, stemmed: bool = False) -> DataFrame:
     symbols = _with_bases(catalog(spark, sf_dir))
     return cascade.search(symbols, index(spark, sf_dir, stemmed), query, limit).select("id", "qualified_name", "symbol_type", "stage", "tier", "rank")
@@ -430,6 +434,70 @@ def search_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cascade(spark, sf_dir, "NATON_7", stemmed=True)
 
 
+def _best(tag: str, terms: list[str], columns: str) -> str:
+    """best_<tag>: the ids of the 200 best symbols for prefixes, the first of them in some columns."""
+    hits = " union all ".join(
+        f"select id, {i} as t, cast(sum(tf) as double) as f from postings where starts_with(term, '{p}')" + ("" if i else f" and col in ({columns})") + " group by id" for i, p in enumerate(terms)
+    )
+    weight = "ln((n - ni + cast(0.5 as double)) / (ni + cast(0.5 as double)))"
+    return (
+        f", hits_{tag} as ({hits}), ni_{tag} as (select t, cast(count(*) as double) as ni from hits_{tag} group by t), "
+        f"best_{tag} as (select h.id from hits_{tag} h join ni_{tag} w on w.t = h.t join dl on dl.id = h.id cross join tot group by h.id having count(*) = {len(terms)} "
+        f"order by round(-sum(case when {weight} <= 0 then cast(0.000001 as double) else {weight} end "
+        "* (f * cast(2.2 as double) / (f + cast(1.2 as double) * (cast(0.25 as double) + cast(0.75 as double) * dl.dl / avgdl)))), 12), h.id limit 200)"
+    )
+
+
+def _search_sql(query: str, limit: int = 20) -> str:
+    """The stages of a search without a dot, its terms unstemmed."""
+    terms = query.lower().replace("_", " ").split()
+    pattern = " and ".join("(" + " or ".join(_like(c, f"%{w}%") for c in ("name", "qualified_name", "signature")) + ")" for w in query.split())
+    total = f"(length(name) + {len(query)})"
+    left = f"({limit} - (select count(*) from exact) - (select count(*) from second))"
+    fields = "id, qualified_name, symbol_type, name"
+    return (
+        _POSTINGS + ", dl as (select s.id, coalesce(sum(p.tf), 0) as dl from symbols s left join postings p on p.id = s.id group by s.id), tot as (select count(*) as n, avg(dl) as avgdl from dl)"
+        + _best("name", terms, "'name', 'qualified_name'")
+        + _best("text", terms, "'docstring'")
+        + _lcs_table(query)
+        + f", exact as (select {fields} from symbols where name = '{query}' order by id limit {limit})"
+        + f", named as (select {fields}, 'full text' as stage from symbols where id in (select id from best_name) and id not in (select id from exact))"
+        + f", pattern as (select {fields}, 'pattern' as stage from symbols where {pattern} and not exists (select 1 from exact) and not exists (select 1 from named) order by name, id limit 200)"
+        + ", found as (select * from named union all select * from pattern)"
+        + f", second as (select * from (select *, row_number() over (order by {_ORDER}) as within from found) f where within <= {limit} - (select count(*) from exact))"
+        + f", texts as (select {fields}, 'docstring' as stage from symbols where id in (select id from best_text) and id not in (select id from exact) and id not in (select id from found))"
+        + f", close_names as (select name, row_number() over (order by 200.0::double * lcs / {total} desc, name) as nr from walk where 200 * lcs >= 60 * {total})"
+        + f", alike as (select s.id, s.qualified_name, s.symbol_type, s.name, 'fuzzy' as stage, row_number() over (order by c.nr, s.id) as nr from symbols s join close_names c on c.name = s.name and c.nr <= {left} "
+        "where s.id not in (select id from exact union all select id from found union all select id from texts))"
+        + f", last as (select *, row_number() over (order by {_ORDER}) as within from (select * from texts union all select {fields}, stage from alike where nr <= {left}) l)"
+        + f", parts as (select {fields}, 'exact' as stage, 'fts' as tier, 0 as turn, row_number() over (order by {_ORDER}) as within from exact "
+        f"union all select {fields}, stage, 'fts', 1, within from second union all select {fields}, stage, 'fuzzy', 2, within from last where within <= {left})"
+        + f" select id, qualified_name, symbol_type, stage, tier, row_number() over (order by turn, within) as rank from parts order by rank limit {limit}"
+    )
+
+
+@_query(_search_sql("NATION_7"))
+def search_exact_then_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name itself, then names by full text, cut to what is left."""
+    return _cascade(spark, sf_dir, "NATION_7")
+
+
+@_query(_search_sql(_NEAR, 200))
+def search_text_and_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No name fits; docstrings and similar names are merged."""
+    return _cascade(spark, sf_dir, _NEAR, 200)
+
+
+@_query(_search_sql("NATON_7"))
+def search_fuzzy_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir, "NATON_7")
+
+
+@_query("select 0::bigint as results", cte=False)
+def search_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir, "  ").agg(F.count("*").alias("results"))
+
+
 @_query("select s.id, s.qualified_name from symbols s where s.qualified_name = 'geo.ASIA'")
 def show_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = catalog(spark, sf_dir)
@@ -569,3 +637,76 @@ def resolve_relative_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(_RELATIVE, "level int, module string, package string")
     parts = F.split("package", "[.]")
     return rows.select("level", "module", "package", F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - F.col("level") + 1), "."), "module").alias("resolved"))
+
+
+# -- listings of files ---------------------------------------------------------------------------------
+
+#: A listing of files made of the documents, the same in both engines.
+_LISTING = """
+entries as (
+  select doc_id, case doc_id % 9 when 0 then concat('_', lang) when 1 then concat(lang, '.dist-info') when 2 then concat('.', lang) else concat(lang, '_', cast(doc_id % 5 as varchar(9))) end as top,
+         case doc_id % 7 when 0 then '' when 1 then 'core/' when 2 then '_private/' when 3 then '.hidden/' when 4 then '__pycache__/' when 5 then 'a/b/' else '' end as below,
+         case doc_id % 11 when 0 then '__init__.py' when 1 then '__init__.py' when 2 then '__init__.pyi' when 3 then 'data.txt' when 4 then '_own.py'
+              else concat('m', cast(doc_id % 6 as varchar(9)), case when doc_id % 11 < 8 then '.pyi' else '.py' end) end as file
+  from documents),
+listing as (
+  select path, max(mtime) as mtime from (
+    select concat(top, '/', below, file) as path, cast(doc_id as double) as mtime from entries
+    union all select concat(top, '/'), 100.5 from entries
+    union all select concat(top, case when doc_id % 2 = 0 then '.py' else '.so' end), 1.0 from entries where doc_id % 9 > 2) p
+  group by path)
+"""
+_TOP = "split_part(path, '/', 1)"
+_WALKED = ", walked as (select path from listing l where regexp_matches(path, '[.]pyi?$') and not regexp_matches(path, '^[^/]+/(.*/)?[._][^/]*/') and not (path like '%.pyi' and exists (select 1 from listing o where concat(o.path, 'i') = l.path)))"
+_DOTTED = "regexp_replace(replace(regexp_replace(path, '[.]pyi?$', ''), '/', '.'), '[.]__init__$', '')"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("with" + _LISTING.replace("from documents", "from {documents}") + "select * from listing", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query(
+    "with" + _LISTING + f"select case when contains(path, '/') then {_TOP} else regexp_replace(path, '[.]py$', '') end as name, min({_TOP}) as entry from listing "
+    f"where not regexp_matches({_TOP}, '^[._]|[.](dist-info|egg-info|so|pyd|pth)$') and regexp_matches(path, '^([^/]+[.]py|[^/]+/[^/]+[.]pyi?|[^/]+/[^/]+/__init__[.]py)$') group by 1",
+    cte=False,
+)
+def src_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.packages(_listing(spark, sf_dir))
+
+
+@_query("with" + _LISTING + _WALKED + f" select path, {_DOTTED} as module from walked", cte=False)
+def src_py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.modules(_listing(spark, sf_dir))
+
+
+@_query("with" + _LISTING + f"select {_DOTTED} as module, path from listing where path like '%/__init__.py' and not regexp_matches(path, '^[^/]+/(.*/)?([.][^/]*|__pycache__)/')", cte=False)
+def src_init_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.inits(_listing(spark, sf_dir))
+
+
+@_query(
+    "with" + _LISTING + _WALKED + f" select {_TOP} as source, max(mtime) filter (regexp_matches(path, '^[^/]+/(__init__[.]py)?$')) as package_mtime, "
+    f"max(mtime) filter (path like '%/' or path in (select path from walked)) as project_mtime from listing where contains(path, '/') group by 1",
+    cte=False,
+)
+def source_mtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.changed(_listing(spark, sf_dir))
+
+
+@_query(
+    "select * from (values ('app', 'module', 0), ('app.main', 'function', 1), ('sub', 'module', 2), ('sub.part.Part', 'class', 3), ('sub.part.Part.turn', 'method', 4), ('typed.only', 'function', 5)) t(qualified_name, symbol_type, seq)",
+    cte=False,
+)
+def index_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {
+        "__init__.py": '"""Left out."""\ndef lost(): ...\n',
+        "app.py": '"""The program."""\nfrom sub.part import Part\ndef main(): ...\n',
+        "sub/__init__.py": '"""A part."""\nfrom .part import Part as Piece\n',
+        "sub/part.py": "class Part:\n    def turn(self): ...\n",
+        "sub/part.pyi": "def shadowed(): ...\n",
+        "_own/mod.py": "def unseen(): ...\n",
+        ".git/hook.py": "def unseen(): ...\n",
+        "typed.pyi": "def only(): ...\n",
+    }
+    rows = spark.createDataFrame([("project:here", p, t) for p, t in files.items()], "source_key string, path string, text string")
+    return python_tree.symbols_of_folders(rows).select("qualified_name", "symbol_type", F.col("seq").cast("int").alias("seq"))

@@ -108,6 +108,16 @@ def symbols_of_files(files: DataFrame) -> DataFrame:
     return files.groupBy("source_key").applyInPandas(one, PythonSymbols({}).schema())
 
 
+def symbols_of_folders(files: DataFrame) -> DataFrame:
+    """Symbols of project folders whose files are rows (source_key, path, text), path being relative to the folder."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(list(extract.project_symbols(dict(zip(pdf["path"], pdf["text"], strict=True)))), columns=list(extract.Symbol._fields))
+        return out.assign(source_key=pdf["source_key"].iloc[0], seq=range(len(out)))
+
+    return files.groupBy("source_key").applyInPandas(one, PythonSymbols({}).schema())
+
+
 def reexports_of_files(files: DataFrame) -> DataFrame:
     """Re-exports of ``__init__`` files that are rows (module, text), numbered within each."""
 
