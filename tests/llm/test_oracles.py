@@ -24,4 +24,4 @@ def test_equals_sql(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 13)]

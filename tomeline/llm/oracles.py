@@ -95,3 +95,19 @@ final as (select d.*, n.source_size, n.target, cast(floor(n.rate) as bigint) + c
   from d join nearest n on n.source is not distinct from d.source where n.nr = 1)
 select doc_id, size, source_size, target, copies * size as taken, source, cast(copies as bigint) as copies from final
 """
+
+#: Lines are the pieces between line ends; the first k of them with their ends are the text's first k units.
+FILL_MIDDLE = """
+with cut as (
+  select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts, sha256(concat('7:', coalesce(cast(doc_id as varchar), ''))) as digest from documents),
+units as (select *, len(parts) - case when parts[len(parts)] = '' then 1 else 0 end as n,
+  cast(concat('0x', substr(digest, 1, 8)) as bigint) as h1, cast(concat('0x', substr(digest, 9, 8)) as bigint) as h2, cast(concat('0x', substr(digest, 25, 8)) as bigint) as h4 from cut),
+bounds as (select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high from units),
+slices as (select *, case when low = 0 then '' when low = n then text else concat(array_to_string(parts[1:low], chr(10)), chr(10)) end as prefix,
+  case when high = 0 then '' when high = n then text else concat(array_to_string(parts[1:high], chr(10)), chr(10)) end as before,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from bounds),
+made as (select *, substr(before, length(prefix) + 1) as middle, substr(text, length(before) + 1) as suffix from slices)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256,
+  sha256(text) as restored_sha256 from made
+"""

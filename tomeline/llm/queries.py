@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contamination
+from .fill_middle import fill_in_middle
 from .html_text import extract_text
 from .licenses import licenses
 from .mixing import mix
 from .near_dups import near_duplicates
+from .neighbours import nearest
 from .quality import quality
 from .secrets import secrets
 from .substring_dups import remove_repeats
@@ -61,6 +64,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents")).drop("output")
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every vector whose id is divisible by 100, among all."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dups": op2_minhash_near_dups,
@@ -72,6 +84,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
 
 ORACLES = {
@@ -80,4 +94,5 @@ ORACLES = {
     "op4_substring_dedup": oracles.REPEATS,
     "op8_url_filter": oracles.URLS,
     "op10_source_mixing": oracles.MIXING,
+    "op11_fill_in_middle": oracles.FILL_MIDDLE,
 }
