@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .ids import numbered_ids
 from .scratch import Scratch
 
-TABLES = 24
+#: Tables for n vectors: TABLES * n ** GROWTH, the growth that keeps candidates sparse at a given recall, between these bounds. Beyond the upper one more probes take their place.
+TABLES, GROWTH, LEAST_TABLES, MOST_TABLES = 0.4, 0.4, 4, 64
 #: Buckets of a table for each distinct vector, at least.
 FINENESS = 2
 #: Queries that the number of probes is fitted on, and the share of their true neighbours to be found.
@@ -40,55 +41,68 @@ MOST_PROBES = 8192
 BLOCK = 256
 SLAB_BYTES = 8 << 20
 _PAIR_VALUES = 1 << 21
-_ROTATE_VALUES = 1 << 20
+_ROTATE_VALUES = 1 << 18
 SEED = 12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The Walsh-Hadamard transform over the last axis, of a length that is a power of two, unscaled."""
-    width, h = x.shape[-1], 1
-    while h < width:
-        y = x.reshape(*x.shape[:-1], width // (2 * h), 2, h)
-        x = np.stack((y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]), axis=-2).reshape(x.shape)
-        h *= 2
-    return x
+    """The Walsh-Hadamard transform over the first axis, of a length that is a power of two, unscaled."""
+    shape, h = x.shape, 1
+    while h < shape[0]:
+        x = x.reshape(shape[0] // (2 * h), 2, -1)
+        y = np.empty_like(x)
+        np.add(x[:, 0], x[:, 1], out=y[:, 0])
+        np.subtract(x[:, 0], x[:, 1], out=y[:, 1])
+        x, h = y, 2 * h
+    return x.reshape(shape)
 
 
 class Tables:
-    """The hash tables for vectors of one length: 2 ** bits buckets each."""
+    """The hash tables for vectors of one length: 2 ** bits buckets each.
 
-    def __init__(self, dim: int, bits: int, tables: int = TABLES, seed: int = SEED):
+    A part of a bucket that chooses among all axes has a rotation of its own; those that choose among
+    fewer axes take different coordinates of rotations that tables share.
+    """
+
+    def __init__(self, dim: int, bits: int, tables: int, seed: int = SEED):
         self.dim, self.width, self.tables = dim, 1 << max(0, (dim - 1).bit_length()), tables
         full = self.width.bit_length()  # bits of one signed axis among all
         #: Axes, signs not counted, that each part of a bucket chooses from.
         self.parts = [self.width] * (bits // full) + ([1 << (bits % full - 1)] if bits % full else [])
-        self.signs = np.random.default_rng([seed, dim, bits]).choice([-1.0, 1.0], (3, tables * len(self.parts), self.width))
-
-    def rotated(self, x: np.ndarray) -> np.ndarray:
-        """(vectors, tables, parts, width) of vectors scaled to length 1, up to a common factor."""
+        #: The first coordinate of each part of each table among those of all rotations.
+        self.at, used = [], 0
+        for axes in self.parts:
+            self.at.append(used + axes * np.arange(tables))
+            used += -(-axes * tables // self.width) * self.width
+        self.signs = np.random.default_rng([seed, dim, bits]).choice(np.array([-1, 1], np.float32), (3, self.width, used // self.width, 1))
+
+    def rotated(self, x: np.ndarray) -> list[np.ndarray]:
+        """By part, (vectors, tables, axes) coordinates of vectors scaled to length 1, up to a common factor."""
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        y = np.zeros((len(x), 1, self.width))
-        y[:, 0, : self.dim] = x
+        y = np.zeros((self.width, 1, len(x)), np.float32)
+        y[: self.dim, 0] = x.T
         for signs in self.signs:
             y = hadamard(y * signs)
-        return y.reshape(len(x), self.tables, len(self.parts), self.width)
+        y = y.transpose(2, 1, 0).reshape(len(x), -1)
+        return [y[:, at[0] : at[0] + axes * self.tables].reshape(len(x), self.tables, axes) for at, axes in zip(self.at, self.parts, strict=True)]
 
-    def batches(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(first row, rotated) by as many rows as fit in memory easily."""
-        step = max(1, _ROTATE_VALUES // max(1, self.tables * len(self.parts) * self.width))
+    def batches(self, x: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, rotated) by as many rows as fit in the processor's caches."""
+        step = max(1, _ROTATE_VALUES // max(1, self.signs[0].size))
         for i in range(0, len(x), step):
             yield i, self.rotated(x[i : i + step])
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(vectors, tables) bucket numbers."""
         out = np.zeros((len(x), self.tables), dtype=np.int64)
-        for i, y in self.batches(x):
-            for p, axes in enumerate(self.parts):
-                part = y[:, :, p, :axes]
+        for i, parts in self.batches(x):
+            for part in parts:
                 at = np.abs(part).argmax(axis=2)
                 below = np.take_along_axis(part, at[:, :, None], 2)[:, :, 0] < 0
-                out[i : i + len(y)] = out[i : i + len(y)] * (2 * axes) + 2 * at + below
+                mine = out[i : i + len(part)]
+                mine *= 2 * part.shape[2]
+                mine += 2 * at + below
         return out
 
     def probes(self, x: np.ndarray, most: int) -> Iterator[list[np.ndarray]]:
@@ -97,15 +111,15 @@ class Tables:
         The best tuples are extended part by part: a tuple among the best has its beginning among the
         best beginnings.
         """
-        for _, y in self.batches(x):
-            for vector in y:
+        for _, parts in self.batches(x):
+            for v in range(len(parts[0])):
                 found = []
-                for table in vector:
-                    code, total = np.zeros(1, np.int64), np.zeros(1)
-                    for p, axes in enumerate(self.parts):
-                        scores = np.stack((table[p, :axes], -table[p, :axes]), axis=1).ravel()
+                for t in range(self.tables):
+                    code, total = np.zeros(1, np.int64), np.zeros(1, np.float32)
+                    for part in parts:
+                        scores = np.stack((part[v, t], -part[v, t]), axis=1).ravel()
                         total = (total[:, None] + scores).ravel()
-                        code = (code[:, None] * (2 * axes) + np.arange(2 * axes)).ravel()
+                        code = (code[:, None] * len(scores) + np.arange(len(scores))).ravel()
                         if len(total) > most:
                             top = np.argpartition(-total, most - 1)[:most]
                             total, code = total[top], code[top]
@@ -113,6 +127,10 @@ class Tables:
                 yield found
 
 
+def tables_for(n: int) -> int:
+    return min(MOST_TABLES, max(LEAST_TABLES, round(TABLES * n**GROWTH)))
+
+
 def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, matrix of doubles) for each length of a column of lists."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -172,7 +190,7 @@ def _truth(classes: DataFrame, sample: list, most: int) -> list:
     return found.withColumn("place", place).filter(F.col("place") <= most).collect()
 
 
-def fitted(classes: DataFrame, n: int, k: int, tables: int = TABLES, target: float = TARGET, sample: int = SAMPLE) -> tuple[int, int]:
+def fitted(classes: DataFrame, n: int, k: int, tables: int, target: float = TARGET, sample: int = SAMPLE) -> tuple[int, int]:
     """(bits of a bucket, probes a table) by which a sample of the queries finds ``target`` of its true neighbours."""
     rows = classes.filter("asked").select("cls", "vec").orderBy(F.xxhash64("cls"), "cls").limit(sample).collect()
     bits = max(1, math.ceil(math.log2(max(2, FINENESS * n))))
@@ -267,7 +285,7 @@ def _dealt(queries: DataFrame, blocks: int, slabs: int) -> DataFrame:
     return queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), "q", "vector", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, target: float = TARGET) -> DataFrame:
     """(query, rank, vec_id, score): for each row that ``queries`` holds for, the k nearest other rows found, by Euclidean distance in double precision, nearest first, ties to smaller ids.
 
     Rows without id and vectors that are null, empty, zero or hold null or non-finite components take no
@@ -295,6 +313,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
     asking = lone.filter("asked").select("cls", F.col("cls").alias("query")).unionByName(shared.filter("asked").select("cls", F.col("vec_id").alias("query")))
 
     total = classes.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"), F.avg(F.size("vec")).alias("dim")).first()
+    tables = tables or tables_for(total.n)
     row_bytes = 8.0 * (total.dim or 1)
     bits, probes = fitted(classes, total.n, k, tables, target)
     index = _keys(classes, bits, tables, "cls")
