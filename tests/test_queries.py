@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from jobs import queries as jobs
 from tomeline import queries as own
 from tomeline.fixtures import catalog
 
@@ -35,10 +36,13 @@ def plain(frame):
     return list(frame.columns), sorted((tuple(map(value, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(own.ORACLES))
+ORACLES = own.ORACLES | jobs.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.execute(own.ORACLES[name]).fetchdf()
+    want = duck.execute(ORACLES[name]).fetchdf()
     assert len(want), "an oracle without rows proves nothing"
     assert plain(got) == plain(want)
 

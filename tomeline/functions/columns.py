@@ -46,6 +46,11 @@ def parent(column: Column | str) -> Column:
     return F.regexp_replace(column, "[.][^.]*$", "")
 
 
+def parent_key(column: str) -> Column:
+    """The parent of a qualified name, A-Z lower-cased; null for a name without dots."""
+    return F.when(F.contains(column, F.lit(".")), ascii_lower(parent(column)))
+
+
 def type_rank(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return reduce(lambda w, kv: w.when(column == kv[0], kv[1]), list(TYPE_RANK.items())[1:], F.when(column == "module", 0)).otherwise(OTHER_RANK)

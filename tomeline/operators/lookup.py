@@ -19,7 +19,12 @@ def exact_name(symbols: DataFrame, name: str, limit: int, symbol_type: str | Non
 
 
 def by_key(symbols: DataFrame, qualified_name: str) -> DataFrame:
-    return symbols.filter(F.col("qualified_name") == qualified_name)
+    """The symbol of this qualified name; where the parents' names are stored, with its parent's, by which a sorted copy is pruned."""
+    found = symbols.filter(F.col("qualified_name") == qualified_name)
+    if "parent_key" not in symbols.columns or "." not in qualified_name:
+        return found
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in qualified_name.rsplit(".", 1)[0])
+    return found.filter(F.col("parent_key") == folded)
 
 
 def any_case(symbols: DataFrame, name: str) -> DataFrame:
@@ -37,7 +42,16 @@ def containing(symbols: DataFrame, query: str, symbol_type: str | None = None, c
 
 
 def children(symbols: DataFrame, qualified_name: str) -> DataFrame:
-    """Symbols one level below a name."""
+    """Symbols one level below a name.
+
+    Where the parents' names are stored (parent_key), they are compared: by equality or, as an underscore
+    in the name stands for any character, by pattern behind the part before it. Sorted copies prune both.
+    """
+    if "parent_key" in symbols.columns and "%" not in qualified_name:
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in qualified_name)
+        fixed = folded.split("_", 1)[0]
+        hit = F.col("parent_key") == folded if fixed == folded else F.col("parent_key").startswith(fixed) & like("parent_key", qualified_name)
+        return symbols.filter(hit)
     return symbols.filter(like("qualified_name", f"{qualified_name}.%") & ~like("qualified_name", f"{qualified_name}.%.%"))
 
 

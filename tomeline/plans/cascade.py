@@ -27,7 +27,7 @@ def _empty(symbols: DataFrame) -> DataFrame:
     return symbols.limit(0).select(*_KEPT, F.lit("").alias("stage"), F.lit("").alias("tier"), F.lit(0).cast("long").alias("rank"))
 
 
-def dotted(symbols: DataFrame, query: str, limit: int) -> DataFrame | None:
+def dotted(symbols: DataFrame, query: str, limit: int, tree: DataFrame | None = None) -> DataFrame | None:
     """A dotted query's shortcuts: members by inheritance, the name itself, what lies under it. Types don't matter here."""
     found = navigate.inherited(symbols, query, limit)
     if found is not None and not found.isEmpty():
@@ -35,15 +35,15 @@ def dotted(symbols: DataFrame, query: str, limit: int) -> DataFrame | None:
     name = navigate.resolve_one(symbols, query)
     if name is not None:
         return _result([_staged(lookup.by_key(symbols, name), "resolved", "fts", 0, "id")], limit)
-    below = lookup.browse(symbols, query, limit)
+    below = lookup.browse(symbols if tree is None else tree, query, limit)
     return None if below.isEmpty() else _result([_staged(below, "namespace", "fts", 0, *sort_key(), "id")], limit)
 
 
-def search(symbols: DataFrame, index: fts.Index, query: str, limit: int = 50, symbol_type: str | None = None) -> DataFrame:
-    """Results with stage, tier (fts or fuzzy) and rank. Later stages run only if earlier ones leave room."""
+def search(symbols: DataFrame, index: fts.Index, query: str, limit: int = 50, symbol_type: str | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """Results with stage, tier (fts or fuzzy) and rank. Later stages run only if earlier ones leave room. ``tree`` is a copy of the symbols sorted by parent, if there is one."""
     if not query.strip():
         return _empty(symbols)
-    if "." in query and (found := dotted(symbols, query, limit)) is not None:
+    if "." in query and (found := dotted(symbols, query, limit, tree)) is not None:
         return found
     order = [*sort_key(), "id"]
     exact = lookup.exact_name(symbols, query, limit, symbol_type).cache()

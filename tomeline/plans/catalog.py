@@ -14,82 +14,67 @@ from ..schema import PACKAGES, PROJECT_PREFIX
 from ..sources import discover
 from ..sources.python_tree import read_sources, read_symbols
 from . import cascade
-from .store import Store, snapshot
+from .segments import Segments
 
-_SEQ_BITS = 32
+
+#: An id is made of the run that indexed a symbol, the place of its source in that run and its own place in the source.
+_RUN_BITS, _TURN_BITS = 44, 24
 
 
 class Catalog:
-    """Symbols by source (a Parquet partition each) and what was indexed of each source, in one folder."""
+    """Symbols by source and what was indexed of each source, in one folder, as :class:`Segments`.
+
+    As in an index that replaces rows, what is indexed later has larger ids, and of equal qualified names
+    in several sources the one indexed last counts.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._store = Store(spark, f"{self.folder}/snapshot")
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.segments = Segments(spark, self.folder)
 
     def exists(self) -> bool:
-        return bool(self._fs().exists(self._path("packages")))
+        return self.segments.run() > 0
 
     def packages(self) -> DataFrame:
         if not self.exists():
             raise RuntimeError(f"nothing is indexed in {self.folder}; build it first")
-        return self.spark.read.schema(PACKAGES).parquet(f"{self.folder}/packages")
+        return self.segments.state().select(F.col("source_key").alias("name"), "source_path", "mtime", "symbol_count")
 
     def symbols(self) -> DataFrame:
-        """One row for each qualified name, as stored; ids follow the order of sources and of symbols within them."""
+        """One row for each qualified name."""
         self.packages()
-        return snapshot(self._store, self._newest)
-
-    def _newest(self) -> DataFrame:
-        """The rows of all sources, later ones of the same qualified name put over earlier ones."""
-        names = self.packages().select(F.col("name").alias("source_key"))
-        ordered = names.orderBy("source_key").withColumn("at", F.monotonically_increasing_id())
-        # A number for each source in the order of names: whole partitions first, then the place in them.
-        part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-        turn = ordered.select("source_key", F.shiftleft(part, 20).bitwiseOR(place).alias("turn"))
-        rows = self.spark.read.parquet(f"{self.folder}/symbols").join(turn, "source_key")
-        rows = rows.withColumn("id", F.shiftleft("turn", _SEQ_BITS) + F.col("seq")).drop("turn")
-        return maintain.last_writer(rows, "qualified_name", "id")
-
-    def _refresh(self) -> None:
-        """Stores the snapshot and its full-text index anew, so that every later process only reads them."""
-        self._store.drop()
-        self.index()
+        return self.segments.symbols()
 
     def build(self, venv: Path | None = None, projects: list[Path] = (), force: bool = False) -> int:
-        """Indexes what is new or changed and drops what is gone; the number of symbols, or -1 if there was nothing to do."""
+        """Indexes what is new or changed and drops what is gone; the number of symbols, or -1 if there was nothing to do.
+
+        Only changed sources are read and written; until all of it is, others see the catalogue as it was.
+        """
         venv = venv or discover.find_venv()
         site = discover.find_site_packages(venv) if venv else None
         if site is None:
             raise RuntimeError("no environment with site-packages was found")
+        known = self.packages() if self.exists() else self.spark.createDataFrame([], PACKAGES)
         projects = [str(Path(p).resolve()) for p in projects]
-        known = {r.name: r for r in self.packages().collect()} if self.exists() else {}
-        projects += [p for n in known if n.startswith(PROJECT_PREFIX) and (p := n.removeprefix(PROJECT_PREFIX)) not in projects and Path(p).is_dir()]
+        indexed = [r.name.removeprefix(PROJECT_PREFIX) for r in known.filter(F.col("name").startswith(PROJECT_PREFIX)).select("name").collect()]
+        projects += [p for p in indexed if p not in projects and Path(p).is_dir()]
         disk = read_sources(self.spark, str(site), projects)
-        plan = maintain.changes(disk, self.packages() if known else self.spark.createDataFrame([], PACKAGES), force).filter("action <> 'unchanged'").collect()
-        todo, gone = [r.name for r in plan if r.action != "removed"], [r.name for r in plan if r.action == "removed"]
-        if not todo and not gone:
+        plan = {r.name: r.action for r in maintain.changes(disk, known, force).filter("action <> 'unchanged'").collect()}
+        todo = sorted(n for n, action in plan.items() if action != "removed")
+        if not plan:
             return 0 if force else -1
-        found = {r.name: r for r in disk.collect()}
-        counts: dict[str, int] = {}
-        if todo:
-            rows = read_symbols(self.spark, str(site), projects, todo)
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(f"{self.folder}/symbols")
-            stored = self.spark.read.parquet(f"{self.folder}/symbols")
-            counts = {r.source_key: r.symbol_count for r in maintain.package_counts(stored.filter(F.col("source_key").isin(todo))).collect()}
-        for name in [*gone, *(n for n in todo if n not in counts)]:
-            escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
-            self._fs().delete(self._path(f"symbols/source_key={escaped}"), True)
-        rows = [(n, r.source_path, r.mtime, r.symbol_count) for n, r in known.items() if n not in gone and n not in todo]
-        rows += [(n, found[n].source_path, found[n].mtime, counts.get(n, 0)) for n in todo]
-        self.spark.createDataFrame(rows, PACKAGES).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/packages")
-        self._refresh()
-        return -1 if not todo and not force else sum(counts.values())
+        run = self._refresh(todo, disk.filter(F.col("name").isin(todo)), read_symbols(self.spark, str(site), projects, todo), [n for n in plan if n not in todo])
+        count = self.segments.state(run).filter(F.col("at") == run).agg(F.sum("symbol_count")).first()[0] or 0
+        self.segments.merge()
+        return -1 if not todo and not force else count
+
+    def _refresh(self, todo: list[str], listing: DataFrame, rows: DataFrame, gone: list[str]) -> int:
+        run = self.segments.run() + 1
+        turns = self.spark.createDataFrame(list(zip(todo, range(len(todo)), strict=True)), "source_key string, turn long")
+        number = F.lit(run).cast("long") * (1 << _RUN_BITS) + F.col("turn") * (1 << _TURN_BITS) + F.col("seq")
+        rows = rows.join(turns, "source_key").withColumn("id", number).drop("turn", "seq")
+        sources = listing.select(F.col("name").alias("source_key"), "source_path", "mtime")
+        return self.segments.refresh(rows, sources, self.spark.createDataFrame([(n,) for n in gone], "source_key string"))
 
     def is_stale(self, venv: Path | None = None, projects: list[Path] = ()) -> bool:
         """Whether anything on disk differs from what was indexed; without an index yes, without an environment no."""
@@ -113,22 +98,18 @@ class Catalog:
         return self
 
     def clean(self) -> list[str]:
-        """Drops sources whose path is gone; their names."""
-        rows = self.packages().collect()
-        gone = [r.name for r in rows if not Path(r.source_path.removeprefix(PROJECT_PREFIX)).exists()]
-        for name in gone:
-            escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
-            self._fs().delete(self._path(f"symbols/source_key={escaped}"), True)
+        """Drops sources whose path is gone, and files that no source needs any more; their names."""
+        gone = [r.name for r in self.packages().collect() if not Path(r.source_path.removeprefix(PROJECT_PREFIX)).exists()]
         if gone:
-            self.spark.createDataFrame([tuple(r) for r in rows if r.name not in gone], PACKAGES).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/packages")
-            self._refresh()
+            self._refresh([], self.spark.createDataFrame([], PACKAGES), read_symbols(self.spark).limit(0), gone)
+            self.segments.drop_unused()
         return gone
 
     def index(self) -> fts.Index:
-        return self._store.index(self.symbols(), stemmed=True)
+        return self.segments.index()
 
     def find(self, query: str, limit: int = 50, symbol_type: str | None = None) -> DataFrame:
-        return cascade.search(self.symbols(), self.index(), query, limit, symbol_type)
+        return cascade.search(self.symbols(), self.index(), query, limit, symbol_type, self.segments.tree())
 
     def find_hint(self, results: DataFrame, in_project: bool = True) -> str | None:
         tiers = {r.tier: r["count"] for r in results.groupBy("tier").count().collect()}
@@ -143,7 +124,7 @@ class Catalog:
         """The symbol that a name resolves to, no row if none."""
         symbols = self.symbols()
         found = navigate.resolve_one(symbols, name)
-        return symbols.limit(0) if found is None else lookup.by_key(symbols, found)
+        return symbols.limit(0) if found is None else lookup.by_key(self.segments.tree(), found)
 
     def show(self, name: str) -> str | list[str]:
         """The detail of a symbol, or names that a search for it suggests."""
@@ -153,7 +134,7 @@ class Catalog:
     def members(self, name: str) -> DataFrame:
         symbols = self.symbols()
         found = navigate.resolve_one(symbols, name)
-        return symbols.limit(0) if found is None else lookup.members(symbols, found)
+        return symbols.limit(0) if found is None else lookup.members(self.segments.tree(), found)
 
     def stats(self) -> dict:
         return stats.stats(self.symbols(), self.packages()) if self.exists() else stats.stats(None, None)
