@@ -8,8 +8,8 @@ from tomeline import cli
 from tomeline.operators import navigate
 from tomeline.operators.format import hint
 from tomeline.plans.catalog import Catalog
-from tomeline.sources import discover
-from tomeline.sources.extract import absolute_module, package_symbols, reexports_of, symbols_of
+from tomeline.sources import discover, reexports
+from tomeline.sources.extract import absolute_module, reexports_of, symbols_of
 from tomeline.sources.python_tree import read_symbols
 from tomeline.streaming.refresh import follow
 
@@ -68,18 +68,41 @@ def test_relative_imports():
     assert [tuple(r) for r in reexports_of(text, "p")] == [("o", "m", "n", False), ("s", "r", "r", True)]
 
 
-def test_reexports():
-    def names(files):
-        return [s.qualified_name for s in package_symbols("p", files) if not s.qualified_name.startswith("p._")]
-
-    circular = {"p/__init__.py": "from . import a\n", "p/a/__init__.py": "from .. import b\nimport p.b as bb\nfrom ._m import T\n", "p/b/__init__.py": "import p.a\nfrom ._n import U\n", "p/a/_m.py": "class T:\n def f(self): ...\n", "p/b/_n.py": "def U(): ...\n"}
-    assert names(circular) == ["p.a._m.T", "p.a._m.T.f", "p.b._n.U", "p.a.T", "p.a.T.f", "p.a.b.U"]
-    first = {"p/__init__.py": "from ._a import X\nfrom ._b import X\n", "p/_a.py": "def X(a): ...\n", "p/_b.py": "def X(b): ...\n"}
-    assert names(first) == ["p.X"]
-    shadowed = {"p/__init__.py": "from ._d.Thing import Thing\n", "p/_d/Thing.py": '"""Doc."""\nclass Thing: ...\n'}
-    assert [(s.qualified_name, s.symbol_type) for s in package_symbols("p", shadowed)] == [("p.Thing", "module")]
-    beside = {"p/__init__.py": "from six_like import X\n"}
-    assert [s.qualified_name for s in package_symbols("p", beside, outside=lambda m: ("six_like.py", "def X(): ...\n") if m == "six_like" else None)] == ["p.X"]
+PACKAGES = {
+    # Two packages that import each other; each module goes by the first name that reaches it.
+    "circle": (
+        {"__init__.py": "from . import a\n", "a/__init__.py": "from .. import b\nimport circle.b as bb\nfrom ._m import T\n", "b/__init__.py": "import circle.a\nfrom ._n import U\n", "a/_m.py": "class T:\n def f(self): ...\n", "b/_n.py": "def U(): ...\n"},
+        ["a._m.T", "a._m.T.f", "b._n.U", "a.T", "a.T.f", "a.b.U"],
+    ),
+    "first": ({"__init__.py": "from ._a import X\nfrom ._b import X\n", "_a.py": "def X(a): ...\n", "_b.py": "def X(b): ...\n"}, ["_a.X", "_b.X", "X"]),
+    # A module's docstring makes it the first symbol of its name.
+    "shadowed": ({"__init__.py": "from ._d.Thing import Thing\n", "_d/Thing.py": '"""Doc."""\nclass Thing: ...\n'}, ["Thing"]),
+    "beside": ({"__init__.py": "from six_like import X\nfrom missing import Y\n"}, ["X"]),
+    # A class's member takes a name before a later import does, and then brings none of its own; an earlier import keeps it.
+    "members": (
+        {"__init__.py": "from ._k import K\nfrom . import sub as K\nfrom ._k import F\n", "_k.py": "class K:\n def go(self): ...\n class In:\n  def deep(self): ...\ndef F(): ...\n", "sub/__init__.py": "from ._s import In, go, other\n", "sub/_s.py": "class In:\n def lost(self): ...\nclass go: ...\ndef other(): ...\n"},
+        ["_k.K", "_k.K.go", "_k.K.In", "_k.K.In.deep", "_k.F", "sub._s.In", "sub._s.In.lost", "sub._s.go", "sub._s.other", "K", "K.go", "K.In", "F", "K.other"],
+    ),
+    # Names that modules have already stay theirs; methods are no targets; stubs stand in for modules.
+    "taken": ({"__init__.py": "from ._t import f, m, S\ndef f(): ...\n", "_t.pyi": "def f(x): ...\nclass C:\n def m(self): ...\nclass S:\n def a(self): ...\n def a(self, again): ...\n"}, ["f", "_t.f", "_t.C", "_t.C.m", "_t.S", "_t.S.a", "_t.S.a", "S", "S.a"]),
+    "noinit": ({"mod.py": "def f(): ...\n", "deep/__init__.py": "from ..mod import f\n"}, ["mod.f"]),
+    "broken": ({"__init__.py": "from ._a import (\n", "_a.py": "def X(): ...\n"}, ["_a.X"]),
+}
+
+
+def test_reexports(spark):
+    """Many packages in one plan, each as by itself."""
+    rows = [(k, f"{k}/{p}", t) for k, (files, _) in PACKAGES.items() for p, t in files.items()] + [("empty", "empty/data.txt", None)]
+    files = spark.createDataFrame(rows, "source_key string, path string, text string").repartition(3)
+    beside = lambda missing: missing.filter("module = 'six_like'").selectExpr("source_key", "module", "'six_like.py' as path", "'/at/six_like.py' as file_path", "'def X(): ...' as text")
+    got = reexports.symbols(files, beside).collect()
+    for k, (_, names) in PACKAGES.items():
+        mine = sorted((r for r in got if r.source_key == k), key=lambda r: r.seq)
+        assert [r.seq for r in mine] == list(range(len(names)))
+        assert [r.qualified_name for r in mine] == [f"{k}.{n}" for n in names]
+    found = {r.qualified_name: r for r in got}
+    assert found["beside.X"].file_path == "/at/six_like.py" and found["shadowed.Thing"].symbol_type == "module" and found["first.X"].signature == "(a)"
+    assert found["members.K.go"].symbol_type == "method" and {r.source_key for r in got} == set(PACKAGES)
 
 
 def test_catalogue(spark, site, tmp_path):

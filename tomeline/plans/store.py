@@ -11,9 +11,11 @@ import atexit
 import contextlib
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import fts
 
@@ -94,3 +96,31 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 def snapshot(store: Store, rows: Callable[[], DataFrame]) -> DataFrame:
     """One row for each qualified name, sorted by name; ``rows`` makes them if they are not stored."""
     return store.table("symbols", rows, "name", "id")
+
+
+def scratch(spark: SparkSession, what: str) -> Store:
+    """A store of its own, gone when the interpreter ends."""
+    return Store(spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}").temporary()
+
+
+def placed(rows: DataFrame, by: list[str], order: list, name: str = "place") -> DataFrame:
+    """``rows`` with the place of each in an order among those that share the columns ``by``, from 1.
+
+    A range sort of all rows; a row's place is its place in its partition, plus the rows of the partitions
+    before, less the place before the first row that shares its columns. So a group of any size is spread
+    over tasks; the driver sees one number for each partition.
+    """
+    at, first = f"{name}_at", f"{name}_first"
+    keys = [*map(F.col, by), *(F.col(o) if isinstance(o, str) else o for o in order)]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    ordered = scratch(rows.sparkSession, "placed").table("ordered", lambda: ordered)
+    part, within = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    before, total = F.lit(0).cast("long"), 0
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):
+        before, total = F.when(part == r.part, total).otherwise(before), total + r["count"]
+    found = ordered.withColumn(name, before + within + 1).drop(at)
+    if not by:
+        return found
+    starts = found.groupBy(*by).agg((F.min(name) - 1).alias(first))
+    met = found.join(starts.select(*[F.col(c).alias(f"{first}_{c}") for c in by], first), [F.col(c).eqNullSafe(F.col(f"{first}_{c}")) for c in by])
+    return met.withColumn(name, F.col(name) - F.col(first)).select(*rows.columns, name)

@@ -1,7 +1,8 @@
 """Spark data sources over Python packages and project folders.
 
 Spark's file sources leave out files whose name begins with an underscore, so ``__init__.py`` would be
-lost; these sources list files themselves. Each package or project is a partition, read on an executor.
+lost; these sources list files themselves. Each package or project is a partition, read on an executor;
+parsing and re-exports are relations over the files of all of them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import PROJECT_PREFIX
-from . import discover, extract
+from . import discover, extract, reexports
 
 
 class _Source(InputPartition):
@@ -37,14 +38,15 @@ class _Reader(DataSourceReader):
         return [s for s in listed(self.site, self.projects) if not self.only or s.key in self.only] or [_Source("", "", "", False)]
 
 
-class _SymbolReader(_Reader):
+class _FileReader(_Reader):
     def read(self, partition: _Source) -> Iterator[tuple]:
         if not partition.path:
             return
         path = Path(partition.path)
-        rows = extract.read_project(path) if partition.project else extract.read_package(partition.name, path)
-        for i, s in enumerate(rows):
-            yield (*s, partition.key, i)
+        base = path if partition.project else path.parent
+        files = discover.python_files(path) if partition.project else [path] if path.is_file() else sorted(f for f in path.rglob("*.py*") if f.suffix in (".py", ".pyi") and f.is_file())
+        for f in files:
+            yield partition.key, f"{base}/", f.relative_to(base).as_posix(), f.read_text(encoding="utf-8", errors="replace"), partition.project
 
 
 class _ListingReader(_Reader):
@@ -54,18 +56,18 @@ class _ListingReader(_Reader):
             yield partition.key, where, discover.mtime(Path(partition.path), partition.project)
 
 
-class PythonSymbols(DataSource):
-    """``spark.read.format("python_symbols").option("site", folder)``: every symbol, before names are made unique."""
+class PythonFiles(DataSource):
+    """``spark.read.format("python_files").option("site", folder)``: source_key, base, path, text and project of every module file."""
 
     @classmethod
     def name(cls) -> str:
-        return "python_symbols"
+        return "python_files"
 
     def schema(self) -> str:
-        return "name string, qualified_name string, symbol_type string, signature string, docstring string, file_path string, line_no int, bases array<string>, return_annotation string, source_key string, seq bigint"
+        return "source_key string, base string, path string, text string, project boolean"
 
     def reader(self, schema) -> DataSourceReader:
-        return _SymbolReader(self.options)
+        return _FileReader(self.options)
 
 
 class PythonSources(DataSource):
@@ -88,8 +90,26 @@ def _read(spark: SparkSession, source: type[DataSource], site: str | None, proje
     return (reader.option("site", site) if site else reader).load()
 
 
+def _beside(site: str | None) -> reexports.Outside:
+    """Finds modules beside a package, in the folder that holds it."""
+
+    def look(missing: DataFrame) -> DataFrame:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = [(k, m, discover.module_file(m, Path(site))) for k, m in zip(pdf["source_key"], pdf["module"], strict=True) if site and m]
+                rows = [(k, m, str(f), str(f), f.read_text(encoding="utf-8", errors="replace")) for k, m, f in found if f]
+                yield pd.DataFrame(rows, columns=["source_key", "module", "path", "file_path", "text"])
+
+        return missing.select("source_key", "module").mapInPandas(each, "source_key string, module string, path string, file_path string, text string")
+
+    return look
+
+
 def read_symbols(spark: SparkSession, site: str | None = None, projects: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    return _read(spark, PythonSymbols, site, projects or [], only or [])
+    """Symbols of the packages of a folder and of project folders, before names are made unique."""
+    files = _read(spark, PythonFiles, site, projects or [], only or [])
+    found = reexports.symbols(files.filter("not project"), _beside(site))
+    return found.unionByName(reexports.symbols(files.filter("project"), projects=True)) if projects else found
 
 
 def read_sources(spark: SparkSession, site: str | None = None, projects: list[str] | None = None) -> DataFrame:
@@ -98,24 +118,12 @@ def read_sources(spark: SparkSession, site: str | None = None, projects: list[st
 
 def symbols_of_files(files: DataFrame) -> DataFrame:
     """Symbols of packages whose files are rows (source_key, path, text), path being relative to the folder of packages."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["source_key"].iloc[0]
-        found = list(extract.package_symbols(key, dict(zip(pdf["path"], pdf["text"], strict=True))))
-        out = pd.DataFrame(found, columns=list(extract.Symbol._fields))
-        return out.assign(source_key=key, seq=range(len(out)))
-
-    return files.groupBy("source_key").applyInPandas(one, PythonSymbols({}).schema())
+    return reexports.symbols(files)
 
 
 def symbols_of_folders(files: DataFrame) -> DataFrame:
     """Symbols of project folders whose files are rows (source_key, path, text), path being relative to the folder."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(extract.project_symbols(dict(zip(pdf["path"], pdf["text"], strict=True)))), columns=list(extract.Symbol._fields))
-        return out.assign(source_key=pdf["source_key"].iloc[0], seq=range(len(out)))
-
-    return files.groupBy("source_key").applyInPandas(one, PythonSymbols({}).schema())
+    return reexports.symbols(files, projects=True)
 
 
 def reexports_of_files(files: DataFrame) -> DataFrame:
