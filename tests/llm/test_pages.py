@@ -99,3 +99,22 @@ def test_extract_text(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract_text(table).collect()), key=repr)
     assert got == sorted([(1, "u", "\u00e9 x", 3), (2, None, "", 0), (None, "u", "", 0), (1, "u", "y", 1)], key=repr)
     assert extract_text(table.limit(0)).count() == 0
+
+
+def test_comments_menus_and_teasers():
+    """Comments longer than the article, in whatever element; menus inside the main region; teasers of other articles."""
+    long = f"{PARAGRAPH} " * 6
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(12)) + "</ul>"
+    article = f"<h1>Head</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    for page in (
+        f'<div class="post">{article}</div><div class="comments"><p>{long}</p><p>{long}</p></div>',
+        f'<div>{article}</div><article class="comment"><p>{long}</p></article><article class="comment"><p>{long}</p></article>',
+        f'<div class="widget-page">{article}</div><section id="comments"><div class="comment-body"><p>{long}</p></div></section>',
+        f'<div class="content comments-open">{article}<div class="comments"><p>{long}</p></div></div>',
+        f"<article>{menu}{article}</article>",
+        f"<main>{article}{menu}</main>",
+        f'<article>{article}</article><article class="teaser"><p>{long}</p></article>',
+        f'<div>{article}</div><div class="related"><p>{long}</p></div>',
+    ):
+        assert main_text(f"<body>{page}</body>") == f"Head\n{PLAIN}\n{PLAIN}", page
+    assert main_text(f'<body><div class="comments"><p>{PARAGRAPH}</p></div></body>') == PLAIN, "nothing is left without them"

@@ -6,8 +6,9 @@ what the enclosing tags say (main region, page furniture, heading), and keeps or
 tree is grown here from the small table of labelled blocks below.
 
 Tags like ``nav`` and hidden elements are page furniture for certain. A class name or a ``form`` is a hint
-only: where all that a page has in its main region, or else most of its text, lies inside the element,
-the hint is wrong (``has-sidebar`` on the wrapper of an article, a form around a whole page) and ignored.
+only: where a page has no article outside the element, the hint is wrong (``has-sidebar`` on the wrapper of
+an article, a form around a whole page) and ignored. Reader comments are never taken for the article as long
+as there is any text outside them, however much longer they are, and do not count as a main region.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Parts of class, id and role that mark page furniture.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
-    "notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
 
+#: Those of them that name reader comments.
+COMMENTS = frozenset("comment comments disqus replies reply".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -52,18 +56,21 @@ class Block:
 
 
 #: What an element's tag and attributes make of it.
-PLAIN, HINTED, CERTAIN = 0, 1, 2
+PLAIN, HINTED, COMMENT, CERTAIN = 0, 1, 2, 3
+#: Words that a block of an article has at least, and the share of them inside links that it has at most, where hints are weighed.
+ARTICLE_WORDS, ARTICLE_LINKS = 10, 0.5
 
 
 @lru_cache(maxsize=4096)
 def _furnishes(tag: str, attributes: str) -> int:
     """Whether an element is page furniture by its attributes."""
-    if tag in ("html", "body", *MAIN) and "role" not in attributes.lower() and "comment" not in attributes.lower():
+    if tag in ("html", "body"):
         return PLAIN
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", _ATTRIBUTE.sub(" ", attributes)):
         return CERTAIN
-    return HINTED if any(p.lower() in HINTS for name in ("class", "id", "role") for p in _PARTS.findall(found.get(name, ""))) else PLAIN
+    parts = {p.lower() for name in ("class", "id", "role") for p in _PARTS.findall(found.get(name, ""))}
+    return COMMENT if parts & COMMENTS else HINTED if parts & HINTS else PLAIN
 
 
 @dataclass(frozen=True)
@@ -77,20 +84,32 @@ class _Place:
     heading: bool = False
 
 
-def _settle(found: list[Block], places: list[_Place], n_hints: int) -> None:
-    """Sets which blocks are furniture, once it is known which hints are wrong."""
-    inside, main_inside = np.zeros(n_hints, dtype=np.int64), np.zeros(n_hints, dtype=np.int64)
-    total = main_total = 0
-    for b, p in zip(found, places, strict=True):
-        if p.certain:
+def _settle(found: list[Block], places: list[_Place], hints: list[tuple[int, tuple[int, ...]]]) -> None:
+    """Sets which blocks are furniture, once it is known which hints are wrong; each hint has its kind and the hints around it.
+
+    Only blocks that may be an article's count. A hint is wrong if there are none outside its element, nor
+    in a larger element that another hint names beside it; or if its element holds all of the main region
+    and this has no fewer words than what is outside. Blocks in comments count for neither, and a hint at
+    comments is wrong only if nothing outside them is left.
+    """
+    if not hints:
+        for b, p in zip(found, places, strict=True):
+            b.furniture = p.certain
+        return
+    spoken = {h for h, (kind, _) in enumerate(hints) if kind == COMMENT}
+    counted = [(b.words, p) for b, p in zip(found, places, strict=True) if not p.certain and b.words >= ARTICLE_WORDS and b.linked < ARTICLE_LINKS * b.words]
+    own = [(w, p) for w, p in counted if not spoken & set(p.hints)]
+    main_total = sum(w for w, p in own if p.main)
+    inside = [(sum(w for w, p in own if h in p.hints and p.main), sum(w for w, p in own if h in p.hints)) for h in range(len(hints))]
+    wrong = []
+    for h, (kind, around) in enumerate(hints):
+        if kind == COMMENT:
+            wrong.append(not any(w for w, p in counted if h not in p.hints and not (spoken - set(around)) & set(p.hints)))
             continue
-        plain = b.words - min(b.linked, b.words)
-        total += plain
-        main_total += plain * p.main
-        for h in p.hints:
-            inside[h] += plain
-            main_inside[h] += plain * p.main
-    wrong = (main_inside == main_total) if main_total else (2 * inside > total)
+        outside = sum(w for w, p in own if set(p.hints) <= set(around))
+        beside = [inside[g] for g, (_, of) in enumerate(hints) if g not in spoken and g != h and g not in around and h not in of]
+        holds_main = 0 < main_total == inside[h][0] and main_total >= outside
+        wrong.append(holds_main or (not outside and inside[h] >= max(beside, default=(0, 0))))
     for b, p in zip(found, places, strict=True):
         b.furniture = p.certain or any(not wrong[h] for h in p.hints)
 
@@ -102,7 +121,8 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[_Place] = []  # open elements, the innermost last
-    state, n_hints, at, n = _Place(), 0, 0, len(page)
+    hinted: list[tuple[int, tuple[int, ...]]] = []
+    state, at, n = _Place(), 0, len(page)
     links = -1  # how many elements were open when a link began, -1 outside one
 
     def flush() -> None:
@@ -170,13 +190,14 @@ def blocks(page: str) -> list[Block]:
         # A header within the main region belongs to the article.
         certain = state.certain or kind == CERTAIN or (tag in FURNITURE and not (tag == "header" and state.main))
         hints = state.hints
-        if not certain and (kind == HINTED or tag == "form"):
-            hints, n_hints = (*hints, n_hints), n_hints + 1
-        main = state.main or tag in MAIN or ("main" in attributes.lower() and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None)
+        if not certain and (kind in (HINTED, COMMENT) or tag == "form"):
+            hinted.append((kind or HINTED, hints))
+            hints = (*hints, len(hinted) - 1)
+        main = state.main or (tag in MAIN and kind != COMMENT) or ("main" in attributes.lower() and re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I) is not None)
         state = _Place(tag, certain, hints, main, tag in HEADINGS)
         stack.append(state)
     flush()
-    _settle(found, places, n_hints)
+    _settle(found, places, hinted)
     return found
 
 
@@ -355,7 +376,20 @@ LABELLED = (
     (30, 0.00, 15, 0.00, 6, 0.00, 1, 0, 1, 1),
     (5, 0.00, 4, 1.00, 40, 0.00, 1, 0, 1, 1),
     (2, 0.30, 15, 0.00, 40, 0.00, 1, 0, 1, 1),
-    (2, 1.00, 4, 1.00, 2, 1.00, 1, 0, 0, 1),
+    (2, 1.00, 4, 1.00, 2, 1.00, 1, 0, 0, 0),
+    (3, 1.00, 2, 1.00, 4, 1.00, 1, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0, 0),
+    (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0, 0),
+    (2, 1.00, 6, 0.00, 2, 1.00, 1, 0, 0, 0),
+    (1, 1.00, 2, 1.00, 60, 0.00, 1, 0, 0, 0),
+    (2, 1.00, 60, 0.00, 2, 1.00, 1, 0, 0, 0),
+    (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0, 0),
+    (6, 1.00, 5, 1.00, 6, 1.00, 1, 0, 0, 0),
+    (2, 0.00, 0, 0.00, 20, 0.00, 0, 0, 1, 1),
+    (5, 0.00, 0, 0.00, 14, 0.00, 0, 0, 1, 1),
+    (2, 0.00, 3, 1.00, 20, 0.00, 0, 0, 1, 1),
+    (5, 0.00, 2, 1.00, 14, 0.00, 0, 0, 1, 1),
+    (30, 1.00, 5, 1.00, 40, 0.00, 1, 0, 0, 0),
     (5, 0.30, 2, 1.00, 0, 0.00, 1, 0, 0, 1),
     (5, 0.00, 6, 0.00, 6, 0.00, 1, 0, 0, 1),
     (5, 0.00, 40, 0.00, 4, 1.00, 1, 0, 1, 1),
@@ -393,7 +427,7 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple | int:
 @lru_cache(maxsize=1)
 def tree() -> tuple | int:
     table = np.array(LABELLED, dtype=np.float64)
-    return _grow(table[:, :-1], table[:, -1], 8)
+    return _grow(table[:, :-1], table[:, -1], 10)
 
 
 def keeps(features: tuple[float, ...], node: tuple | int) -> bool:
