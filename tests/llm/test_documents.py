@@ -1,5 +1,6 @@
 """Operators over documents against brute force, on invented texts with the cases that break things."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -195,6 +196,27 @@ def test_secret_structures():
     for _ in range(3000):
         deep = _der(0x30, deep)
     assert is_der_key(deep) and not is_der_key(deep[:-1])
+
+
+def test_escaped_armour_and_signatures():
+    """Keys inside JSON strings, whose line ends are escaped; numbers in pairs that are no keys."""
+    rng = random.Random(8)
+    number = lambda n: b"\x02" + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + b"\x01" + bytes(rng.randrange(256) for _ in range(n - 2)) + b"\x01"
+    wrap = lambda body: b"\x30" + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big") if len(body) > 255 else b"\x81" + bytes([len(body)])) + body
+    private = wrap(b"\x02\x01\x00" + number(257) + b"\x02\x03\x01\x00\x01" + number(256) + number(129))
+    code = base64.b64encode(private).decode()
+    lines = [code[i : i + 64] for i in range(0, len(code), 64)]
+    for end in ("\\n", "\\r\\n", "\n"):
+        armour = f"-----BEGIN PRIVATE KEY-----{end}{end.join(lines)}{end}-----END PRIVATE KEY-----"
+        text = f'{{"private_key": "{armour}{end}", "x": 1}}'
+        at = text.index("-----BEGIN")
+        assert (at, at + len(armour), "pem") in spans_of(text)
+        spoilt = text.replace(lines[1], lines[1][:-4])
+        assert not any(kind == "pem" for *_, kind in spans_of(spoilt))
+    for n in (32, 33, 48, 66):
+        signature = wrap(number(n) + number(n))
+        assert not is_der_key(signature) and not any(k == "der" for *_, k in spans_of(f"sig {base64.b64encode(signature).decode()} {signature.hex()}"))
+    assert is_der_key(wrap(number(257) + b"\x02\x03\x01\x00\x01")) and not is_der_key(wrap(number(257) + b"\x02\x03\x01\x00\x02"))
     head, claims = (base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"me"}'))
     text = f"é {head}.{claims}.abc and {base64.b64encode(DER).decode()} {DER.hex()} {base64.b64encode(PUBLIC).decode()} eyJub3RoaW5n.x.y M{'A' * 50}"
     assert [k for _, _, k in spans_of(text)] == ["jwt", "der", "hex", "der", "ssh"]

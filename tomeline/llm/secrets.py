@@ -31,7 +31,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*)?")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+#: White space of an armoured body, line ends escaped as in JSON included.
+_BETWEEN = re.compile(r"(?:\s|\\[rn])+")
 _CIPHER = re.compile(r"^\s*DEK-Info: ([A-Z0-9-]+),((?:[0-9A-Fa-f]{2})+)\s*$", re.M)
 # Base64 of either alphabet that begins like a SEQUENCE, and what follows it on further lines.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{19,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*={0,2}")
@@ -85,10 +87,14 @@ def _der_tags(data: bytes) -> list[int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE that holds integers, object identifiers or key strings, all lengths adding up."""
+    """One SEQUENCE that holds integers, object identifiers or key strings, all lengths adding up; no signature of two integers."""
     if len(data) < 16 or data[0] != 0x30 or (head := _der_head(data, 0, len(data))) is None or head[1] != len(data):
         return False
     tags = _der_tags(data)
+    if tags == [0x30, 0x02, 0x02]:  # modulus and exponent make a key; two numbers of a size are a signature
+        first = _der_head(data, head[0], len(data))
+        second = _der_head(data, first[1], len(data))
+        return first[1] - first[0] >= 64 and second[1] - second[0] <= 8 and data[second[1] - 1] & 1 == 1
     return tags is not None and len(tags) >= 3 and any(not t & 0x20 for t in tags) and any(t in (0x02, 0x03, 0x04, 0x06) for t in tags)
 
 
@@ -191,7 +197,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_token(m[0])]
-    armoured = [(m.start(), m.end(), "pem") for m in (_PEM.finditer(text) if "-----BEGIN " in text else ()) if _is_armoured(m[2], _decoded("".join(m[3].split())))]
+    armoured = [(m.start(), m.end(), "pem") for m in (_PEM.finditer(text) if "-----BEGIN " in text else ()) if _is_armoured(m[2], _decoded(_BETWEEN.sub("", m[3])))]
     der = [(m.start(), m.start() + end, "der") for m in _BASE64.finditer(text) if (end := _der_end(m[0])) is not None]
     found += armoured + [d for d in der if not any(a <= d[0] < b for a, b, _ in armoured)]
     found += [(m.start(), m.end(), "der") for m in _HEX_DER.finditer(text) if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0]))]
