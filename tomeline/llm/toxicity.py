@@ -270,7 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 3 is not 1, from
     the first ``MOST_TOXIC`` and ``MOST_CLEAN`` of them by a hash of doc_id; of several labels of a
-    doc_id the highest counts. Only the text enters a score. Without labelled rows of both kinds the
+    doc_id the highest counts, of several texts the first in their order. Only the text enters a score. Without labelled rows of both kinds the
     lexicon alone decides.
 
     A null or empty text gets the score of a text without votes. A row without doc_id is held out
@@ -285,7 +285,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
-    sample = scratch.table("sample", texts.join(F.broadcast(scratch.table("chosen", chosen)), "doc_id").select("text", "toxic"))
+    # Ids meet as text, whatever type either table gives them; of several rows of an id one teaches, so that the sample stays bounded.
+    chosen = scratch.table("chosen", chosen.select(F.col("doc_id").cast("string").alias("id"), "toxic"))
+    met = texts.select(F.col("doc_id").cast("string").alias("id"), "text").join(F.broadcast(chosen), "id")
+    sample = scratch.table("sample", met.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     voters, weights = fit(sample)
     scratch.drop("sample", "chosen")
 
