@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeline.llm.decontaminate import contamination
+from tomeline.llm.ids import numbered_ids
 from tomeline.llm.mixing import mix
 from tomeline.llm.near_dups import near_duplicates
 from tomeline.llm.scratch import Scratch
@@ -38,18 +39,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 _MADE = 1 << 62
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of ``docs`` bears it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """``docs`` with a key for each different row, and the key's name: its doc_id or, without one or with one that repeats, a hash of the whole row from _MADE on.
 
-    A hash, unlike a number, is the same whenever the rows are read; equal rows share it.
+    A hash, unlike a number, is the same whenever the rows are read; equal rows share it. Ids that are
+    no whole numbers count by their place among all.
     """
-    key, often = "row_key", "id_repeats"
-    while {key, often} & set(docs.columns):
-        key, often = key + "_", often + "_"
+    key, often, number = _free(docs, "row_key"), _free(docs, "id_repeats"), _free(docs, "id_number")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
     repeated = scratch.table("repeated", repeated.select(F.col("doc_id"), F.lit(True).alias(often)))
     made = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).bitwiseAND(_MADE - 1).bitwiseOR(_MADE)
-    keyed = docs.join(repeated, "doc_id", "left").withColumn(key, F.when(F.col("doc_id").isNull() | F.col(often).isNotNull(), made).otherwise(F.col("doc_id").cast("long")))
+    numbered, _ = numbered_ids(docs.withColumn(number, F.col("doc_id")), scratch, number)
+    keyed = numbered.join(repeated, "doc_id", "left").withColumn(key, F.when(F.col("doc_id").isNull() | F.col(often).isNotNull(), made).otherwise(F.col(number)))
     return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], key), key
 
 
@@ -98,11 +106,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id and a source come equally often; those without doc_id go by their text.
     Null and empty texts have size 0 and come as often as their source's rate says. A null source is
-    one of its own. A column of ``docs`` that is called size or copy gives way. Texts are read whole.
+    one of its own. Columns of ``docs`` that are called size or copy stay, and the stage's own become
+    size_ and copy_. Texts are read whole.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source", "size", "copy")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     taken = mix(docs, keep=rest).filter("copies > 0")
-    return taken.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), *[F.col(f"kept.`{c}`") for c in rest])
+    size, copy = F.col("size").alias(_free(docs, "size")), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(_free(docs, "copy"))
+    return taken.select("doc_id", "source", size, copy, *[F.col(f"kept.`{c}`") for c in rest])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -77,3 +77,18 @@ def test_very_long_texts_pass_every_stage(spark):
         out = stage(spark, docs, SF).collect()
         assert {r.doc_id for r in out} == ({1, 3, 4} if name == "near_dups" else {1, 2, 3, 4}) or name == "mixing"
         assert all(r.text == {1: long, 2: long + " the end", 3: "a " * 200_000, 4: "short one"}[r.doc_id] for r in out)
+
+
+def test_ids_and_columns_of_any_kind(spark):
+    """Text ids, which order as text, and columns that bear the names of a stage's own."""
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
+    say = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [("b", say("x"), "s", 5, "c"), ("a10", say("x"), "s", 6, "c"), ("a9", say("x") + " more", "s", 7, None), (None, say("x"), "s", 8, "d"), ("z", f"so {item}", "t", 9, "d"), ("y", None, "t", 9, "d")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, size int, copy string")
+    expected = {"toxicity": {"a10", "a9", "b", None, "y", "z"}, "near_dups": {"a10", "y", "z"}, "decontamination": {"a10", "a9", "b", None, "y"}, "secrets": {"a10", "a9", "b", None, "y", "z"}}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == expected[name]
+    mixed = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert mixed.columns == ["doc_id", "source", "size_", "copy_", "text", "size", "copy"]
+    assert {(r.doc_id, r["size"], r["copy"]) for r in mixed.collect()} <= {(r[0], r[3], r[4]) for r in rows}
