@@ -1,6 +1,7 @@
 """Python trees: what is found, extracted, indexed, refreshed and shown."""
 
 import os
+import random
 
 import pytest
 
@@ -184,5 +185,24 @@ def test_hierarchies_have_no_end_but_their_own(spark):
     got = [(r.id, r.turn) for r in navigate.inherited(symbols, "A.run", 10).collect()]
     assert got == [(400, 0), (401, 4), (402, 70), (403, 72)]
     edges = spark.createDataFrame([(f"C{i}", f"C{(i + 1) % 40}") for i in range(40)], "class_name string, base_name string")
-    levels = {r.class_name: r.level for r in navigate.closure(spark, edges, "C0").collect()}
+    levels = {r.class_name: r.level for r in navigate.closure(edges, "C0").collect()}
     assert levels == {f"C{i % 40}": i for i in range(1, 41)}
+
+
+def test_ancestors_by_doubling(spark):
+    """A chain of 1,000 levels, a class with many ways to one base, and a random graph against a plain search."""
+    rng = random.Random(4)
+    chain = spark.createDataFrame([(f"L{i}", f"L{i + 1}") for i in range(1000)], "class_name string, base_name string")
+    assert {r.class_name: r.level for r in navigate.closure(chain, "L0").collect()} == {f"L{i}": i for i in range(1, 1001)}
+    edges = [("D", f"M{i}") for i in range(5)] + [(f"M{i}", "Top") for i in range(5)] + [("M0", "N"), ("N", "Top")]
+    edges += [(f"R{rng.randrange(60)}", f"R{rng.randrange(60)}") for _ in range(90)]
+    table = spark.createDataFrame(edges, "class_name string, base_name string")
+    for start in ("D", "R1", "none"):
+        wanted, front, level = {}, {start}, 0
+        while front:
+            level += 1
+            front = {b for a, b in edges if a in front} - set(wanted)
+            wanted |= dict.fromkeys(front, level)
+        got = {r.class_name: r.level for r in navigate.closure(table, start).collect()}
+        assert got == wanted
+    assert {r.class_name: r.level for r in navigate.closure(table, "D", 1).collect()} == {f"M{i}": 1 for i in range(5)}

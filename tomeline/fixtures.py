@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.columns import parent_key
 from .operators.fts import Index
 from .operators.maintain import last_writer
 from .plans.store import Store, fingerprint, shared_dir, snapshot
@@ -81,6 +82,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(store(spark, sf_dir), lambda: last_writer(raw_symbols(spark, sf_dir), "qualified_name", "id"))
 
 
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue sorted by parent and qualified name, with the parent's folded name; written by the first query that asks for it."""
+    rows = lambda: catalog(spark, sf_dir).withColumn("parent_key", parent_key("qualified_name"))
+    return store(spark, sf_dir).table("tree", rows, "parent_key", "qualified_name")
+
+
 def index(spark: SparkSession, sf_dir: str, stemmed: bool) -> Index:
     """The stored full-text index of the snapshot."""
     return store(spark, sf_dir).index(catalog(spark, sf_dir), stemmed)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, depth, like, parent
+from ..plans.store import scratch
 
 _UNDER = "translate(qualified_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE concat(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.%') ESCAPE '\x01'"
 
@@ -106,16 +107,30 @@ def inherited(symbols: DataFrame, query: str, limit: int) -> DataFrame | None:
     return out.orderBy("turn", "within", "id").limit(limit)
 
 
-def closure(spark: SparkSession, edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
-    """(class_name, level) of the ancestors of a class over edges (class_name, base_name), level by level until none is new, or ``most`` levels."""
-    edges = edges.select("class_name", "base_name").cache()
-    found: dict[str, int] = {}
-    frontier, level = [start], 0
-    while frontier and (most is None or level < most):  # one query for each level
-        level += 1
-        asked = F.broadcast(spark.createDataFrame([(n,) for n in frontier], "class_name string"))
-        bases = edges.join(asked, "class_name", "left_semi").select("base_name").distinct().collect()
-        frontier = [r.base_name for r in bases if r.base_name not in found]
-        found |= dict.fromkeys(frontier, level)
-    edges.unpersist()
-    return spark.createDataFrame(list(found.items()), "class_name string, level int")
+def closure(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(class_name, level) of the ancestors of a class over edges (class_name, base_name), by the least number of steps; all of them, or those within ``most`` levels.
+
+    Steps double: the table of what lies within n steps of each class gives what lies within 2 n by one
+    join with itself, so a chain of a thousand levels takes ten rounds, and no name passes the driver.
+    That table has a row for each class and each of its ancestors, which is small as long as hierarchies
+    are not deep and broad at once.
+    """
+    store = scratch(edges.sparkSession, "closure")
+    step = edges.select("class_name", "base_name").distinct().withColumn("level", F.lit(1))
+    step = store.table("steps-0", lambda: step)
+    found = store.table("found-0", lambda: step.filter(F.col("class_name") == start).select(F.col("base_name").alias("class_name"), "level"))
+    turn, n = 0, found.count()
+    while n:
+        turn += 1
+        least = F.min("level").alias("level")
+        far = found.join(step.withColumnRenamed("level", "more"), "class_name").select(F.col("base_name").alias("class_name"), (F.col("level") + F.col("more")).alias("level"))
+        grown = store.table(f"found-{turn}", lambda f=found, g=far: f.unionByName(g).groupBy("class_name").agg(least))
+        m = grown.count()
+        found = grown
+        if m == n or (most is not None and 2**turn >= most):
+            break
+        n = m
+        middle = step.select(F.col("class_name").alias("base_name"), F.col("base_name").alias("last"), F.col("level").alias("more"))
+        twice = step.join(middle, "base_name").select("class_name", F.col("last").alias("base_name"), (F.col("level") + F.col("more")).alias("level"))
+        step = store.table(f"steps-{turn}", lambda s=step, t=twice: s.unionByName(t).groupBy("class_name", "base_name").agg(least))
+    return found if most is None else found.filter(F.col("level") <= most)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import CTE, catalog, index, raw_symbols
+from .fixtures import CTE, catalog, index, raw_symbols, tree
 from .functions.columns import depth, like, parent, query_terms, sanitized, sort_key, type_rank, valid_terms, visibility
 from .operators import format as fmt
 from .operators import fts, fuzzy, lookup, maintain, navigate, rank, stats
 from .plans import cascade
+from .plans.store import placed
 from .sources import listing, python_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +53,7 @@ def exact_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select id, name, qualified_name, symbol_type from symbols where qualified_name = 'geo.ASIA'")
 def get_symbol_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.by_key(catalog(spark, sf_dir), "geo.ASIA").select(_SHOWN)
+    return lookup.by_key(tree(spark, sf_dir), "geo.ASIA").select(_SHOWN)
 
 
 @_query(f"select id, name, qualified_name, symbol_type from symbols where {_FOLD.format('name')} = 'nation_7'")
@@ -78,12 +79,12 @@ _BELOW_ASIA = f"{_like('qualified_name', 'geo.asia.%')} and not {_like('qualifie
 
 @_query(f"select *, row_number() over (order by {_ORDER}) as rank from (select id, name, qualified_name, symbol_type from symbols where {_BELOW_ASIA} order by name, id limit 200) order by rank limit 50")
 def namespace_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.numbered(lookup.browse(catalog(spark, sf_dir), "geo.ASIA", 50).select(_SHOWN), *sort_key(), "id")
+    return rank.numbered(lookup.browse(tree(spark, sf_dir), "geo.ASIA", 50).select(_SHOWN), *sort_key(), "id")
 
 
 @_query(f"select id, name, qualified_name, symbol_type, row_number() over (order by {_ORDER}) as rank from symbols where {_like('qualified_name', 'catalog.brand_11.%')} and not {_like('qualified_name', 'catalog.brand_11.%.%')}")
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.numbered(lookup.members(catalog(spark, sf_dir), "catalog.Brand_11").select(_SHOWN), *sort_key(), "id")
+    return placed(lookup.children(tree(spark, sf_dir), "catalog.Brand_11").select(_SHOWN), [], [*sort_key(), "id"], "rank")
 
 
 @_query(f"select id, name, qualified_name, symbol_type from (select * from symbols where {_like('name', '%nation_1%')} order by name, id limit 200) where name <> 'NATION_1'")
@@ -115,8 +116,8 @@ def sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"select id, {_TYPE_RANK} as type_rank, {_VISIBLE} as visibility, row_number() over (partition by src order by {_ORDER}) as place from symbols")
 def symbol_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("src").orderBy(*sort_key(), "id")).cast("long")
-    return catalog(spark, sf_dir).select("id", type_rank("symbol_type").alias("type_rank"), visibility("name").alias("visibility"), place.alias("place"))
+    rows = catalog(spark, sf_dir).select("id", "src", "name", type_rank("symbol_type").alias("type_rank"), visibility("name").alias("visibility"))
+    return placed(rows, ["src"], ["type_rank", "visibility", "name", "id"]).select("id", "type_rank", "visibility", "place")
 
 
 @_query(f"select * , row_number() over (order by {_ORDER}) as rank from (select id, name, qualified_name, symbol_type from symbols where {_like('qualified_name', '%nation_1%')} order by name, id limit 200) order by rank limit 20")
@@ -274,7 +275,7 @@ def _with_bases(symbols: DataFrame) -> DataFrame:
 _UP = """, recursive_start as (select 1), up as (
   with recursive r(class_name, level) as (
     select base, 1 from symbols where name = 'NATION_24' and symbol_type = 'class' and base is not null
-    union all select s.base, r.level + 1 from r join symbols s on s.name = r.class_name and s.symbol_type = 'class' and s.base is not null where r.level < 32)
+    union select s.base, r.level + 1 from r join symbols s on s.name = r.class_name and s.symbol_type = 'class' and s.base is not null where r.level <= (select count(*) from symbols where symbol_type = 'class'))
   select class_name, min(level) as level from r group by class_name)
 """
 
@@ -282,7 +283,7 @@ _UP = """, recursive_start as (select 1), up as (
 @_query(_UP + "select class_name, level from up")
 def mro_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = catalog(spark, sf_dir).filter("symbol_type = 'class' and base is not null").select(F.col("name").alias("class_name"), F.col("base").alias("base_name"))
-    return navigate.closure(spark, edges, "NATION_24")
+    return navigate.closure(edges, "NATION_24")
 
 
 _INHERITED = (
