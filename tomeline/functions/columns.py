@@ -82,3 +82,18 @@ def query_terms(query: str) -> list[str]:
 def valid_terms(terms: list[str]) -> bool:
     """Whether a full-text query of these parts parses: bare words only, and no operator words."""
     return bool(terms) and all(re.fullmatch(r"[A-Za-z0-9_\x80-\U0010ffff]+", t) and t not in ("AND", "OR", "NOT") for t in terms)
+
+
+def valid_query(column: Column | str) -> Column:
+    """:func:`valid_terms` of the terms of user input, for a column of it."""
+    spaced = F.translate(column, OPERATORS + "_.", " " * (len(OPERATORS) + 2))
+    parts = F.filter(F.split(spaced, r"\s+"), lambda x: x != "")
+    bad = F.exists(parts, lambda x: ~x.rlike(r"^[A-Za-z0-9_\x{80}-\x{10ffff}]+$") | x.isin("AND", "OR", "NOT"))
+    return (F.size(parts) > 0) & ~bad
+
+
+def absolute_module(level: str, module: str, package: str) -> Column:
+    """The module that a relative import in a package names; null beyond the top."""
+    parts = F.split(package, "[.]")
+    kept = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col(level) + 1, F.lit(0)))
+    return F.when(F.col(level) <= F.size(parts), F.concat_ws(".", F.array_join(kept, "."), module))

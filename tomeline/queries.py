@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import python_fixtures
 from .fixtures import CTE, catalog, index, raw_symbols, tree
-from .functions.columns import depth, like, parent, query_terms, sanitized, sort_key, type_rank, valid_terms, visibility
+from .functions.columns import absolute_module, depth, like, parent, sanitized, sort_key, type_rank, valid_query, visibility
 from .operators import format as fmt
 from .operators import fts, fuzzy, lookup, maintain, navigate, rank, stats
 from .plans import cascade
@@ -355,10 +356,15 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "doc_th", ("name", "qualified_name"))
 
 
-@_query("select * from (values ('a b', true), ('NOT', false), ('x/y', false), ('not', true), ('+ ( )', false), ('a.b_c', true), ('caf\u00e9', true), ('50%', false)) t(query, valid)", cte=False)
+@_query(
+    f"select id, len(terms) > 0 and len(list_filter(terms, lambda x: not regexp_full_match(x, '[A-Za-z0-9_\\x{{80}}-\\x{{10ffff}}]+') or x in ('AND', 'OR', 'NOT'))) = 0 as valid "
+    f"from (select id, list_filter(regexp_split_to_array({_SPACED}, '\\s+'), lambda x: x <> '') as terms from "
+    "(select id, case id % 4 when 0 then concat(name, ' ', coalesce(signature, '')) when 1 then concat(name, case when id % 8 = 1 then ' NOT' else ' not' end) when 2 then concat(qualified_name, case when id % 3 = 0 then '/x' else ' + (é)' end) else case when id % 3 = 0 then ' ( ) ' else name end end as raw_query from symbols) q) t"
+)
 def fts_invalid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = ["a b", "NOT", "x/y", "not", "+ ( )", "a.b_c", "caf\u00e9", "50%"]
-    return spark.createDataFrame([(q, valid_terms(query_terms(q))) for q in asked], "query string, valid boolean")
+    """Whether user input parses as a full-text query, for inputs made of every symbol."""
+    asked = "case id % 4 when 0 then concat(name, ' ', coalesce(signature, '')) when 1 then concat(name, case when id % 8 = 1 then ' NOT' else ' not' end) when 2 then concat(qualified_name, case when id % 3 = 0 then '/x' else ' + (é)' end) else case when id % 3 = 0 then ' ( ) ' else name end end"
+    return catalog(spark, sf_dir).select("id", F.expr(asked).alias("raw_query")).select("id", valid_query("raw_query").alias("valid"))
 
 
 @_query()
@@ -535,15 +541,19 @@ def format_detail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmt.details(symbols, symbols)
 
 
+_HINTED = "select lang, source, count(case when doc_id % 97 = 0 then 1 end) as exact, count(case when doc_id % 53 = 0 then 1 end) as fuzzy, max(doc_id) % 2 = 0 as inside from documents group by lang, source"
+
+
 @_query(
-    "select exact, fuzzy, inside, case when exact > 0 then null when fuzzy > 0 and inside then 'Showing approximate matches (no exact results). Package may not be installed — try: uv add <package>' "
+    "select lang, source, case when exact > 0 then null when fuzzy > 0 and inside then 'Showing approximate matches (no exact results). Package may not be installed — try: uv add <package>' "
     "when fuzzy > 0 then 'Showing approximate matches (no exact results). Not in a Python project — no sources to reindex.' when inside then 'No results. Package may not be installed — try: uv add <package>' "
-    "else 'Not in a Python project (no .venv found).' end as hint from (select e.x as exact, f.x as fuzzy, i.x as inside from (values (0), (2)) e(x), (values (0), (3)) f(x), (values (true), (false)) i(x))",
+    f"else 'Not in a Python project (no .venv found).' end as hint from ({_HINTED}) h",
     cte=False,
 )
 def search_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(e, f, i) for e in (0, 2) for f in (0, 3) for i in (True, False)], "exact int, fuzzy int, inside boolean")
-    return rows.select("exact", "fuzzy", "inside", fmt.hint_column("exact", "fuzzy", "inside").alias("hint"))
+    """The hint for numbers of exact and approximate results, for each language and source."""
+    rows = spark.sql(_HINTED.replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("lang", "source", fmt.hint_column("exact", "fuzzy", "inside").alias("hint"))
 
 
 _DIM, _CYAN, _RESET = "\x1b[2m", "\x1b[36m", "\x1b[0m"
@@ -558,86 +568,57 @@ def style_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- Python sources ----------------------------------------------------------------------------------
 
-FILES = {
-    "pkg/__init__.py": '"""The package."""\nfrom ._core import Engine as Motor, run\nfrom . import sub\ntry:\n    from ._fast import quick\nexcept ImportError:\n    from ._slow import quick\nif True:\n    import pkg.sub as renamed\nfrom ._core import *\ndef local(): ...\n',
-    "pkg/_core.py": 'class Engine(Base, mod.Other[K, V]):\n    """An engine."""\n    def start(self, x: int, /, y: str = "a", *, z=1, **kw) -> bool: ...\n    async def stop(self, *args: int): ...\n    def _hidden(self): ...\n    class Part:\n        def turn(self): ...\ndef run(a, b=2):\n    "Runs."\n    def inner(): ...\n',
-    "pkg/_slow.py": "def quick(n): ...\n",
-    "pkg/sub/__init__.py": "from .deep import Thing\n",
-    "pkg/sub/deep.py": '"""Deep."""\nclass Thing:\n    def use(self): ...\nclass _Private:\n    def lost(self): ...\n',
-    "pkg/sub/stub.pyi": "def only_stub(x: int) -> str: ...\n",
-    "pkg/sub/deep.pyi": "def shadowed(): ...\n",
-    "pkg/_private/mod.py": "def unseen(): ...\n",
-    "pkg/broken.py": "def (:\n",
-}
-
-
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("pkg", p, t) for p, t in FILES.items()], "source_key string, path string, text string")
-
+_OF_SYMBOL = "qualified_name, symbol_type, signature, line_no, return_annotation"
+_OWN = f"select {_OF_SYMBOL} from own where sub <> '_hid'"
+_SHOWN_SYMBOL = _OF_SYMBOL.split(", ")
 
-_INDEXED_PKG = """select * from (values
- ('pkg', 'module', null, 0), ('pkg.local', 'function', '()', 1),
- ('pkg._core.Engine', 'class', '(Base, mod.Other[K, V])', 2), ('pkg._core.Engine.start', 'method', '(self, x: int, /, y: str = ''a'', *, z = 1, **kw) -> bool', 3), ('pkg._core.Engine.stop', 'async_method', '(self, *args: int)', 4),
- ('pkg._core.Engine.Part', 'class', null, 5), ('pkg._core.Engine.Part.turn', 'method', '(self)', 6), ('pkg._core.run', 'function', '(a, b = 2)', 7), ('pkg._slow.quick', 'function', '(n)', 8),
- ('pkg.sub.deep', 'module', null, 9), ('pkg.sub.deep.Thing', 'class', null, 10), ('pkg.sub.deep.Thing.use', 'method', '(self)', 11), ('pkg.sub.stub.only_stub', 'function', '(x: int) -> str', 12),
- ('pkg.Motor', 'class', '(Base, mod.Other[K, V])', 13), ('pkg.Motor.start', 'method', '(self, x: int, /, y: str = ''a'', *, z = 1, **kw) -> bool', 14), ('pkg.Motor.stop', 'async_method', '(self, *args: int)', 15),
- ('pkg.Motor.Part', 'class', null, 16), ('pkg.run', 'function', '(a, b = 2)', 17), ('pkg.quick', 'function', '(n)', 18), ('pkg.sub.Thing', 'class', null, 19), ('pkg.sub.Thing.use', 'method', '(self)', 20)
-) t(qualified_name, symbol_type, signature, seq)"""
 
-
-@_query(_INDEXED_PKG, cte=False)
+@_query(python_fixtures.CTE + f"{_OWN} union all select {_OF_SYMBOL} from again", cte=False)
 def index_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_tree.symbols_of_files(_files(spark)).select("qualified_name", "symbol_type", "signature", F.col("seq").cast("int").alias("seq"))
+    """All packages at once: the symbols of their modules and those that they re-export."""
+    return python_tree.symbols_of_files(python_fixtures.files(spark, sf_dir)).select(_SHOWN_SYMBOL)
 
 
-@_query(f"select * from ({_INDEXED_PKG}) where seq >= 13", cte=False)
+@_query(python_fixtures.CTE + f"select {_OF_SYMBOL} from again", cte=False)
 def resolve_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_package(spark, sf_dir).filter("seq >= 13")
+    found = python_tree.symbols_of_files(python_fixtures.files(spark, sf_dir))
+    return found.filter(~F.col("qualified_name").rlike("^[^.]+[.][^.]+[.]m[0-9]")).select(_SHOWN_SYMBOL)
 
 
-@_query(
-    "select * from (values ('pkg', 0, 'Motor', 'pkg._core', 'Engine', false), ('pkg', 1, 'run', 'pkg._core', 'run', false), ('pkg', 2, 'sub', 'pkg', 'sub', false), ('pkg', 3, 'quick', 'pkg._fast', 'quick', false), "
-    "('pkg', 4, 'quick', 'pkg._slow', 'quick', false), ('pkg', 5, 'renamed', 'pkg.sub', 'pkg.sub', true), ('pkg.sub', 0, 'Thing', 'pkg.sub.deep', 'Thing', false)) t(init_module, ord, local_name, source_module, source_name, is_module)",
-    cte=False,
-)
+@_query(python_fixtures.CTE + python_fixtures.IMPORTS, cte=False)
 def extract_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inits = _files(spark).filter(F.col("path").endswith("__init__.py"))
+    inits = python_fixtures.inits(spark, sf_dir)
     return python_tree.reexports_of_files(inits.withColumn("module", F.replace(F.regexp_replace("path", "/__init__.py$", ""), F.lit("/"), F.lit("."))))
 
 
-_PARSED = """select * from (values ('m', 'module', 1, null), ('m.C', 'class', 2, null), ('m.C.f', 'method', 3, null), ('m.C.D', 'class', 5, null), ('m.g', 'async_function', 8, 'int'), ('m.h', 'function', 10, null)) t(qualified_name, symbol_type, line_no, return_annotation)"""
-
-
-@_query(_PARSED, cte=False)
+@_query(python_fixtures.CTE + _OWN, cte=False)
 def parse_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '"""M."""\nclass C:\n    def f(self): ...\n    def _g(self): ...\n    class D: ...\nclass _E:\n    class F: ...\nasync def g() -> int: ...\nif x:\n    def h(): ...\n'
-    rows = spark.createDataFrame([("m", "m.py", text)], "source_key string, path string, text string")
-    return python_tree.symbols_of_files(rows).select("qualified_name", "symbol_type", "line_no", "return_annotation")
+    """Modules by themselves."""
+    return python_tree.symbols_of_files(python_fixtures.modules(spark, sf_dir).drop("doc_id")).select(_SHOWN_SYMBOL)
 
 
-@_query(
-    "select * from (values (0, '()'), (1, '(a, b = 1)'), (2, '(a, /, b: int = 2, *c, d, e = 3, **f) -> None'), (3, '(*, k: str = ''x'')'), (4, '(self, x: list[int] | None = None)'), (5, '(p, q, /)')) t(nr, signature)",
-    cte=False,
-)
+@_query("select doc_id, case doc_id % 6 " + " ".join("when {} then '{}'".format(i, shown.replace("'", "''")) for i, (_, shown) in enumerate(python_fixtures.HEADS)) + " end as signature from documents", cte=False)
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = ["()", "(a, b=1)", "(a, /, b: int=2, *c, d, e=3, **f) -> None", "(*, k: str='x')", "(self, x: list[int] | None=None)", "(p, q=5, /)"]
-    text = "".join(f"def f{i}{h}: ...\n" for i, h in enumerate(heads))
-    rows = spark.createDataFrame([("m", "m.py", text)], "source_key string, path string, text string")
-    return python_tree.symbols_of_files(rows).select(F.substring("name", 2, 9).cast("int").alias("nr"), "signature")
+    found = python_tree.symbols_of_files(python_fixtures.heads(spark, sf_dir))
+    return found.select(F.substring("name", 2, 20).cast("long").alias("doc_id"), "signature")
+
+
+@_query(python_fixtures.CTE + f"select substr(qualified_name, length(package) + 2) as qualified_name, {_OF_SYMBOL.split(', ', 1)[1]}, concat('project:/', package) as source_key from own where sub <> '_hid'", cte=False)
+def index_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_tree.symbols_of_folders(python_fixtures.folders(spark, sf_dir)).select(*_SHOWN_SYMBOL, "source_key")
 
 
-_RELATIVE = [(1, "mod", "a.b.c"), (2, "mod", "a.b.c"), (3, None, "a.b.c"), (1, None, "a"), (2, "x.y", "a.b")]
+_IMPORTED = "select doc_id, cast(1 + doc_id % 4 as int) as level, case when doc_id % 5 <> 0 then concat('m', cast(doc_id % 11 as varchar(9)), case when doc_id % 2 = 0 then '.x' else '' end) end as module, concat(lang, '.', source, case when doc_id % 3 = 0 then '.deep' else '' end) as package from documents"
 
 
 @_query(
-    "select level, module, package, array_to_string(list_concat(list_slice(string_split(package, '.'), 1, len(string_split(package, '.')) - level + 1), case when module is null then []::varchar[] else [module] end), '.') as resolved "
-    "from (values (1, 'mod', 'a.b.c'), (2, 'mod', 'a.b.c'), (3, null, 'a.b.c'), (1, null, 'a'), (2, 'x.y', 'a.b')) t(level, module, package)",
+    f"select doc_id, case when level <= len(parts) then array_to_string(list_concat(parts[1:len(parts) - level + 1], case when module is null then []::varchar[] else [module] end), '.') end as resolved "
+    f"from (select *, string_split(package, '.') as parts from ({_IMPORTED}) i) p",
     cte=False,
 )
 def resolve_relative_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_RELATIVE, "level int, module string, package string")
-    parts = F.split("package", "[.]")
-    return rows.select("level", "module", "package", F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - F.col("level") + 1), "."), "module").alias("resolved"))
+    rows = spark.sql(_IMPORTED.replace("from documents", "from {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", absolute_module("level", "module", "package").alias("resolved"))
 
 
 # -- listings of files ---------------------------------------------------------------------------------
@@ -692,22 +673,3 @@ def src_init_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_mtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.changed(_listing(spark, sf_dir))
-
-
-@_query(
-    "select * from (values ('app', 'module', 0), ('app.main', 'function', 1), ('sub', 'module', 2), ('sub.part.Part', 'class', 3), ('sub.part.Part.turn', 'method', 4), ('typed.only', 'function', 5)) t(qualified_name, symbol_type, seq)",
-    cte=False,
-)
-def index_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = {
-        "__init__.py": '"""Left out."""\ndef lost(): ...\n',
-        "app.py": '"""The program."""\nfrom sub.part import Part\ndef main(): ...\n',
-        "sub/__init__.py": '"""A part."""\nfrom .part import Part as Piece\n',
-        "sub/part.py": "class Part:\n    def turn(self): ...\n",
-        "sub/part.pyi": "def shadowed(): ...\n",
-        "_own/mod.py": "def unseen(): ...\n",
-        ".git/hook.py": "def unseen(): ...\n",
-        "typed.pyi": "def only(): ...\n",
-    }
-    rows = spark.createDataFrame([("project:here", p, t) for p, t in files.items()], "source_key string, path string, text string")
-    return python_tree.symbols_of_folders(rows).select("qualified_name", "symbol_type", F.col("seq").cast("int").alias("seq"))
