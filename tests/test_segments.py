@@ -1,5 +1,7 @@
 """A catalogue in segments against one that is made anew."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ def check(spark, segments, expected, searched=False):
     for part in ("postings", "lengths", "totals"):
         got, wanted = getattr(stored, part), getattr(fresh, part)
         assert sorted(map(tuple, got.select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert sorted(map(tuple, segments.grams().select("gram", "id").collect())) == sorted(map(tuple, lookup.grams(want).collect()))
     for query, columns in (("thing", ("name", "qualified_name")), ("runner", ("docstring",))):
         got, wanted = (fts.search(s, i, query, columns).select("id", F.round("score", 9)).collect() for s, i in ((segments.symbols(), stored), (want, fresh)))
         assert sorted(got) == sorted(wanted) and got
@@ -84,7 +87,7 @@ def test_refreshes_equal_a_rebuild(spark, segments):
 def test_a_run_that_dies_changes_nothing(spark, segments, monkeypatch):
     segments.refresh(rows_of(spark, [*A, *B]), sources_of(spark, "ab"))
     before = segments.symbols()
-    for stop in ("postings", "state"):
+    for stop in ("grams", "state"):
         write = Segments._write
 
         def dies(self, name, *rest, stop=stop, write=write):
@@ -155,3 +158,19 @@ def test_the_tree_is_pruned(spark, tmp_path):
     assert lookup.children(tree, "top.p123").count() == lookup.children(tree.drop("parent_key"), "top.p123").count() == 50
     for name in ("top", "top.p12_", "top%", "TOP.P003", "t_p", "nothing"):
         assert sorted(r.id for r in lookup.children(tree, name).collect()) == sorted(r.id for r in lookup.children(tree.drop("parent_key"), name).collect())
+
+
+def test_patterns_by_grams(spark, tmp_path):
+    """Equal to looking through all symbols, reading only those that have a pattern's grams."""
+    rng = random.Random(6)
+    say = lambda: "".join(rng.choice("abAB_%éx.") for _ in range(rng.randint(0, 12)))
+    rows = [("s", i, say(), f"{say()}.n{i}", "function", say() if i % 3 else None, None) for i in range(600)] + [("s", 600, "one_of_A_kind", "top.one_of_A_kind", "class", "(Ünique)", None)]
+    symbols = rows_of(spark, rows).cache()
+    lookup.grams(symbols).repartitionByRange(2, "gram").sortWithinPartitions("gram").write.parquet(str(tmp_path / "grams"))
+    index = spark.read.parquet(str(tmp_path / "grams"))
+    for query in ("aba", "AB abx", "a_b", "bab%xa", "ab", "%", "xéx.", "of_a Üni", "kind", "zzz", "n59"):
+        found = lookup.containing(symbols, query, cap=10_000, index=index)
+        assert [r.id for r in found.collect()] == [r.id for r in lookup.containing(symbols, query, cap=10_000).collect()], query
+    assert lookup.needed_grams("of_a Kind ab") == ["ind", "kin"]
+    filters = lookup.containing(symbols, "kind", index=index)._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1]
+    assert "In(gram" in filters.split("ReadSchema")[0]

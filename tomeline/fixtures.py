@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.columns import parent_key
+from .operators import lookup
 from .operators.fts import Index
 from .operators.maintain import last_writer
 from .plans.store import Store, fingerprint, shared_dir, snapshot
@@ -88,6 +89,11 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(spark, sf_dir).table("tree", rows, "parent_key", "qualified_name")
 
 
+def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of the letters of names and signatures, sorted by gram."""
+    return store(spark, sf_dir).table("grams", lambda: lookup.grams(catalog(spark, sf_dir)), "gram", "id")
+
+
 def index(spark: SparkSession, sf_dir: str, stemmed: bool) -> Index:
     """The stored full-text index of the snapshot."""
     return store(spark, sf_dir).index(catalog(spark, sf_dir), stemmed)

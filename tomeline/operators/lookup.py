@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ascii_lower, like, sort_key
@@ -32,12 +36,40 @@ def any_case(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter(ascii_lower("name") == ascii_lower(F.lit(name)))
 
 
-def containing(symbols: DataFrame, query: str, symbol_type: str | None = None, cap: int = FETCH_CAP) -> DataFrame:
-    """Symbols with every part of the query in name, qualified name or signature; the first ``cap`` by name."""
-    rows = symbols
+#: What a pattern is looked for in.
+_SEARCHED = ("name", "qualified_name", "signature")
+_GRAM = 3
+
+
+def grams(symbols: DataFrame) -> DataFrame:
+    """(gram, id) of every run of three characters in name, qualified name and signature, A-Z lower-cased, once for each symbol; the index of :func:`containing`."""
+
+    def cut(column: str) -> Column:
+        text = ascii_lower(F.coalesce(column, F.lit("")))
+        return F.when(F.length(text) >= _GRAM, F.transform(F.sequence(F.lit(1), F.length(text) - _GRAM + 1), lambda i: F.substring(text, i, F.lit(_GRAM)))).otherwise(F.array().cast("array<string>"))
+
+    return symbols.select(F.explode(F.array_distinct(F.concat(*map(cut, _SEARCHED)))).alias("gram"), "id")
+
+
+def needed_grams(query: str) -> list[str]:
+    """What every symbol that holds all parts of a query has among its grams; wildcards end a run."""
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in query)
+    runs = [run for term in folded.split() for run in re.split("[%_]", term)]
+    return sorted({run[i : i + _GRAM] for run in runs for i in range(len(run) - _GRAM + 1)})
+
+
+def containing(symbols: DataFrame, query: str, symbol_type: str | None = None, cap: int = FETCH_CAP, index: DataFrame | None = None) -> DataFrame:
+    """Symbols with every part of the query in name, qualified name or signature; the first ``cap`` by name.
+
+    With an ``index`` of grams, sorted by gram, only symbols that have all grams of the query are looked
+    at; a query without a run of three fixed characters is looked for in all.
+    """
+    rows, wanted = symbols, needed_grams(query)
+    if index is not None and wanted:
+        met = index.filter(F.col("gram").isin(wanted)).groupBy("id").agg(F.count("*").alias("n"))
+        rows = rows.join(met.filter(F.col("n") == len(wanted)).select("id"), "id", "left_semi").select(symbols.columns)
     for term in query.split():
-        hit = like("name", f"%{term}%") | like("qualified_name", f"%{term}%") | like("signature", f"%{term}%")
-        rows = rows.filter(hit)
+        rows = rows.filter(reduce(or_, (like(c, f"%{term}%") for c in _SEARCHED)))
     return of_type(rows, symbol_type).orderBy("name", "id").limit(cap)
 
 

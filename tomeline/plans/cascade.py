@@ -39,8 +39,8 @@ def dotted(symbols: DataFrame, query: str, limit: int, tree: DataFrame | None =
     return None if below.isEmpty() else _result([_staged(below, "namespace", "fts", 0, *sort_key(), "id")], limit)
 
 
-def search(symbols: DataFrame, index: fts.Index, query: str, limit: int = 50, symbol_type: str | None = None, tree: DataFrame | None = None) -> DataFrame:
-    """Results with stage, tier (fts or fuzzy) and rank. Later stages run only if earlier ones leave room. ``tree`` is a copy of the symbols sorted by parent, if there is one."""
+def search(symbols: DataFrame, index: fts.Index, query: str, limit: int = 50, symbol_type: str | None = None, tree: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """Results with stage, tier (fts or fuzzy) and rank. Later stages run only if earlier ones leave room. ``tree`` is a copy of the symbols sorted by parent and ``grams`` an index of their letters, where there are any."""
     if not query.strip():
         return _empty(symbols)
     if "." in query and (found := dotted(symbols, query, limit, tree)) is not None:
@@ -54,7 +54,7 @@ def search(symbols: DataFrame, index: fts.Index, query: str, limit: int = 50, sy
         named = fts.search(symbols, index, query, ("name", "qualified_name"), symbol_type)
         stage, found = "full text", None if named is None else lookup.unseen(named, seen).cache()
         if n == 0 and (found is None or found.isEmpty()):
-            stage, found = "pattern", lookup.containing(symbols, query, symbol_type).cache()
+            stage, found = "pattern", lookup.containing(symbols, query, symbol_type, index=grams).cache()
         if found is not None:
             seen = seen.unionByName(found.select("qualified_name"))
             parts.append(_staged(found.orderBy(*order).limit(left), stage, "fts", 1, *order))

@@ -109,7 +109,7 @@ class Catalog:
         return self.segments.index()
 
     def find(self, query: str, limit: int = 50, symbol_type: str | None = None) -> DataFrame:
-        return cascade.search(self.symbols(), self.index(), query, limit, symbol_type, self.segments.tree())
+        return cascade.search(self.symbols(), self.index(), query, limit, symbol_type, self.segments.tree(), self.segments.grams())
 
     def find_hint(self, results: DataFrame, in_project: bool = True) -> str | None:
         tiers = {r.tier: r["count"] for r in results.groupBy("tier").count().collect()}

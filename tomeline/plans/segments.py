@@ -22,18 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import parent_key
-from ..operators import fts
+from ..operators import fts, lookup
 from ..operators.maintain import last_writer
 
 #: Runs that may hold live sources before small ones are merged.
 MOST_RUNS = 8
 #: What the library itself keeps of a source.
 _OWN = ("at", "symbol_count", "n_symbols")
+#: Tables whose rows belong to a source.
+_BY_SOURCE = ("rows", "tree", "postings", "grams", "lengths")
 _BLOOM = "parquet.bloom.filter.enabled#qualified_name"
 
 
 class Segments:
-    """The tables of one folder: rows, tree, postings, lengths, totals, shadowed and state, each by run."""
+    """The tables of one folder: rows, tree, postings, grams, lengths, totals, shadowed and state, each by run."""
 
     def __init__(self, spark: SparkSession, folder: str, stemmed: bool = True):
         self.spark, self.folder, self.stemmed = spark, folder.rstrip("/"), stemmed
@@ -88,6 +90,10 @@ class Segments:
         """The same rows, each run's sorted by parent and qualified name, with Bloom filters on the latter."""
         return self._seen("tree", run)
 
+    def grams(self, run: int | None = None) -> DataFrame:
+        """(gram, id): the index of the symbols' letters, each run's sorted by gram."""
+        return self._seen("grams", run).drop("source_key")
+
     def index(self, run: int | None = None) -> fts.Index:
         run = run or self.run()
         return fts.Index(self._seen("postings", run).drop("source_key"), self._seen("lengths", run).drop("source_key"), self._table("totals", run).select("n", "avgdl"), self.stemmed)
@@ -116,6 +122,7 @@ class Segments:
         self._write("rows", run, own.withColumn("parent_key", parent_key("qualified_name")), "name", "id")
         own = self._table("rows", run)
         self._write("tree", run, own, "parent_key", "qualified_name")
+        self._write("grams", run, lookup.grams(own).join(own.select("id", "source_key"), "id"), "gram", "id")
         built = fts.build(own, self.stemmed).postings.join(own.select("id", "source_key"), "id")
         self._write("postings", run, built, "term", "id")
         lengths = fts.lengths_of(own, self._table("postings", run)).join(own.select("id", "source_key"), "id")
@@ -177,7 +184,7 @@ class Segments:
         run = before + 1
         moved = F.col("at").isin(taken)
         part = old.filter(moved)
-        for name, *order in (("rows", "name", "id"), ("tree", "parent_key", "qualified_name"), ("postings", "term", "id"), ("lengths", "id")):
+        for name, *order in (("rows", "name", "id"), ("tree", "parent_key", "qualified_name"), ("postings", "term", "id"), ("grams", "gram", "id"), ("lengths", "id")):
             self._write(name, run, self._live(name, part), *order)
         self._write("shadowed", run, self._table("shadowed", before))
         state = old.withColumn("at", F.when(moved, F.lit(run)).otherwise(F.col("at")))
@@ -190,12 +197,12 @@ class Segments:
         current = self.run()
         live = {r["at"] for r in self.state(current).select("at").distinct().collect()}
         jvm, dropped = self.spark._jvm, set()
-        for name in ("rows", "tree", "postings", "lengths", "shadowed", "totals", "state"):
+        for name in (*_BY_SOURCE, "shadowed", "totals", "state"):
             top = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for entry in fs.listStatus(top):
                 found = re.fullmatch(r"run=(\d+)", entry.getPath().getName())
-                keep = {current} | (live if name in ("rows", "tree", "postings", "lengths") else set())
+                keep = {current} | (live if name in _BY_SOURCE else set())
                 if found and int(found[1]) < current and int(found[1]) not in keep:
                     with contextlib.suppress(FileNotFoundError):
                         fs.delete(entry.getPath(), True)

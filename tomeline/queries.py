@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import python_fixtures
-from .fixtures import CTE, catalog, index, raw_symbols, tree
+from .fixtures import CTE, catalog, grams, index, raw_symbols, tree
 from .functions.columns import absolute_module, depth, like, parent, sanitized, sort_key, type_rank, valid_query, visibility
 from .operators import format as fmt
 from .operators import fts, fuzzy, lookup, maintain, navigate, rank, stats
@@ -72,7 +72,7 @@ _TERMS = " and ".join(f"({_like('name', p)} or {_like('qualified_name', p)} or {
 
 @_query(f"select id, name, qualified_name, symbol_type from symbols where {_TERMS} order by name, id limit 200")
 def like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.containing(catalog(spark, sf_dir), "segm_nt NATION_1").select(_SHOWN)
+    return lookup.containing(catalog(spark, sf_dir), "segm_nt NATION_1", index=grams(spark, sf_dir)).select(_SHOWN)
 
 
 _BELOW_ASIA = f"{_like('qualified_name', 'geo.asia.%')} and not {_like('qualified_name', 'geo.asia.%.%')}"
@@ -410,7 +410,7 @@ _NEAR = "blend"
 
 def _cascade(spark: SparkSession, sf_dir: str, query: str, limit: int = 20, stemmed: bool = False) -> DataFrame:
     symbols = _with_bases(catalog(spark, sf_dir))
-    return cascade.search(symbols, index(spark, sf_dir, stemmed), query, limit).select("id", "qualified_name", "symbol_type", "stage", "tier", "rank")
+    return cascade.search(symbols, index(spark, sf_dir, stemmed), query, limit, grams=grams(spark, sf_dir)).select("id", "qualified_name", "symbol_type", "stage", "tier", "rank")
 
 
 @_query(
