@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomeline.functions.columns import like, query_terms, sanitized, valid_terms
 from tomeline.functions.fuzzy import lcs_length, lcs_sql, lcs_with
 from tomeline.functions.porter import stem
-from tomeline.operators import fts
+from tomeline.operators import fts, fuzzy
 from tomeline.operators.format import line
 
 
@@ -97,3 +97,18 @@ def test_colours_are_put_on_after_shortening(spark):
     for r in rows.select(line(True).alias("shown"), line().alias("bare")).collect():
         assert re.sub("\x1b\\[[0-9]+m", "", r.shown) == r.bare and r.shown.count("\x1b") % 2 == 0
         assert "\x1b" not in r.bare and len(r.bare) <= 60
+
+
+def test_rows_seen_count_for_the_limit_of_their_name(spark):
+    """Against taking the names one by one."""
+    rows = [(i, n, f"{o}.{n}") for i, (o, n) in enumerate((o, n) for o in "abcde" for n in ("field", "fields", "fielt", "yield", "shield", "other"))]
+    symbols = spark.createDataFrame(rows, "id long, name string, qualified_name string")
+    ratio = lambda n: fuzzy.scored(symbols.filter(f"name = '{n}'").select("name").distinct(), "field").first()
+    order = sorted((n for n in {r[1] for r in rows} if ratio(n)), key=lambda n: (-ratio(n).ratio, n))
+    for limit, known in ((3, {"a.field", "b.field", "a.fields"}), (7, {f"{o}.field" for o in "abc"} | {"e.fielt"}), (40, {"a.yield"}), (5, set())):
+        wanted = []
+        for n in order[:limit]:
+            if len(wanted) < limit:
+                wanted += [i for i, _, q in [r for r in rows if r[1] == n][: limit - len(wanted)] if q not in known]
+        seen = spark.createDataFrame([(q,) for q in sorted(known)], "qualified_name string")
+        assert [r.id for r in fuzzy.search(symbols, "field", limit, seen=seen).collect()] == wanted

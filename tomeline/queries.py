@@ -474,9 +474,14 @@ def _search_sql(query: str, limit: int = 20) -> str:
         + f", second as (select * from (select *, row_number() over (order by {_ORDER}) as within from found) f where within <= {limit} - (select count(*) from exact))"
         + f", texts as (select {fields}, 'docstring' as stage from symbols where id in (select id from best_text) and id not in (select id from exact) and id not in (select id from found))"
         + f", close_names as (select name, row_number() over (order by 200.0::double * lcs / {total} desc, name) as nr from walk where 200 * lcs >= 60 * {total})"
-        + f", alike as (select s.id, s.qualified_name, s.symbol_type, s.name, 'fuzzy' as stage, row_number() over (order by c.nr, s.id) as nr from symbols s join close_names c on c.name = s.name and c.nr <= {left} "
-        "where s.id not in (select id from exact union all select id from found union all select id from texts))"
-        + f", last as (select *, row_number() over (order by {_ORDER}) as within from (select * from texts union all select {fields}, stage from alike where nr <= {left}) l)"
+        + ", known as (select id from exact union all select id from found union all select id from texts)"
+        + f", named_alike as (select s.id, s.qualified_name, s.symbol_type, s.name, 'fuzzy' as stage, c.nr, row_number() over (partition by c.nr order by s.id) as place, s.id in (select id from known) as seen "
+        f"from symbols s join close_names c on c.name = s.name and c.nr <= {left})"
+        # How many rows each name finds taken when its turn comes.
+        + f", turns as (with recursive t(nr, taken) as (select 1::bigint, 0::bigint union all select t.nr + 1, t.taken + coalesce((select count(*) from named_alike n where n.nr = t.nr and n.place <= {left} - t.taken and not n.seen), 0) "
+        f"from t where t.nr < {left}) select * from t)"
+        + f", alike as (select n.*, row_number() over (order by n.nr, n.id) as within_nr from named_alike n join turns t on t.nr = n.nr where n.place <= {left} - t.taken and not n.seen)"
+        + f", last as (select *, row_number() over (order by {_ORDER}) as within from (select * from texts union all select {fields}, stage from alike) l)"
         + f", parts as (select {fields}, 'exact' as stage, 'fts' as tier, 0 as turn, row_number() over (order by {_ORDER}) as within from exact "
         f"union all select {fields}, stage, 'fts', 1, within from second union all select {fields}, stage, 'fuzzy', 2, within from last where within <= {left})"
         + f" select id, qualified_name, symbol_type, stage, tier, row_number() over (order by turn, within) as rank from parts order by rank limit {limit}"
