@@ -367,7 +367,8 @@ def fts_invalid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("id", F.expr(asked).alias("raw_query")).select("id", valid_query("raw_query").alias("valid"))
 
 
-@_query()
+# Whatever begins with these stems has a stem that does, and the other way round, so plain prefixes find the same.
+@_query(_bm25("releas", "licens", "'docstring'"))
 def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fts.search(catalog(spark, sf_dir), index(spark, sf_dir, stemmed=True), "released licensing", ("docstring",))
     return rank.numbered(found, F.round("score", 12), "id").select("id", "qualified_name", F.round("score", 6).alias("score"), "rank")
@@ -431,16 +432,6 @@ def search_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cascade(spark, sf_dir, "geo.NATION_7")
 
 
-@_query()
-def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(spark, sf_dir, "nation 7", stemmed=True)
-
-
-@_query()
-def search_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cascade(spark, sf_dir, "NATON_7", stemmed=True)
-
-
 def _best(tag: str, terms: list[str], columns: str) -> str:
     """best_<tag>: the ids of the 200 best symbols for prefixes, the first of them in some columns."""
     hits = " union all ".join(
@@ -488,6 +479,17 @@ def _search_sql(query: str, limit: int = 20) -> str:
     )
 
 
+# No stem of the catalogue begins otherwise than its word where these queries look, so unstemmed SQL finds the same.
+@_query(_search_sql("nation 7"))
+def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir, "nation 7", stemmed=True)
+
+
+@_query(_search_sql("NATON_7"))
+def search_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir, "NATON_7", stemmed=True)
+
+
 @_query(_search_sql("NATION_7"))
 def search_exact_then_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name itself, then names by full text, cut to what is left."""
