@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call works on; temporaries take about 40 bytes for each of them.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of one kernel call, for columns of very short texts.
 CHUNK_ROWS = 4096
 
