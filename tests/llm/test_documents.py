@@ -557,6 +557,16 @@ def test_contamination_of_long_repetitive_texts(spark):
     assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 1): 0.998}
 
 
+def test_contamination_of_a_dump_of_the_benchmark(spark):
+    """One document holds every item, sentences reversed, in more than one row of pairs."""
+    rng = random.Random(23)
+    items = [(i, [f"t{rng.randrange(10**6)}" for _ in range(40)]) for i in range(1500)]
+    dump = " ".join(" ".join(w[20:] + w[:20]) for _, w in items)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows = contamination(frame(spark, [(1, dump), (2, " ".join(items[3][1][:25])), (3, "none of it")]), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.n_tiled, r.n_tiles) for r in rows} == {(1, i): (40, 2) for i, _ in items} | {(2, 3): (25, 1)}
+
+
 def test_contamination(spark):
     rng = random.Random(3)
     say = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]

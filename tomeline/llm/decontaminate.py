@@ -8,8 +8,9 @@
    least; so it has one among the item's rarest seeds, all places but that number less one. Documents
    and items meet in those only: a phrase that many items and documents share makes no pair. The places
    met are then counted for each pair, before any text moves.
-3. *Tiles.* The texts of the pairs that are left meet, the items of a document dealt out in rows of
-   bounded size. The longest match among free tokens is found by running Karp-Rabin hashes, held
+3. *Tiles.* The texts of the pairs that are left meet, the items of a document dealt out in rows that
+   hold about as much text as it does, so a dump of a benchmark is moved about once. The windows of a
+   document are sorted once, and each item looks up its own in them. The longest match among free tokens is found by running Karp-Rabin hashes, held
    against the tokens themselves and marked in both texts, until none of ``min_match`` tokens is left.
    As tiles may come in any order, a passage whose sentences were rearranged is covered like the
    original. Matches are never listed as pairs of places, so repetitive texts take no more memory than
@@ -32,8 +33,8 @@ from .scratch import Scratch
 #: Bits of the bitmaps of seeds and of texts: 1 MB on the driver and in each task, whatever the tables' sizes.
 BITMAP_BITS = 1 << 23
 _BUCKET = 32768  # bits that Spark's bitmap functions keep in one row
-#: Items in a row of pairs, about.
-ITEMS_AT_ONCE = 64
+#: Bytes of items in a row of pairs, about, if the document has fewer.
+ITEM_BYTES = 1 << 16
 
 
 def _tokens(text: pa.Array) -> Iterator[tuple[int, int, K.Words, np.ndarray]]:
@@ -128,28 +129,50 @@ class _Rolling:
         return at, (self.sums[at + size] - self.sums[at]) * self.inverse[at]
 
 
-def tile(a: np.ndarray, b: np.ndarray, k: int, same=None) -> list[tuple[int, int, int]]:
+class Places:
+    """Where windows begin in a sequence of token hashes; those of one length are hashed and sorted once."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self._rolling, self._sorted = tokens, _Rolling(tokens, np.ones(len(tokens), bool)), {}
+
+    def of(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Places, ascending, of the windows of ``size`` tokens that have one of the (distinct) hashes."""
+        if size not in self._sorted:
+            at, h = self._rolling.windows(size)
+            order = np.argsort(h, kind="stable")
+            self._sorted[size] = at[order], h[order]
+        at, h = self._sorted[size]
+        first, counts = np.searchsorted(h, hashes, side="left"), np.searchsorted(h, hashes, side="right")
+        counts -= first
+        each = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else first, counts)
+        return np.sort(at[each + np.arange(len(each))])
+
+    def hashes(self, places: np.ndarray, size: int) -> np.ndarray:
+        return (self._rolling.sums[places + size] - self._rolling.sums[places]) * self._rolling.inverse[places]
+
+
+def tile(a: np.ndarray | Places, b: np.ndarray, k: int, same=None) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of token hashes: (place in a, place in b, length) of each tile of ``k`` tokens or more.
 
     The longest match of free tokens is next, of equals the first in b, then the first in a. Its
     length is found by bisection, as a match holds shorter ones. ``same(p, q, n)`` says whether the
-    tokens behind the hashes are equal.
+    tokens behind the hashes are equal. A sequence that meets many others comes as ``Places``; its
+    length then costs nothing, only what it shares with ``b``.
     """
-    if min(len(a), len(b)) < k:
+    a = a if isinstance(a, Places) else Places(a)
+    if min(len(a.tokens), len(b)) < k:
         return []
     # Only what lies in a window of k tokens that both have can be in a tile.
-    x, y = _Rolling(a, np.ones(len(a), bool)), _Rolling(b, np.ones(len(b), bool))
-    for left, right in ((x, y), (y, x)):
-        at, h = left.windows(k)
-        cover = np.zeros(left.n + 1, dtype=np.int64)
-        hit = at[np.isin(h, right.windows(k)[1])]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + k, -1)
-        left.free = np.cumsum(cover)[:-1] > 0
+    y = _Rolling(b, np.ones(len(b), bool))
+    at, h = y.windows(k)
+    places = a.of(np.unique(h), k)
+    inside = np.unique(places[:, None] + np.arange(k))
+    hit = at[np.isin(h, a.hashes(places, k))]
+    y.free = np.isin(np.arange(y.n), hit[:, None] + np.arange(k))
     # What is left of a, each run of it followed by a token that is never free.
-    keep = x.free | np.concatenate(([False], x.free[:-1]))
-    back = np.flatnonzero(keep)
-    x = _Rolling(a[back], x.free[back])
+    back = np.union1d(inside, inside + 1)
+    back = back[back < len(a.tokens)]
+    x = _Rolling(a.tokens[back], np.isin(back, inside))
     tiles, most = [], min(x.n, y.n)
     wrong: set[tuple[int, int, int]] = set()
 
@@ -196,6 +219,7 @@ def _tiler(k: int):
             docs, items, sizes, covered, counts = [], [], [], [], []
             for d in range(batch.num_rows):
                 a, left = words_of(batch.column(1)[d].as_py())
+                a = Places(a)
                 for item in batch.column(2)[d].values:
                     b, right = words_of(item["text"].as_py())
                     tiles = tile(a, b, min(k, len(b)), lambda p, q, n, left=left, right=right: left[p : p + n] == right[q : q + n])
@@ -233,15 +257,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, per
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text")).filter("doc_id is not null and text <> ''")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("print"), F.octet_length(text).alias("size"), text.alias("text")).filter("doc_id is not null and text <> ''")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and text <> ''").distinct()
-    items = items.select(F.struct("item_id", F.xxhash64("text").alias("print")).alias("item"), "text")
-    key, item = dict(texts.select(F.struct("doc_id", "print").alias("k")).dtypes)["k"], dict(items.dtypes)["item"]
+    items = items.select(F.struct("item_id", F.xxhash64("text").alias("print"), F.octet_length("text").alias("size")).alias("item"), "text")
+    key, item = dict(texts.select(F.struct("doc_id", "print", "size").alias("k")).dtypes)["k"], dict(items.dtypes)["item"]
     seeds = items.mapInArrow(_item_seeds(min_match), f"item {item}, n_tokens int, width int, seed long, places long").filter(F.col("n_tokens") >= least_tokens)
     seeds = scratch.table("items", seeds)
     bitmap = _bitmap(seeds, "seed")
     widths = sorted(r.width for r in seeds.select("width").distinct().collect())  # min_match of them at most
-    hits = texts.select(F.struct("doc_id", "print").alias("doc"), "text").mapInArrow(_doc_seeds(widths or [min_match], bitmap), f"doc {key}, seed long")
+    hits = texts.select(F.struct("doc_id", "print", "size").alias("doc"), "text").mapInArrow(_doc_seeds(widths or [min_match], bitmap), f"doc {key}, seed long")
     # What the bitmap let pass in error goes here; a seed's count is that of its documents.
     hits = scratch.table("hits", hits)
     often = scratch.table("often", hits.groupBy("seed").agg(F.count("*").alias("docs")).join(seeds.select("seed").distinct(), "seed", "left_semi"))
@@ -253,13 +277,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, per
     ranked = ranked.withColumn("before", F.coalesce(F.sum("places").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rarest = ranked.filter((F.col("docs") > 0) & (F.col("before") <= F.col("n_tokens") - F.col("width") + 1 - F.col("need")))
     pairs = scratch.table("pairs", hits.join(rarest.select("seed", "item", "need"), "seed").select("doc", "item", "need").distinct())
-    met = pairs.join(hits, "doc").join(seeds.select("item", "seed", "places"), ["item", "seed"]).groupBy("doc", "item").agg(F.sum("places").alias("met"), F.first("need").alias("need"))
-    able = scratch.table("able", met.filter("met >= need").select("doc.doc_id", "doc.print", "item"))
+    # A pair asks for the item's seeds, not for the document's: there may be as many pairs as items, and each document may have the seeds of all.
+    asked = pairs.join(seeds.join(often, "seed", "left_semi").select("item", "seed", "places"), "item")
+    met = asked.join(hits, ["doc", "seed"]).groupBy("doc", "item").agg(F.sum("places").alias("met"), F.first("need").alias("need"))
+    able = scratch.table("able", met.filter("met >= need").select("doc.doc_id", "doc.print", "doc.size", "item"))
     scratch.drop("items", "hits", "often", "pairs")
 
     # Only texts of such pairs are moved; the bitmap of their prints lets few others pass.
-    some = texts.select("doc_id", "print", "text").mapInArrow(_chosen(_bitmap(able, "print")), texts.schema).distinct()
-    rows = able.groupBy("doc_id", "print").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("rows"))
+    some = texts.mapInArrow(_chosen(_bitmap(able, "print")), texts.schema).drop("size").distinct()
+    rows = able.groupBy("doc_id", "print").agg(F.ceil(F.sum("item.size") / F.greatest(F.max("size"), F.lit(ITEM_BYTES))).alias("rows"))
     dealt = able.join(rows, ["doc_id", "print"]).withColumn("row", F.pmod(F.xxhash64("item"), "rows"))
     dealt = dealt.join(items, "item").groupBy("doc_id", "print", "row").agg(F.collect_list(F.struct(F.col("item.item_id").alias("item"), "text")).alias("items"))
     tiled = dealt.join(some, ["doc_id", "print"]).select("doc_id", "text", "items")
