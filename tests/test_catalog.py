@@ -2,6 +2,7 @@
 
 import os
 import random
+from pathlib import Path
 
 import pytest
 
@@ -9,9 +10,9 @@ from tomeline import cli
 from tomeline.operators import navigate
 from tomeline.operators.format import hint
 from tomeline.plans.catalog import Catalog
-from tomeline.sources import discover, reexports
+from tomeline.sources import discover, listing, reexports
 from tomeline.sources.extract import absolute_module, reexports_of, symbols_of
-from tomeline.sources.python_tree import read_symbols
+from tomeline.sources.python_tree import _below, read_listing, read_sources, read_symbols
 from tomeline.streaming.refresh import follow
 
 
@@ -43,15 +44,37 @@ def site(tmp_path):
     return packages
 
 
-def test_discovery(site, tmp_path):
-    assert dict(discover.packages(site)).keys() == {"shapes", "single", "spaced", "pointed"}
+def test_discovery(spark, site, tmp_path):
+    assert {r.name for r in read_sources(spark, str(site)).collect()} == {"shapes", "single", "spaced", "pointed"}
     assert discover.find_site_packages(tmp_path / ".venv") == site
     inner = tmp_path / "a/b"
     inner.mkdir(parents=True)
     assert discover.find_venv(inner) == tmp_path / ".venv"
     write(tmp_path / "t", {"m.py": "", "m.pyi": "", "s.pyi": "", "_f.py": "", "_d/x.py": "", ".h/x.py": "", "__pycache__/x.py": "", "p/__init__.py": "", "_d/__init__.py": ""})
-    assert {p.relative_to(tmp_path / "t").as_posix() for p in discover.python_files(tmp_path / "t")} == {"m.py", "s.pyi", "_f.py", "p/__init__.py"}
-    assert set(discover.init_files(tmp_path / "t", "t")) == {"t.p", "t._d"}
+    walked = listing.modules(read_listing(spark, None, [str(tmp_path / "t")])).collect()
+    assert {r.path.removeprefix("t/") for r in walked} == {"m.py", "s.pyi", "_f.py", "p/__init__.py"}
+    whole = spark.createDataFrame([(p,) for p in _below(str(tmp_path / "t"), lambda _: False)], "path string")
+    assert {r.module for r in listing.inits(whole).collect()} == {"t.p", "t._d"}
+
+
+def test_packages_of_equal_names_and_times_of_change(spark, tmp_path):
+    """Of a name the first entry counts, those of a ``.pth`` file at its place and in the order of its lines; depth does not hide a package."""
+    site = tmp_path / "site"
+    write(site, {"b.pth": "../one\n../two\nimport os\n", "a/__init__.py": "", "c/m.py": "", "c.py": "", "d/s.pyi": "", "e/x/y/__init__.py": "", "f.so/__init__.py": "", ".h/__init__.py": "", "z/__init__.py": ""})
+    write(tmp_path, {"one/a/__init__.py": "", "one/k/__init__.py": "", "two/k/__init__.py": "", "two/z.py": "", "two/_p/__init__.py": "", "two/x.pth": "../three", "three/w.py": "", "proj/m.py": "", "proj/.git/m.py": "", "proj/_b/m.py": ""})
+    at = {"site/a": 5, "site/a/__init__.py": 9, "one/k": 7, "one/k/__init__.py": 3, "two/z.py": 4, "site/c": 2, "site/c/m.py": 99, "proj": 1, "proj/m.py": 6, "proj/.git/m.py": 50, "proj/_b/m.py": 60}
+    for path, when in at.items():
+        os.utime(tmp_path / path, (when, when))
+    got = {r.name: (str(Path(r.source_path.removeprefix("project:")).relative_to(tmp_path)), r.mtime) for r in read_sources(spark, str(site), [str(tmp_path / "proj")]).collect()}
+    project = next(k for k in got if k.endswith("proj"))
+    assert got.pop(project) == ("proj", 6.0)
+    assert {n: p for n, (p, _) in got.items()} == {"a": "site/a", "k": "one/k", "z": "two/z.py", "c": "site/c", "d": "site/d"}
+    assert {n: got[n][1] for n in "akzc"} == {"a": 9.0, "k": 7.0, "z": 4.0, "c": 2.0}
+    symbols = {(r.source_key, r.qualified_name) for r in read_symbols(spark, str(site), None, ["z", "d"]).collect()}
+    assert symbols == set()
+    (tmp_path / "two/z.py").write_text("def late(): ...\n")
+    (tmp_path / "proj/m.py").write_text("def own(): ...\n")
+    assert [r.qualified_name for r in read_symbols(spark, str(site), [str(tmp_path / "proj")], ["z", project]).select("qualified_name").sort("qualified_name").collect()] == ["m.own", "z.late"]
 
 
 def test_extraction():

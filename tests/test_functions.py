@@ -83,13 +83,13 @@ def test_ranked_search_is_that_of_fts5(spark):
             assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))
 
 
-def test_a_folder_of_stubs_is_a_package(tmp_path):
-    from tomeline.sources.discover import package_name
+def test_a_folder_of_stubs_is_a_package(spark, tmp_path):
+    from tomeline.sources.python_tree import read_sources
 
     for name, file in [("stubs", "a.pyi"), ("plain", "a.py"), ("data", "a.txt")]:
         (tmp_path / name).mkdir()
         (tmp_path / name / file).write_text("")
-    assert [package_name(tmp_path / n) for n in ("stubs", "plain", "data")] == ["stubs", "plain", None]
+    assert {r.name for r in read_sources(spark, str(tmp_path)).collect()} == {"stubs", "plain"}
 
 
 def test_colours_are_put_on_after_shortening(spark):

@@ -1,8 +1,9 @@
 """Packages, modules and times of change from a listing of files that is a table.
 
 A listing has a row for each file with its ``path`` relative to the folder of packages, parts joined by
-a slash; a folder's own row, if there is one, ends with a slash. Rows may repeat. Listings of any size
-are filtered and aggregated where they are; nothing is collected.
+a slash; a folder's own row, if there is one, ends with a slash. Rows may repeat. A listing of several
+folders has a ``root`` as well, and where their packages compete the place (``via``, ``turn``) of each root
+in that order. Listings of any size are filtered and aggregated where they are; nothing is collected.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .discover import SKIPPED
+# Entries of a folder of packages that are no packages.
+SKIPPED = (".dist-info", ".egg-info", ".so", ".pyd", ".pth")
 
 
 def _parts() -> Column:
@@ -30,12 +32,8 @@ def _module() -> Column:
     return F.regexp_replace(F.translate(F.regexp_replace("path", "[.]pyi?$", ""), "/", "."), "[.]__init__$", "")
 
 
-def packages(listing: DataFrame) -> DataFrame:
-    """(name, entry) of each package: a folder with an ``__init__`` or with modules directly below, or a module file.
-
-    Of entries that share a name the first one counts. Modules and stubs make a folder a package, and so
-    do folders below it that have an ``__init__``.
-    """
+def _candidates(listing: DataFrame) -> DataFrame:
+    """Rows that make their first part (``top``) a package, with the ``name`` it would have."""
     top, parts = _top(), _parts()
     skipped = F.lit(False)
     for suffix in SKIPPED:
@@ -45,16 +43,45 @@ def packages(listing: DataFrame) -> DataFrame:
     fits = ((depth == 1) & module) | ((depth == 2) & (module | last.endswith(".pyi"))) | ((depth == 3) & (last == "__init__.py"))
     rows = listing.filter(~top.startswith("_") & ~top.startswith(".") & ~skipped & fits)
     name = F.when(depth == 1, F.regexp_replace(top, "[.]py$", "")).otherwise(top)
-    return rows.groupBy(name.alias("name")).agg(F.min(top).alias("entry"))
+    return rows.withColumns({"top": top, "name": name})
+
+
+def packages(listing: DataFrame) -> DataFrame:
+    """(name, entry) of each package: a folder with an ``__init__`` or with modules directly below, or a module file.
+
+    Of entries that share a name the first one counts. Modules and stubs make a folder a package, and so
+    do folders below it that have an ``__init__``.
+    """
+    return _candidates(listing).groupBy("name").agg(F.min("top").alias("entry"))
+
+
+def package_sources(listing: DataFrame) -> DataFrame:
+    """(name, root, entry, mtime) of the packages of all roots; of those that share a name the first by (via, turn, entry) counts.
+
+    A module file's time of change is its own, a folder's the later of its own and its ``__init__``'s.
+    """
+    first = F.min(F.struct("via", "turn", "top", "root"))
+    found = _candidates(listing).groupBy("name").agg(first.alias("at")).select("name", "at.root", F.col("at.top").alias("entry"))
+    own = (F.col("path") == _top()) | (F.col("path") == F.concat(_top(), F.lit("/"))) | (F.col("path") == F.concat(_top(), F.lit("/__init__.py")))
+    times = listing.filter(own).groupBy("root", _top().alias("entry")).agg(F.max("mtime").alias("mtime"))
+    return found.join(times, ["root", "entry"]).select("name", "root", "entry", "mtime")
+
+
+def project_sources(listing: DataFrame) -> DataFrame:
+    """(root, entry, mtime) of the folders of a listing as projects: the latest of a folder and all its modules."""
+    own = listing.filter(F.col("path") == F.concat(_top(), F.lit("/"))).select("root", "path", "mtime")
+    walked = listing.join(modules(listing).select("root", "path"), ["root", "path"], "left_semi").select("root", "path", "mtime")
+    return own.unionByName(walked).groupBy("root", _top().alias("entry")).agg(F.max("mtime").alias("mtime"))
 
 
 def modules(listing: DataFrame) -> DataFrame:
-    """(path, module) of modules, and of stubs without a module beside them; nothing in private or hidden folders below the first."""
+    """(path, module), after the root if there are several, of modules, and of stubs without a module beside them; nothing in private or hidden folders below the first."""
+    root = [c for c in listing.columns if c == "root"]
     open_to_all = ~F.exists(_folders(), lambda d: d.startswith(".") | d.startswith("_"))
-    rows = listing.filter(F.col("path").rlike("[.]pyi?$") & open_to_all).select("path").distinct()
+    rows = listing.filter(F.col("path").rlike("[.]pyi?$") & open_to_all).select(*root, "path").distinct()
     stem = F.regexp_replace("path", "[.]pyi?$", "")
-    best = rows.groupBy(stem.alias("stem")).agg(F.min("path").alias("path"))  # .py sorts before .pyi
-    return best.select("path", _module().alias("module"))
+    best = rows.groupBy(*root, stem.alias("stem")).agg(F.min("path").alias("path"))  # .py sorts before .pyi
+    return best.select(*root, "path", _module().alias("module"))
 
 
 def inits(listing: DataFrame) -> DataFrame:
