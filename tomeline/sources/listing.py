@@ -32,18 +32,16 @@ def _module() -> Column:
     return F.regexp_replace(F.translate(F.regexp_replace("path", "[.]pyi?$", ""), "/", "."), "[.]__init__$", "")
 
 
-def _candidates(listing: DataFrame) -> DataFrame:
-    """Rows that make their first part (``top``) a package, with the ``name`` it would have."""
+def _package_name() -> Column:
+    """The name of the package that a row makes its first part, null if it makes it none."""
     top, parts = _top(), _parts()
-    skipped = F.lit(False)
+    skipped = top.startswith("_") | top.startswith(".")
     for suffix in SKIPPED:
         skipped = skipped | top.endswith(suffix)
     last, depth = F.element_at(parts, -1), F.size(parts)
     module = last.endswith(".py")
     fits = ((depth == 1) & module) | ((depth == 2) & (module | last.endswith(".pyi"))) | ((depth == 3) & (last == "__init__.py"))
-    rows = listing.filter(~top.startswith("_") & ~top.startswith(".") & ~skipped & fits)
-    name = F.when(depth == 1, F.regexp_replace(top, "[.]py$", "")).otherwise(top)
-    return rows.withColumns({"top": top, "name": name})
+    return F.when(~skipped & fits, F.when(depth == 1, F.regexp_replace(top, "[.]py$", "")).otherwise(top))
 
 
 def packages(listing: DataFrame) -> DataFrame:
@@ -52,7 +50,8 @@ def packages(listing: DataFrame) -> DataFrame:
     Of entries that share a name the first one counts. Modules and stubs make a folder a package, and so
     do folders below it that have an ``__init__``.
     """
-    return _candidates(listing).groupBy("name").agg(F.min("top").alias("entry"))
+    named = listing.select(_package_name().alias("name"), _top().alias("entry")).filter("name is not null")
+    return named.groupBy("name").agg(F.min("entry").alias("entry"))
 
 
 def package_sources(listing: DataFrame) -> DataFrame:
@@ -60,27 +59,34 @@ def package_sources(listing: DataFrame) -> DataFrame:
 
     A module file's time of change is its own, a folder's the later of its own and its ``__init__``'s.
     """
-    first = F.min(F.struct("via", "turn", "top", "root"))
-    found = _candidates(listing).groupBy("name").agg(first.alias("at")).select("name", "at.root", F.col("at.top").alias("entry"))
     own = (F.col("path") == _top()) | (F.col("path") == F.concat(_top(), F.lit("/"))) | (F.col("path") == F.concat(_top(), F.lit("/__init__.py")))
-    times = listing.filter(own).groupBy("root", _top().alias("entry")).agg(F.max("mtime").alias("mtime"))
-    return found.join(times, ["root", "entry"]).select("name", "root", "entry", "mtime")
+    entries = listing.groupBy("via", "turn", _top().alias("entry"), "root").agg(F.max(_package_name()).alias("name"), F.max(F.when(own, F.col("mtime"))).alias("mtime"))
+    first = F.min(F.struct("via", "turn", "entry", "root", "mtime")).alias("at")
+    return entries.filter("name is not null").groupBy("name").agg(first).select("name", "at.root", "at.entry", "at.mtime")
 
 
 def project_sources(listing: DataFrame) -> DataFrame:
-    """(root, entry, mtime) of the folders of a listing as projects: the latest of a folder and all its modules."""
-    own = listing.filter(F.col("path") == F.concat(_top(), F.lit("/"))).select("root", "path", "mtime")
-    walked = listing.join(modules(listing).select("root", "path"), ["root", "path"], "left_semi").select("root", "path", "mtime")
-    return own.unionByName(walked).groupBy("root", _top().alias("entry")).agg(F.max("mtime").alias("mtime"))
+    """(root, entry, mtime) of the folders of a listing as projects: the latest of a folder and all modules that ``modules`` keeps."""
+    own = F.col("path") == F.concat(_top(), F.lit("/"))
+    rows = listing.filter(own | _walked())
+    files = rows.groupBy("root", _top().alias("entry"), _stem().alias("stem")).agg(F.min_by("mtime", "path").alias("mtime"))
+    return files.groupBy("root", "entry").agg(F.max("mtime").alias("mtime"))
+
+
+def _stem() -> Column:
+    return F.regexp_replace("path", "[.]pyi?$", "")
+
+
+def _walked() -> Column:
+    """Whether a row is a module or stub outside of private and hidden folders below the first."""
+    return F.col("path").rlike("[.]pyi?$") & ~F.exists(_folders(), lambda d: d.startswith(".") | d.startswith("_"))
 
 
 def modules(listing: DataFrame) -> DataFrame:
     """(path, module), after the root if there are several, of modules, and of stubs without a module beside them; nothing in private or hidden folders below the first."""
     root = [c for c in listing.columns if c == "root"]
-    open_to_all = ~F.exists(_folders(), lambda d: d.startswith(".") | d.startswith("_"))
-    rows = listing.filter(F.col("path").rlike("[.]pyi?$") & open_to_all).select(*root, "path").distinct()
-    stem = F.regexp_replace("path", "[.]pyi?$", "")
-    best = rows.groupBy(*root, stem.alias("stem")).agg(F.min("path").alias("path"))  # .py sorts before .pyi
+    rows = listing.filter(_walked()).select(*root, "path").distinct()
+    best = rows.groupBy(*root, _stem().alias("stem")).agg(F.min("path").alias("path"))  # .py sorts before .pyi
     return best.select(*root, "path", _module().alias("module"))
 
 

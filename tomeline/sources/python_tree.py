@@ -160,6 +160,8 @@ def read_sources(spark: SparkSession, site: str | None = None, projects: list[st
     """name, source_path and mtime of every package and project."""
     rows = read_listing(spark, site, projects)
     packages = listing.package_sources(rows.filter("not project")).select("name", _folder().alias("source_path"), "mtime")
+    if not projects:
+        return packages
     own = F.concat(F.lit(PROJECT_PREFIX), _folder())
     return packages.unionByName(listing.project_sources(rows.filter("project")).select(own.alias("name"), own.alias("source_path"), "mtime"))
 
