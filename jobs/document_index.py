@@ -33,15 +33,20 @@ NO_LANG = "none"
 _TABLES = {"postings": "doc_id long, term string, tf long, batch long, lang string", "documents": "doc_id long, n_terms long, batch long, lang string"}
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, term, tf) of each document's text."""
-    words = docs.select("doc_id", "lang", F.explode(fts.tokens(F.coalesce("text", F.lit("")), fold=False)).alias("term"))
-    return words.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"))
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, words, n_terms): each document's words as an array of (term, tf), and the number of all."""
+    words = fts.counted(docs, {"words": fts.tokens(F.coalesce("text", F.lit("")), fold=False)})
+    return words.select("doc_id", "lang", "words", F.col("words_n").alias("n_terms"))
 
 
-def _write(rows: DataFrame, folder: str, *order: str) -> None:
-    """Writes to partitions by language, sorted; what the folder held goes."""
-    spread = rows.repartitionByRange("lang", *order).sortWithinPartitions("lang", *order)
+def postings(words: DataFrame) -> DataFrame:
+    """(doc_id, lang, term, tf) of counted documents."""
+    return words.select("doc_id", "lang", F.explode("words").alias("w")).select("doc_id", "lang", "w.term", "w.tf")
+
+
+def _write(rows: DataFrame, folder: str, n: int, *order: str) -> None:
+    """Writes ``n`` rows to partitions by language, sorted, as many in a task as fit its memory whatever ``n`` is; what the folder held goes."""
+    spread = rows.repartitionByRange(1 + n // fts.PART_ROWS, "lang", *order).sortWithinPartitions("lang", *order)
     spread.write.mode("overwrite").partitionBy("lang").parquet(folder)
 
 
@@ -58,13 +63,14 @@ def update(spark: SparkSession, input: str, output: str, checkpoint: str, files:
     def add(batch: DataFrame, number: int) -> None:
         rows = batch.filter("doc_id is not null").withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
         docs = maintain.last_writer(rows.select("doc_id", F.struct("lang", "text").alias("row")), "doc_id", "row").select("doc_id", "row.*")
-        _write(postings(docs), f"{output}/postings/batch={number}", "term", "doc_id")
-        written = spark.read.parquet(f"{output}/postings/batch={number}")
-        counts = written.groupBy("doc_id").agg(F.sum("tf").alias("n_terms"))
-        n_terms = F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms")
-        _write(docs.select("doc_id", "lang").join(counts, "doc_id", "left").select("doc_id", n_terms, "lang"), f"{output}/documents/batch={number}", "doc_id")
+        passing = f"{output}/_counted/batch={number}"  # Spark's readers of the tables don't see it
+        counted(docs).write.mode("overwrite").parquet(passing)
+        words = spark.read.parquet(passing)
+        n_docs, n_postings = words.agg(F.count("*"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0))).first()
+        _write(postings(words), f"{output}/postings/batch={number}", n_postings, "term", "doc_id")
+        _write(words.select("doc_id", "n_terms", "lang"), f"{output}/documents/batch={number}", n_docs, "doc_id")
+        words.limit(0).write.mode("overwrite").parquet(passing)  # nothing stays of it but its name
         n_read = batch.count()  # of the files' footers: no column is read
-        n_docs, n_postings = spark.read.parquet(f"{output}/documents/batch={number}").count(), written.count()
         log.info("batch %d: read %d rows, wrote %d documents and %d postings to %s", number, n_read, n_docs, n_postings, output)
         done.update(batches=done["batches"] + 1, read=done["read"] + n_read, documents=done["documents"] + n_docs, postings=done["postings"] + n_postings)
 
