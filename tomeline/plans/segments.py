@@ -21,9 +21,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import parent_key
+from ..functions.columns import by_name, parent_key
 from ..operators import fts, lookup
-from ..operators.maintain import last_writer
+from ..operators.maintain import last_sorted
+from .store import Store
 
 #: Runs that may hold live sources before small ones are merged.
 MOST_RUNS = 8
@@ -118,15 +119,18 @@ class Segments:
         run = before + 1
         changed = sources.select("source_key")
         changed = changed if gone is None else changed.unionByName(gone.select("source_key")).distinct()
-        own = last_writer(rows.withColumn("key", F.struct("source_key", "qualified_name")), "key", "id").select(rows.columns)
-        self._write("rows", run, own.withColumn("parent_key", parent_key("qualified_name")), "name", "id")
+        own = last_sorted(rows, *by_name(), F.col("source_key"))
+        self._write("rows", run, own.withColumn("parent_key", parent_key("qualified_name")))
         own = self._table("rows", run)
         self._write("tree", run, own, "parent_key", "qualified_name")
-        self._write("grams", run, lookup.grams(own).join(own.select("id", "source_key"), "id"), "gram", "id")
-        built = fts.build(own, self.stemmed).postings.join(own.select("id", "source_key"), "id")
-        self._write("postings", run, built, "term", "id")
-        lengths = fts.lengths_of(own, self._table("postings", run)).join(own.select("id", "source_key"), "id")
-        self._write("lengths", run, lengths, "id")
+        self._write("grams", run, lookup.grams(own, "source_key"), "gram", "id")
+        passing = Store(self.spark, f"{self.folder}/_passing")
+        passing.drop()  # of a refresh that died
+        words = passing.table("forward", lambda: fts.forward(own, self.stemmed, "source_key"))
+        stems = passing.table("stems", lambda: fts.stems_of(words)) if self.stemmed else None
+        self._write("postings", run, fts.by_term(words, stems, "source_key"))
+        self._write("lengths", run, words.select("id", "dl", "source_key"), "id")
+        passing.drop()
         counts = rows.groupBy("source_key").agg(F.count("*").alias("symbol_count"))
         counts = counts.join(own.groupBy("source_key").agg(F.count("*").alias("n_symbols")), "source_key")
         zero = F.lit(0).cast("long")
