@@ -132,3 +132,43 @@ def test_coarser_buckets_where_probes_run_out(spark, monkeypatch):
     wanted = brute(rows, lambda i: i % 50 == 0)
     hits = [len({x[0] for x in found} & {x[0] for x in got[q]}) for (q, _), found in wanted.items()]
     assert sum(hits) >= 9 * len(hits)
+
+
+def test_sketches_tell_cosines():
+    rng = np.random.default_rng(3)
+    for dim in (1, 3, 64, 200):
+        x = rng.normal(size=(400, dim)) * rng.uniform(0.1, 10, (400, 1))
+        y = x + rng.normal(size=x.shape) * np.abs(x).mean(axis=1, keepdims=True)
+        a, b = (neighbours.Sketch(dim).levels(z) for z in (x, y))
+        assert a.min() >= 0 and a.max() <= 15 and a.shape[1] <= 64
+        bits = np.stack([np.unpackbits(p.view(np.uint8).reshape(-1, 8), axis=1) for p in neighbours._planes(a)])
+        assert ((bits * (1 << np.arange(4))[:, None, None]).sum(0)[:, : a.shape[1]] == a).all()
+        if dim == 64:
+            cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            told = (2 * neighbours.closeness(a, b) + 225 * 64) / 4 * (2 * neighbours.CUT / 16) ** 2 / 64
+            assert np.abs(told - cosine).mean() < 0.03
+
+
+def test_buckets_are_screened_where_they_meet(spark):
+    """The join gives what is as close as neighbours are, not all that shares a bucket, and each such pair of the sample."""
+    classes = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("cls"), F.col("embedding").alias("vec"), (F.col("vec_id") % 50 == 0).alias("asked"))
+    n = classes.count()
+    tables = neighbours.tables_for(n)
+    bits, probes, least = neighbours.fitted(classes, n, 10, tables)
+    index, looked = neighbours._keys(classes, bits, tables), neighbours._keys(classes.filter("asked"), bits, tables, probes, least)
+    met = index.join(looked, ["dim", "tab", "bucket"]).select("cls", "q", neighbours._close().alias("close")).toPandas()
+    rows = classes.toPandas().set_index("cls")
+    told = {i: neighbours.Sketch(64).levels(np.array([v], dtype=float)) for i, v in rows["vec"].items()}
+    assert [neighbours.closeness(told[c], told[q])[0] >= least[64] for c, q in zip(met["cls"][:3000], met["q"][:3000], strict=True)] == list(met["close"][:3000])
+    assert 0 < met["close"].sum() < len(met) / 3
+
+
+def test_queries_without_close_vectors_are_looked_up_again(spark, monkeypatch):
+    """A screen that lets nothing pass changes no result."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(600).select("vec_id", "embedding").localCheckpoint()
+    wanted = results(nearest(vectors, F.col("vec_id") % 50 == 0, target=1.0))
+    fitted = neighbours.fitted
+    monkeypatch.setattr(neighbours, "fitted", lambda *a, **k: (*fitted(*a, **k)[:2], {64: 1 << 30}))
+    compared = []
+    monkeypatch.setattr(neighbours, "_dealt", lambda q, *a, dealt=neighbours._dealt: compared.append(q.count()) or dealt(q, *a))
+    assert results(nearest(vectors, F.col("vec_id") % 50 == 0, target=1.0)) == wanted and compared == [12, 12]
