@@ -8,6 +8,7 @@ import pytest
 from tomeline import fixtures, queries
 from tomeline.functions.columns import by_name
 from tomeline.operators import fts, lookup, maintain
+from tomeline.sources import reexports
 
 SF = "/root/testdata/sf0.001"
 SYMBOL = "id long, name string, qualified_name string, signature string, docstring string"
@@ -69,3 +70,23 @@ def test_snapshots_shuffle_rows_once(spark):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, maintain.last_writer(rows, "qualified_name", "id").select(rows.columns).collect()))
     names = [r.name for r in last.collect()]
     assert names == sorted(names)
+
+
+def test_symbols_are_given_on_as_they_are_found(spark, monkeypatch):
+    """A task has no more rows in hand than those of one file and two output batches, whatever its Arrow batch holds."""
+    held = []
+    batches = lambda files: lambda each: held.append(each) or files
+    files = spark.createDataFrame([("k", f"k/m{i}.py", f"k.m{i}", "", "def f(): ...\n" * 7) for i in range(600)], "source_key string, path string, module string, file_path string, text string")
+    assert reexports._parsed(files).count() == 4200
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, each, schema: batches(self)(each), raising=False)
+    reexports._parsed(files)
+    (each,) = held
+    read = []
+    rows = files.toArrow().select(["source_key", "path", "module", "file_path", "text"]).combine_chunks().to_batches()
+    parse = reexports.extract.symbols_of
+    monkeypatch.setattr(reexports.extract, "symbols_of", lambda *a: read.append(1) or parse(*a))
+    sizes = []
+    for out in each(iter(rows)):
+        sizes.append(out.num_rows)
+        assert 7 * len(read) - sum(sizes) <= 7
+    assert sum(sizes) == 4200 and max(sizes) <= 1000

@@ -135,9 +135,10 @@ def _beside(site: str | None) -> reexports.Outside:
     def look(missing: DataFrame) -> DataFrame:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found = [(k, m, discover.module_file(m, Path(site))) for k, m in zip(pdf["source_key"], pdf["module"], strict=True) if site and m]
-                rows = [(k, m, str(f), str(f), f.read_text(encoding="utf-8", errors="replace")) for k, m, f in found if f]
-                yield pd.DataFrame(rows, columns=["source_key", "module", "path", "file_path", "text"])
+                found = ((k, m, discover.module_file(m, Path(site))) for k, m in zip(pdf["source_key"], pdf["module"], strict=True) if site and m)
+                for k, m, f in found:
+                    if f:
+                        yield pd.DataFrame([(k, m, str(f), str(f), f.read_text(encoding="utf-8", errors="replace"))], columns=["source_key", "module", "path", "file_path", "text"])
 
         return missing.select("source_key", "module").mapInPandas(each, "source_key string, module string, path string, file_path string, text string")
 
@@ -178,10 +179,5 @@ def symbols_of_folders(files: DataFrame) -> DataFrame:
 
 def reexports_of_files(files: DataFrame) -> DataFrame:
     """Re-exports of ``__init__`` files that are rows (module, text), numbered within each."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(m, i, *r) for m, t in zip(pdf["module"], pdf["text"], strict=True) for i, r in enumerate(extract.reexports_of(t, m))]
-            yield pd.DataFrame(rows, columns=["init_module", "ord", *extract.ReExport._fields])
-
-    return files.select("module", "text").mapInPandas(each, "init_module string, ord int, local_name string, source_module string, source_name string, is_module boolean")
+    rows_of = lambda module, text: ((module, i, *r) for i, r in enumerate(extract.reexports_of(text, module)))
+    return reexports.of_each(files.select("module", "text"), rows_of, "init_module string, ord int, local_name string, source_module string, source_name string, is_module boolean")

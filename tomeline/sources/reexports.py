@@ -8,9 +8,10 @@ to it, so that of several ways to a module or a name the first one counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ _SYMBOL = "name string, qualified_name string, symbol_type string, signature str
 COLUMNS = [c.split()[0] for c in _SYMBOL.split(", ")]
 _IMPORT = "source_key string, init_module string, ord int, local_name string, source_module string, source_name string, is_module boolean"
 
+#: Files whose texts a task takes out of an Arrow batch at once, and rows of a batch that it gives on.
+_FILES, _ROWS = 16, 1000
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
 Outside = Callable[[DataFrame], DataFrame]
 
 
@@ -48,26 +53,33 @@ def _inits(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").endswith("/__init__.py") & ~hidden).select("source_key", module_of("path").alias("module"), "path")
 
 
-def _parsed(files: DataFrame) -> DataFrame:
-    """The symbols of each file (source_key, path, module, file_path, text), numbered in it by ``at``."""
+def of_each(files: DataFrame, rows_of: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` makes of each row's values.
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(*s, f.source_key, f.path, at) for f in pdf.itertuples() for at, s in enumerate(extract.symbols_of(f.text, f.module, f.file_path))]
-            yield pd.DataFrame(rows, columns=[*COLUMNS, "source_key", "path", "at"])
+    They are given on by the thousand, so that beside a batch of texts, which Spark bounds by bytes, a task
+    holds the rows of one file and of two such batches, however many files it has.
+    """
+    types = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
-    return files.select("source_key", "path", "module", "file_path", "text").mapInPandas(each, f"{_SYMBOL}, source_key string, path string, at int")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = (batch.slice(at, _FILES) for batch in batches for at in range(0, batch.num_rows, _FILES))
+        made = (row for part in few for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for row in rows_of(*values))
+        while piece := list(islice(made, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece, strict=True), types.types, strict=True)], schema=types)
 
+    return files.mapInArrow(each, schema)
 
-def _imports(inits: DataFrame) -> DataFrame:
-    """The re-exports of each ``__init__`` (source_key, module, text), numbered in it by ``ord``."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f.source_key, f.module, i, *r) for f in pdf.itertuples() for i, r in enumerate(extract.reexports_of(f.text, f.module))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _IMPORT.split(", ")])
+def _parsed(files: DataFrame) -> DataFrame:
+    """The symbols of each file (source_key, path, module, file_path, text), numbered in it by ``at``."""
+    rows_of = lambda key, path, module, file_path, text: ((*s, key, path, at) for at, s in enumerate(extract.symbols_of(text, module, file_path)))
+    return of_each(files.select("source_key", "path", "module", "file_path", "text"), rows_of, f"{_SYMBOL}, source_key string, path string, at int")
+
 
-    return inits.select("source_key", "module", "text").mapInPandas(each, _IMPORT)
+def _imports(inits: DataFrame) -> DataFrame:
+    """The re-exports of each ``__init__`` (source_key, module, text), numbered in it by ``ord``."""
+    rows_of = lambda key, module, text: ((key, module, i, *r) for i, r in enumerate(extract.reexports_of(text, module)))
+    return of_each(inits.select("source_key", "module", "text"), rows_of, _IMPORT)
 
 
 def _reached(store: Store, inits: DataFrame, edges: DataFrame) -> DataFrame:
