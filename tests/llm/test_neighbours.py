@@ -172,3 +172,51 @@ def test_queries_without_close_vectors_are_looked_up_again(spark, monkeypatch):
     compared = []
     monkeypatch.setattr(neighbours, "_dealt", lambda q, *a, dealt=neighbours._dealt: compared.append(q.count()) or dealt(q, *a))
     assert results(nearest(vectors, F.col("vec_id") % 50 == 0, target=1.0)) == wanted and compared == [12, 12]
+
+
+def test_rows_grow_as_the_vectors(spark):
+    """Five times the vectors are five times the entries and no more probes for each query."""
+    rng = np.random.default_rng(9)
+    made = []
+    for n in (1000, 5000):
+        classes = spark.createDataFrame([(i, v.tolist(), i % 50 == 0) for i, v in enumerate(rng.normal(size=(n, 64)))], "cls long, vec array<double>, asked boolean").localCheckpoint()
+        tables = neighbours.tables_for(n)
+        bits, probes, least = neighbours.fitted(classes, n, 10, tables)
+        made.append((neighbours._keys(classes, bits, tables).count(), neighbours._keys(classes.filter("asked"), bits, tables, probes, least).count()))
+    (entries, probed), (more_entries, more_probed) = made
+    assert more_entries == 5 * entries and more_probed <= 5.5 * probed
+
+
+@pytest.mark.parametrize("bounded", (False, True))
+def test_vectors_stream_past_queries(monkeypatch, bounded):
+    """Many small batches, ties, and bounds that leave no nearest out."""
+    monkeypatch.setattr(neighbours, "_PAIR_VALUES", 100)
+    monkeypatch.setattr(neighbours, "_WAITING", 50)
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-2, 3, (700, 5)).astype(float), rng.integers(-2, 3, (30, 5)).astype(float)
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    cls = rng.permutation(700)
+    bound = np.sort(d, axis=1)[:, 10] if bounded else np.full(30, math.inf)
+    none = [np.zeros(700, np.int64)] * neighbours.LEVEL_BITS
+    held = neighbours._Held(7)
+    for at in (0, 20):
+        part = slice(at, at + (20 if at == 0 else 10))
+        held.ask(100 + np.arange(30)[part], q[part], [p[:30][part] for p in none], np.full(30, neighbours._ANY)[part], bound[part])
+    for at in range(0, 700, 90):
+        part = slice(at, at + 90)
+        held.meet(cls[part], np.ones(700, np.int64)[part], x[part], [p[part] for p in none], none[0][part])
+    found = sorted(zip(*(c.to_pylist() for c in held.found().columns), strict=True), key=lambda r: (r[0], r[3], r[1]))
+    assert found == [(100 + i, int(cls[j]), 1, d[i, j]) for i in range(30) for j in np.lexsort((cls, d[i]))[:7]]
+
+
+def test_long_buckets_and_blocks_of_queries(spark, monkeypatch):
+    """A bucket of most vectors is dealt to groups, and queries to blocks; the nearest stay the same."""
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate((rng.normal(size=(1, 64)) + rng.normal(0, 0.01, (450, 64)), rng.normal(size=(150, 64))))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    monkeypatch.setattr(neighbours, "HELD_BYTES", 5000)
+    dealt = []
+    compared = neighbours._compared
+    monkeypatch.setattr(neighbours, "_compared", lambda entries, queries, keys, most: dealt.append(queries.agg(*(F.max(c) for c in keys if c in ("part", "block"))).first()) or compared(entries, queries, keys, most))
+    same(results(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, target=1.0)), brute(rows, lambda i: i % 50 == 0))
+    assert all(d["max(block)"] > 0 for d in dealt) and dealt[1]["max(part)"] > 0
