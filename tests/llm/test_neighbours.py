@@ -220,3 +220,19 @@ def test_long_buckets_and_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_compared", lambda entries, queries, keys, most: dealt.append(queries.agg(*(F.max(c) for c in keys if c in ("part", "block"))).first()) or compared(entries, queries, keys, most))
     same(results(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, target=1.0)), brute(rows, lambda i: i % 50 == 0))
     assert all(d["max(block)"] > 0 for d in dealt) and dealt[1]["max(part)"] > 0
+
+
+def test_far_pairs_are_told_at_any_scale():
+    """Products that overflow or vanish leave no near vector out."""
+    rng = np.random.default_rng(8)
+    none = [np.zeros(300, np.int64)] * neighbours.LEVEL_BITS
+    for scale in (1e-170, 1e-161, 1e-160, 1e-155, 1.0, 1e152, 1e160):
+        x = rng.normal(size=(300, 8)) * scale
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x[0] - x) ** 2).sum(1))
+            held = neighbours._Held(5)
+            held.ask(np.array([7]), x[:1], [p[:1] for p in none], np.array([neighbours._ANY]), np.sort(d)[9:10])
+            for at in range(0, 300, 60):
+                held.meet(np.arange(at, at + 60), np.ones(60, np.int64), x[at : at + 60], [p[:60] for p in none], none[0][:60])
+                held._settle()
+        assert held.found().column("cls").to_pylist() == list(np.lexsort((np.arange(300), d))[:5])
